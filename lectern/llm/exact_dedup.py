@@ -7,6 +7,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.scratch import written
+
 
 def fold_ascii(text: Column) -> Column:
     """text with A-Z in lower case and nothing else changed; null counts as empty."""
@@ -25,8 +27,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     2. The salted groups merge; a hot text is spread over `salts` groups.
     3. The winners, at most `salts` for each text, combine into one row per text.
     The text itself is a grouping key at each of these, so equality never rests on a digest. If two texts had
-    one SHA-256 the job would stop instead of merging them. Ids and digests alone return to the
-    documents; that join's hot keys are split by adaptive execution.
+    one SHA-256 the job would stop instead of merging them. The groups, without texts, are written to the
+    shared folder. Joining them to the documents' ids and digests has a plain shuffle on both sides, so
+    adaptive execution can split a hot digest's partition.
 
     Null or empty text: the empty text's group. Null id: never preferred to another; if a group has
     no other id, its keep_id is null and all its rows are kept. Repeated rows of one id count one by
@@ -44,7 +47,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one_text = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(
         F.raise_error(F.lit("two texts have one SHA-256")).cast("long")
     )
-    groups = groups.select("digest", "keep_id", one_text.alias("group_size"))
+    groups = written(groups.select("digest", "keep_id", one_text.alias("group_size")), "text-groups")
     return (
         rows.select("doc_id", "digest")
         .join(groups, "digest")
