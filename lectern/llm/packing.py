@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 from lectern.llm.scratch import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ticket long"
-#: Chunks of a text that a worker remembers the ids of; beyond this many it looks no more up, and results are the same.
-REMEMBERED = 300_000
+#: Words that a task remembers the ids of, some 200 bytes each; further words are encoded each time they come.
+REMEMBERED = 500_000
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -50,12 +49,10 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to those of the whole text at once.
 
     The tokenizer never joins what a single space between two non-space characters divides: the space begins
-    a new word. So a text is cut at such spaces, and ids of a chunk that came before are looked up.
-    A text with any other space is encoded whole.
+    a new word. So a text is cut at such spaces, and ids of a word that came before are looked up.
+    A text with any other space is encoded whole: a part of it then is empty, or has white space at an end.
     """
 
-    odd_space = re.compile(r"(?:^|\s) | (?:\s|$)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -68,18 +65,19 @@ class Encoder:
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
     def __call__(self, text: str) -> bytes:
-        if self.odd_space.search(text):
+        first, *words = text.split(" ")
+        if not words or not first or first[-1].isspace():
             return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + x for x in rest]]
-        got = list(map(self.known.get, chunks))
+        got = list(map(self.known.get, words))
         if None in got:
-            missing = list(dict.fromkeys(c for c, g in zip(chunks, got, strict=True) if g is None))
-            fresh = dict(zip(missing, self._encode(missing), strict=True))
+            missing = list(dict.fromkeys(w for w, g in zip(words, got, strict=True) if g is None))
+            if any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
+                return self._encode([text])[0]
+            fresh = dict(zip(missing, self._encode([" " + w for w in missing]), strict=True))
             if len(self.known) + len(fresh) <= REMEMBERED:
                 self.known.update(fresh)
-            got = [fresh[c] if g is None else g for c, g in zip(chunks, got, strict=True)]
-        return b"".join(got)
+            got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
+        return self._encode([first])[0] + b"".join(got)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
