@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, exact_dedup, packing, sharding
+from lectern.llm import decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,11 +53,48 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_warc": op4_warc,
+    "op6_language_id": op6_language_id,
+    "op9_line_dedup": op9_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
 }
 
 ORACLE_SQL = {
+    "op4_warc": """
+        WITH hashed AS (
+            SELECT page_id, url, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes FROM pages
+        ), firsts AS (
+            SELECT *, CASE WHEN bytes >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM hashed
+        ), ids AS (
+            SELECT *, md5('request ' || page_id || ' ' || digest || ' 1') AS h FROM firsts
+        )
+        SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to, url AS target_uri,
+               '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS request_id,
+               true AS digest_ok
+        FROM ids
+    """,
+    "op9_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, source, line, pos FROM (
+                SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                       generate_subscripts(string_split(text, chr(10)), 1) AS pos
+                FROM documents)
+        ), common AS (
+            SELECT trim(line) AS t FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10
+        ), marked AS (
+            SELECT l.doc_id, l.line, l.pos, c.t IS NOT NULL AS goes FROM lines l LEFT JOIN common c ON trim(l.line) = c.t
+        )
+        SELECT d.doc_id, coalesce(m.n, 0) AS lines, coalesce(m.removed, 0) AS lines_removed,
+               CASE WHEN d.text IS NOT NULL THEN coalesce(m.kept, '') END AS text
+        FROM documents d LEFT JOIN (
+            SELECT doc_id, count(*) AS n, count(*) FILTER (goes) AS removed,
+                   string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes) AS kept
+            FROM marked GROUP BY doc_id) m USING (doc_id)
+    """,
     "op7_exact_dedup": """
         WITH folded AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
