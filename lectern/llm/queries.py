@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, exact_dedup, language_id, line_dedup, near_dedup, packing, sharding, warc
+from lectern.llm import decontamination, exact_dedup, html_text, language_id, licenses, line_dedup, near_dedup, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.learn(docs))
@@ -55,6 +63,8 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
+    "op10_licenses": op10_licenses,
     "op6_language_id": op6_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
@@ -77,6 +87,7 @@ ORACLE_SQL = {
                true AS digest_ok
         FROM ids
     """,
+    "op10_licenses": licenses.oracle_sql(),
     "op9_line_dedup": """
         WITH lines AS (
             SELECT doc_id, source, line, pos FROM (
