@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.scratch import written
@@ -15,6 +16,8 @@ from lectern.llm.shingles import with_shingles, words
 BANDS, ROWS = 25, 5
 #: Shingles that a task signs at a time; a longer document is signed by itself.
 AT_A_TIME = 400_000
+#: Deviations of a signature's estimate by which a pair may fall short of the threshold and still be verified.
+DEVIATIONS = 3.6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,7 +96,8 @@ def _list_array(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 
 
 def sign(bands: int, rows: int):
-    """Batches of (row_id, key, shingles) to (row_id, key, bands); no shingles: no bands."""
+    """Batches of (row_id, key, shingles) to (row_id, key, bands, prints): band hashes, and a byte of each component. No
+    shingles: empty lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +110,10 @@ def sign(bands: int, rows: int):
                 hashes = band_hashes(signature[some], bands, rows).ravel()
                 lists = _list_array(hashes, np.append(0, np.cumsum(np.where(some, bands, 0))))
                 part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["row_id", "key", "bands"])
+                prints = (mix(signature[some].view(np.uint64)) >> np.uint64(56)).astype(np.uint8).view(np.int8).ravel()
+                ends = pa.array(np.append(0, np.cumsum(np.where(some, bands * rows, 0))), pa.int32())
+                prints = pa.ListArray.from_arrays(ends, pa.array(prints, pa.int8()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, prints], ["row_id", "key", "bands", "prints"])
 
     return run
 
@@ -147,12 +154,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     1. Texts with the same words are one text from here on, so copies cost nothing.
     2. Texts that share a band are candidates: at similarity 0.8 a pair shares none of 25 bands of 5 with probability
-       1 in 20,000. No bucket is capped. Each text of a bucket is first verified against the bucket's least text.
+       1 in 20,000. No bucket is capped. Each text of a bucket is first verified against the bucket's hub: the text that meets most
+       others in its buckets, such as the one that a group of near copies was made from.
     3. The links found join texts into components. Where a bucket still holds several, each text outside
-       its least text's component is verified against all texts of the bucket in other components. What
+       its hub's component is verified against all texts of the bucket in other components. What
        is skipped could only link texts that are in one component already, so no link between classes is lost,
        and a bucket of n near copies costs n pairs, not n x n.
     4. Components are formed over all links.
+    Before a candidate pair's texts are compared, its signatures must agree to within DEVIATIONS deviations of
+    the threshold; a pair at 0.8 fails that with probability 1 in 6,000.
 
     Null, empty or wordless texts: a class each, by document id. Null ids: in their text's class, whose class_id
     ignores them; a class of null ids only has a null class_id. Repeated rows of an id count one by
@@ -164,13 +174,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         key = F.md5(F.array_join(words(F.col("text")), " "))
         return with_shingles(df, "text").withColumn("key", key).select("row_id", "key", "shingles")
 
-    signed = written(keyed(base).mapInArrow(sign(bands, rows), "row_id long, key string, bands array<long>"), "signatures")
+    signed = written(keyed(base).mapInArrow(sign(bands, rows), "row_id long, key string, bands array<long>, prints array<tinyint>"), "signatures")
     has = F.size("bands") > 0
-    texts = signed.where(has).groupBy("key").agg(F.min(F.struct("row_id", "bands")).alias("t")).select("key", "t.row_id", "t.bands")
+    texts = signed.where(has).groupBy("key").agg(F.min(F.struct("row_id", "bands", "prints")).alias("t")).select("key", "t.*")
     texts = written(texts, "texts")
     banded = texts.select("key", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = written(banded.join(buckets, ["band", "hash"]), "buckets")
+    buckets = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mates = written(banded.join(buckets, ["band", "hash"]), "buckets")
+    met = mates.groupBy("key").agg(F.sum("n").alias("met"))
+    ranked = written(mates.drop("n").join(met, "key"), "ranked-buckets")
+    hubs = ranked.groupBy("band", "hash").agg(F.max(F.struct("met", "key"))["key"].alias("hub"))
+    members = written(ranked.drop("met").join(hubs, ["band", "hash"]), "buckets")
+
+    prints = texts.select("key", "prints")
+    least_equal = (threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / (bands * rows))) * bands * rows
+
+    def alike(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, e: n + e) >= least_equal
 
     wanted = written(members.select("key").distinct().join(texts.select("key", "row_id"), "key"), "wanted")
     same_row = base["row_id"].eqNullSafe(wanted["row_id"])
@@ -184,18 +204,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("same"))
         return both.where(F.col("same") >= F.lit(threshold) * (F.col("m") + F.col("n") - F.col("same"))).select("a", "b")
 
-    stars = members.where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    links = written(linked(stars), "links")
+    stars = members.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    stars = stars.join(prints.select(F.col("key").alias("a"), F.col("prints").alias("pa")), "a").join(prints.select(F.col("key").alias("b"), F.col("prints").alias("pb")), "b")
+    links = written(linked(stars.where(alike("pa", "pb")).select("a", "b")), "links")
     parts = components(links)
 
     of = parts.select(F.col("node").alias("key"), "component")
-    of_least = parts.select(F.col("node").alias("least"), F.col("component").alias("main"))
-    placed = members.join(of, "key", "left").join(of_least, "least", "left")
-    placed = placed.select("band", "hash", "key", "least", F.coalesce("component", "key").alias("component"), F.coalesce("main", "least").alias("main"))
+    of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    placed = members.join(of, "key", "left").join(of_hub, "hub", "left")
+    placed = placed.select("band", "hash", "key", "hub", F.coalesce("component", "key").alias("component"), F.coalesce("main", "hub").alias("main"))
     placed = written(placed, "placed")
-    outside = placed.where((F.col("component") != F.col("main"))).select("band", "hash", F.col("key").alias("k"), F.col("component").alias("c"))
-    others = placed.where("key != least").select("band", "hash", "key", "component", (F.col("component") == F.col("main")).alias("in_main"))
-    rest = outside.join(others, ["band", "hash"]).where((F.col("c") != F.col("component")) & (F.col("in_main") | (F.col("k") < F.col("key"))))
+    signed_places = placed.join(prints, "key")
+    outside = signed_places.where(F.col("component") != F.col("main")).select("band", "hash", F.col("key").alias("k"), F.col("component").alias("c"), F.col("prints").alias("pk"))
+    others = signed_places.where("key != hub").select("band", "hash", "key", "component", "prints", (F.col("component") == F.col("main")).alias("in_main"))
+    rest = outside.join(others, ["band", "hash"]).where((F.col("c") != F.col("component")) & (F.col("in_main") | (F.col("k") < F.col("key"))) & alike("pk", "prints"))
     rest = rest.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
     more = written(linked(rest), "links")
     final = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
