@@ -233,8 +233,8 @@ ORACLE_SQL = {
     "flagged_files": f"WITH {_STATUS} SELECT rel_path, parse_status FROM statuses WHERE parse_status <> 'ok'",
     "html_to_markdown": f"SELECT 'pages/' || page_id || '.html' AS rel_path, {_MARKDOWN} AS markdown FROM pages",
     "conversation_markdown": f"WITH {_CONV} SELECT rel_path, sha256(markdown) AS file_hash, markdown FROM convs",
-    "page_marks": f"WITH {_CONV} SELECT rel_path, at::BIGINT AS "offset", page FROM marks",
-    "page_at": f"WITH {_CONV} SELECT p.rel_path, p.at::BIGINT AS "offset", (SELECT max(page) FROM marks m WHERE m.rel_path = p.rel_path AND m.at <= p.at) AS page FROM places p",
+    "page_marks": f"WITH {_CONV} SELECT rel_path, at::BIGINT AS offset, page FROM marks",
+    "page_at": f"WITH {_CONV} SELECT p.rel_path, p.at::BIGINT AS offset, (SELECT max(page) FROM marks m WHERE m.rel_path = p.rel_path AND m.at <= p.at) AS page FROM places p",
     "heading_path_at": rf"""WITH {_CONV}, lines AS (
             SELECT rel_path, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS n FROM convs
         ), starts AS (
@@ -246,7 +246,7 @@ ORACLE_SQL = {
             SELECT p.rel_path, p.at, h.level, h.title FROM spots p JOIN heads h ON h.rel_path = p.rel_path AND h.start < p.at
             WHERE NOT EXISTS (SELECT 1 FROM heads g WHERE g.rel_path = h.rel_path AND g.start < p.at AND g.start > h.start AND g.level <= h.level)
         )
-        SELECT p.rel_path, p.at::BIGINT AS "offset", coalesce(string_agg(title, ' / ' ORDER BY level), '') AS heading_path
+        SELECT p.rel_path, p.at::BIGINT AS offset, coalesce(string_agg(title, ' / ' ORDER BY level), '') AS heading_path
         FROM spots p LEFT JOIN kept k ON k.rel_path = p.rel_path AND k.at = p.at GROUP BY ALL""",
     "card_chunks": f"""WITH {_FILES} SELECT rel_path, part, md5(substr(markdown, part * 4000 + 1, 4000)) AS digest
         FROM (SELECT rel_path, markdown, unnest(range(greatest(1, (length(markdown) + 3999) // 4000))) AS part FROM files)""",
@@ -263,7 +263,7 @@ ORACLE_SQL = {
         ), firsts AS (SELECT rel_path, shared, min(part) AS part FROM parts GROUP BY 1, 2)
         SELECT p.rel_path, bool_or(p.shared >= 3) AS relevant, coalesce(max(p.shared) FILTER (p.shared >= 3), min(p.shared)) / 8 AS confidence, any_value(r.reasoning) AS reasoning
         FROM parts p JOIN (SELECT rel_path, string_agg('overlap=' || shared, ' | ' ORDER BY part) AS reasoning FROM firsts GROUP BY 1) r USING (rel_path) GROUP BY 1""",
-    "quote_ground_exact": f"WITH {_FILES} SELECT item_id, rel_path, strpos(lower(markdown), lower(b.text)) - 1 AS "offset" FROM files JOIN benchmark b ON strpos(lower(markdown), lower(b.text)) > 0",
+    "quote_ground_exact": f"WITH {_FILES} SELECT item_id, rel_path, strpos(lower(markdown), lower(b.text)) - 1 AS offset FROM files JOIN benchmark b ON strpos(lower(markdown), lower(b.text)) > 0",
     "question_key": "SELECT item_id, sha256(text || chr(0) || 'a definition' || chr(0) || 'recall') AS question_hash FROM benchmark",
     "eval_cache_probe": f"WITH {_FILES} SELECT rel_path, {_KEY} AS question_hash, file_hash IN (SELECT file_hash FROM files WHERE doc_id % 3 = 0) AS cached FROM files",
     "hits": f"WITH {_found(2)}, {_HITS} SELECT * FROM hits",
