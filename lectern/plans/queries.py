@@ -166,9 +166,9 @@ _CONV = """turns AS (
     FROM turns GROUP BY conv_id
 ), marks AS (
     SELECT rel_path, turn, turn + 1 AS page, length(title) + coalesce(sum(length(part)) OVER (
-        PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+        PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot
     FROM turns JOIN convs USING (conv_id)
-), places AS (SELECT rel_path, unnest([at - 1, at, at + 5]) AS at FROM marks)"""
+), places AS (SELECT rel_path, unnest([spot - 1, spot, spot + 5]) AS spot FROM marks)"""
 _STATUS = f"""{_CONV}, statuses AS (
     SELECT rel_path, length(markdown) AS chars, pages, CASE WHEN length(markdown) < 200 THEN 'zero_text' ELSE 'ok' END AS parse_status FROM convs)"""
 _SENTENCES = f"""{_FILES}, cut AS (
@@ -233,8 +233,8 @@ ORACLE_SQL = {
     "flagged_files": f"WITH {_STATUS} SELECT rel_path, parse_status FROM statuses WHERE parse_status <> 'ok'",
     "html_to_markdown": f"SELECT 'pages/' || page_id || '.html' AS rel_path, {_MARKDOWN} AS markdown FROM pages",
     "conversation_markdown": f"WITH {_CONV} SELECT rel_path, sha256(markdown) AS file_hash, markdown FROM convs",
-    "page_marks": f"WITH {_CONV} SELECT rel_path, at::BIGINT AS offset, page FROM marks",
-    "page_at": f"WITH {_CONV} SELECT p.rel_path, p.at::BIGINT AS offset, (SELECT max(page) FROM marks m WHERE m.rel_path = p.rel_path AND m.at <= p.at) AS page FROM places p",
+    "page_marks": f"WITH {_CONV} SELECT rel_path, spot::BIGINT AS offset, page FROM marks",
+    "page_at": f"WITH {_CONV} SELECT p.rel_path, p.spot::BIGINT AS offset, (SELECT max(page) FROM marks m WHERE m.rel_path = p.rel_path AND m.spot <= p.spot) AS page FROM places p",
     "heading_path_at": rf"""WITH {_CONV}, lines AS (
             SELECT rel_path, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS n FROM convs
         ), starts AS (
@@ -242,12 +242,12 @@ ORACLE_SQL = {
         ), heads AS (
             SELECT rel_path, start, length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \t]+(.*)$', 1)) AS level, trim(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \t]+(.*)$', 2)) AS title
             FROM starts WHERE regexp_matches(line, '^ {{0,3}}(#{{1,6}})[ \t]+(.*)$')
-        ), spots AS (SELECT DISTINCT rel_path, at FROM places), kept AS (
-            SELECT p.rel_path, p.at, h.level, h.title FROM spots p JOIN heads h ON h.rel_path = p.rel_path AND h.start < p.at
-            WHERE NOT EXISTS (SELECT 1 FROM heads g WHERE g.rel_path = h.rel_path AND g.start < p.at AND g.start > h.start AND g.level <= h.level)
+        ), spots AS (SELECT DISTINCT rel_path, spot FROM places), kept AS (
+            SELECT p.rel_path, p.spot, h.level, h.title FROM spots p JOIN heads h ON h.rel_path = p.rel_path AND h.start < p.spot
+            WHERE NOT EXISTS (SELECT 1 FROM heads g WHERE g.rel_path = h.rel_path AND g.start < p.spot AND g.start > h.start AND g.level <= h.level)
         )
-        SELECT p.rel_path, p.at::BIGINT AS offset, coalesce(string_agg(title, ' / ' ORDER BY level), '') AS heading_path
-        FROM spots p LEFT JOIN kept k ON k.rel_path = p.rel_path AND k.at = p.at GROUP BY ALL""",
+        SELECT p.rel_path, p.spot::BIGINT AS offset, coalesce(string_agg(title, ' / ' ORDER BY level), '') AS heading_path
+        FROM spots p LEFT JOIN kept k ON k.rel_path = p.rel_path AND k.spot = p.spot GROUP BY ALL""",
     "card_chunks": f"""WITH {_FILES} SELECT rel_path, part, md5(substr(markdown, part * 4000 + 1, 4000)) AS digest
         FROM (SELECT rel_path, markdown, unnest(range(greatest(1, (length(markdown) + 3999) // 4000))) AS part FROM files)""",
     "lexical_cards": f"""WITH {_FILES}, cards AS (SELECT rel_path, list_sort(list_distinct(regexp_extract_all(lower(markdown), '[a-z]{{4,}}')))[1:8] AS terms FROM files)
