@@ -18,6 +18,8 @@ BANDS, ROWS = 25, 5
 AT_A_TIME = 400_000
 #: Deviations of a signature's estimate by which a pair may fall short of the threshold and still be verified.
 DEVIATIONS = 3.6
+#: Bits of the filter for each text that has candidates, and at most: 32 MB.
+FILTER_BITS, MOST_BITS = 16, 1 << 28
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,6 +148,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def among(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
+    """The rows whose col is in wanted, nulls included. A bitmap of hashed values, broadcast, drops most others before the
+    shuffle: FILTER_BITS for each wanted value, and never more than MOST_BITS in all. The exact semi-join follows."""
+    wanted = wanted.select(F.col(col).alias("_w")).distinct()
+    bits = min(MOST_BITS, 1 << max(15, (FILTER_BITS * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = wanted.select(place("_w").alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("_m")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_map"))
+    at = place(col) % 32768
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    some = rows.join(F.broadcast(maps), F.floor(place(col) / 32768) == F.col("_m")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_m", "_map")
+    return some.join(wanted, some[col].eqNullSafe(wanted["_w"]), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, kept.
 
@@ -154,13 +169,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     1. Texts with the same words are one text from here on, so copies cost nothing.
     2. Texts that share a band are candidates: at similarity 0.8 a pair shares none of 25 bands of 5 with probability
-       1 in 20,000. No bucket is capped. Each text of a bucket is first verified against the bucket's hub: the text that meets most
-       others in its buckets, such as the one that a group of near copies was made from.
-    3. The links found join texts into components. Where a bucket still holds several, each text outside
-       its hub's component is verified against all texts of the bucket in other components. What
-       is skipped could only link texts that are in one component already, so no link between classes is lost,
-       and a bucket of n near copies costs n pairs, not n x n.
-    4. Components are formed over all links.
+       1 in 20,000. No bucket is capped. The hub of a bucket is the text that meets most others in its buckets, such as
+       the one that a group of near copies was made from. Each text is first verified against the
+       greatest of its buckets' hubs.
+    3. The links found join texts into components. Then each text is verified against the hubs of its buckets that
+       lie in other components.
+    4. Where a bucket still holds several components, each text outside its hub's is verified against
+       all texts of the bucket in other components. What is skipped could only link texts that are in one component
+       already, so no link between classes is lost, and a bucket of n near copies costs n pairs, not n x n.
+    5. Components are formed over all links.
     Before a candidate pair's texts are compared, its signatures must agree to within DEVIATIONS deviations of
     the threshold; a pair at 0.8 fails that with probability 1 in 6,000.
 
@@ -171,58 +188,70 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     base = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
 
     def keyed(df: DataFrame) -> DataFrame:
-        key = F.md5(F.array_join(words(F.col("text")), " "))
+        key = F.unhex(F.md5(F.array_join(words(F.col("text")), " ")))
         return with_shingles(df, "text").withColumn("key", key).select("row_id", "key", "shingles")
 
-    signed = written(keyed(base).mapInArrow(sign(bands, rows), "row_id long, key string, bands array<long>, prints array<tinyint>"), "signatures")
+    signed = written(keyed(base).mapInArrow(sign(bands, rows), "row_id long, key binary, bands array<long>, prints array<tinyint>"), "signatures")
     has = F.size("bands") > 0
     texts = signed.where(has).groupBy("key").agg(F.min(F.struct("row_id", "bands", "prints")).alias("t")).select("key", "t.*")
     texts = written(texts, "texts")
-    banded = texts.select("key", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mates = written(banded.join(buckets, ["band", "hash"]), "buckets")
+    banded = texts.select("key", F.explode("bands").alias("bucket"))  # a band's number is mixed into its hashes
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mates = written(banded.join(buckets, "bucket"), "buckets")
     met = mates.groupBy("key").agg(F.sum("n").alias("met"))
     ranked = written(mates.drop("n").join(met, "key"), "ranked-buckets")
-    hubs = ranked.groupBy("band", "hash").agg(F.max(F.struct("met", "key"))["key"].alias("hub"))
-    members = written(ranked.drop("met").join(hubs, ["band", "hash"]), "buckets")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("h")).select("bucket", F.col("h.key").alias("hub"), F.col("h.met").alias("hub_met"))
+    members = written(ranked.drop("met").join(hubs, "bucket"), "buckets")
 
-    prints = texts.select("key", "prints")
     least_equal = (threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / (bands * rows))) * bands * rows
+    wanted = written(members.select("key").distinct().join(texts.select("key", "row_id", "prints"), "key"), "wanted")
+    prints = wanted.select("key", "prints")
+    units = keyed(among(base, wanted, "row_id"))
+    units = units.join(wanted.select("key"), "key", "left_semi").select("key", "shingles").dropDuplicates(["key"])
+    units = written(units.mapInArrow(as_sets, "key binary, units array<long>"), "units")
 
     def alike(x: str, y: str) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, e: n + e) >= least_equal
 
-    wanted = written(members.select("key").distinct().join(texts.select("key", "row_id"), "key"), "wanted")
-    same_row = base["row_id"].eqNullSafe(wanted["row_id"])
-    units = keyed(base.join(wanted.select("row_id").distinct(), same_row, "left_semi"))
-    units = units.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "shingles").dropDuplicates(["key"])
-    units = written(units.mapInArrow(as_sets, "key string, units array<long>"), "units")
-
     def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), whose signatures agree, that are at the threshold."""
         left = units.select(F.col("key").alias("a"), F.col("units").alias("x"))
         right = units.select(F.col("key").alias("b"), F.col("units").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("same"))
         return both.where(F.col("same") >= F.lit(threshold) * (F.col("m") + F.col("n") - F.col("same"))).select("a", "b")
 
-    stars = members.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    stars = stars.join(prints.select(F.col("key").alias("a"), F.col("prints").alias("pa")), "a").join(prints.select(F.col("key").alias("b"), F.col("prints").alias("pb")), "b")
-    links = written(linked(stars.where(alike("pa", "pb")).select("a", "b")), "links")
-    parts = components(links)
-
-    of = parts.select(F.col("node").alias("key"), "component")
-    of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("main"))
-    placed = members.join(of, "key", "left").join(of_hub, "hub", "left")
-    placed = placed.select("band", "hash", "key", "hub", F.coalesce("component", "key").alias("component"), F.coalesce("main", "hub").alias("main"))
-    placed = written(placed, "placed")
-    signed_places = placed.join(prints, "key")
-    outside = signed_places.where(F.col("component") != F.col("main")).select("band", "hash", F.col("key").alias("k"), F.col("component").alias("c"), F.col("prints").alias("pk"))
-    others = signed_places.where("key != hub").select("band", "hash", "key", "component", "prints", (F.col("component") == F.col("main")).alias("in_main"))
-    rest = outside.join(others, ["band", "hash"]).where((F.col("c") != F.col("component")) & (F.col("in_main") | (F.col("k") < F.col("key"))) & alike("pk", "prints"))
+    def stars(pairs: DataFrame) -> DataFrame:
+        """Links of texts (key) to hubs."""
+        pairs = pairs.select(F.col("hub").alias("a"), F.col("key").alias("b"))
+        pairs = pairs.join(prints.select(F.col("key").alias("a"), F.col("prints").alias("pa")), "a").join(prints.select(F.col("key").alias("b"), F.col("prints").alias("pb")), "b")
+        return linked(pairs.where(alike("pa", "pb")).select("a", "b"))
+
+    def place(parts: DataFrame) -> DataFrame:
+        """members with each text's component, and its hub's (main)."""
+        of = parts.select(F.col("node").alias("key"), "component")
+        of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+        placed = members.join(of, "key", "left").join(of_hub, "hub", "left")
+        return placed.select("bucket", "key", "hub", F.coalesce("component", "key").alias("component"), F.coalesce("main", "hub").alias("main"))
+
+    def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+        return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+    others = members.where("key != hub")
+    greatest = others.groupBy("key").agg(F.max(F.struct("hub_met", "hub"))["hub"].alias("hub"))
+    parts = components(written(stars(greatest), "links"))
+    apart = place(parts).where("component != main").select("hub", "key").distinct()
+    parts = joined(parts, written(stars(apart), "links"))
+
+    placed = written(place(parts), "placed")
+    mixed = placed.where("component != main").select("bucket").distinct()
+    signed_places = placed.join(mixed, "bucket", "left_semi").join(prints, "key")
+    outside = signed_places.where("component != main").select("bucket", F.col("key").alias("k"), F.col("component").alias("c"), F.col("prints").alias("pk"))
+    rest = signed_places.where("key != hub").select("bucket", "key", "component", "prints", (F.col("component") == F.col("main")).alias("in_main"))
+    rest = outside.join(rest, "bucket").where((F.col("c") != F.col("component")) & (F.col("in_main") | (F.col("k") < F.col("key"))) & alike("pk", "prints"))
     rest = rest.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
-    more = written(linked(rest), "links")
-    final = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    final = joined(parts, written(linked(rest), "links"))
 
-    alone = F.when(has, F.col("key")).otherwise(F.concat_ws(" ", F.lit("no words"), F.coalesce(F.col("row_id").cast("string"), F.lit("null"))))
+    alone = F.when(has, F.col("key")).otherwise(F.concat(F.lit("no words "), F.coalesce(F.col("row_id").cast("string"), F.lit("null"))).cast("binary"))
     rows_ = signed.select("row_id", alone.alias("key"))
     rows_ = rows_.join(final.select(F.col("node").alias("key"), "component"), "key", "left").select("row_id", F.coalesce("component", "key").alias("component"))
     rows_ = written(rows_, "classes")
