@@ -158,7 +158,8 @@ def among(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
     at = place(col) % 32768
     byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     some = rows.join(F.broadcast(maps), F.floor(place(col) / 32768) == F.col("_m")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_m", "_map")
-    return some.join(wanted, some[col].eqNullSafe(wanted["_w"]), "left_semi")
+    # An inner join, as Catalyst would push a semi-join beneath the filter, and shuffle all rows.
+    return some.join(wanted, some[col].eqNullSafe(wanted["_w"])).drop("_w")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,9 +175,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
        greatest of its buckets' hubs.
     3. The links found join texts into components. Then each text is verified against the hubs of its buckets that
        lie in other components.
-    4. Where a bucket still holds several components, each text outside its hub's is verified against
-       all texts of the bucket in other components. What is skipped could only link texts that are in one component
-       already, so no link between classes is lost, and a bucket of n near copies costs n pairs, not n x n.
+    4. Where a bucket still holds several components, each text outside its hub's is compared with
+       the texts of other components in the bucket. Of two texts at the threshold, the bags differ in at most
+       (1 - threshold) / (1 + threshold) of their joint size. What each differs from the hub by is known; so such
+       a pair either shares a shingle that the hub lacks, or both lack enough of the hub's shingles, and only
+       those pairs are verified. What is skipped can't be a link, or could only link texts that
+       are in one component already. So no link between classes is lost, and a bucket of n copies
+       with changes of their own costs about n pairs, not n x n.
     5. Components are formed over all links.
     Before a candidate pair's texts are compared, its signatures must agree to within DEVIATIONS deviations of
     the threshold; a pair at 0.8 fails that with probability 1 in 6,000.
@@ -244,11 +249,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     placed = written(place(parts), "placed")
     mixed = placed.where("component != main").select("bucket").distinct()
-    signed_places = placed.join(mixed, "bucket", "left_semi").join(prints, "key")
-    outside = signed_places.where("component != main").select("bucket", F.col("key").alias("k"), F.col("component").alias("c"), F.col("prints").alias("pk"))
-    rest = signed_places.where("key != hub").select("bucket", "key", "component", "prints", (F.col("component") == F.col("main")).alias("in_main"))
-    rest = outside.join(rest, "bucket").where((F.col("c") != F.col("component")) & (F.col("in_main") | (F.col("k") < F.col("key"))) & alike("pk", "prints"))
-    rest = rest.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
+    inside = placed.join(mixed, "bucket", "left_semi").where("key != hub")
+    spokes = inside.select("hub", "key").distinct()
+    spokes = spokes.join(units.select(F.col("key").alias("hub"), F.col("units").alias("h")), "hub").join(units, "key").join(prints, "key")
+    spokes = written(spokes.select("hub", "key", "prints", F.size("units").alias("size"), F.size(F.array_except("h", "units")).alias("lost"), F.array_except("units", "h").alias("new")), "spokes")
+    told = inside.join(spokes.select("hub", "key", "prints", "size", "lost", F.size("new").alias("gained")), ["hub", "key"])
+    side = lambda df, *by: df.select(*by, *[F.col(c).alias(f"{c}_") for c in ("key", "component", "prints", "size", "lost", "gained")])
+    both_ways = (F.col("component_") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("key_") < F.col("key"))) & alike("prints_", "prints")
+    least_common = (F.col("lost_") + F.col("gained_") + F.col("lost") + F.col("gained") - (1 - threshold) / (1 + threshold) * (F.col("size_") + F.col("size"))) / 2
+    outside = F.col("component") != F.col("main")
+    plain = side(told.where(outside), "bucket").join(told, "bucket").where(both_ways & (F.least("lost_", "lost") >= least_common - 1e-6))
+    gains = told.drop("bucket").distinct().join(spokes.select("hub", "key", F.explode("new").alias("unit")), ["hub", "key"])
+    sharing = side(gains.where(outside), "hub", "unit").join(gains, ["hub", "unit"]).where(both_ways)
+    rest = plain.select("key", "key_").union(sharing.select("key", "key_"))
+    rest = rest.select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).distinct()
     final = joined(parts, written(linked(rest), "links"))
 
     alone = F.when(has, F.col("key")).otherwise(F.concat(F.lit("no words "), F.coalesce(F.col("row_id").cast("string"), F.lit("null"))).cast("binary"))
