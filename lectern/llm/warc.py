@@ -49,13 +49,17 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    firsts = rows.where(F.col("bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    later = rows.select("page_id", "digest").distinct().join(firsts.where("n > 1").drop("n"), "digest").where("NOT page_id <=> first")
-    later = later.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
-    rows = rows.join(later, rows["page_id"].eqNullSafe(later["p"]) & (rows["digest"] == later["d"]), "left")
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
-
-    revisit = F.col("d").isNotNull()
+    # What is to be known of each page is found on narrow rows; the html is then shuffled once, and never sorted:
+    # each partition holds the narrow rows of its pages in a hash table. Only repeated rows of a page are numbered by a sort.
+    keys = rows.groupBy("page_id", "digest", "bytes").agg(F.count(F.lit(1)).alias("rows"))
+    firsts = keys.where(F.col("bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    known = keys.join(firsts, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "rows", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    known = written(known, "pages")
+    of = lambda some: rows.join(some.hint("shuffle_hash"), rows["page_id"].eqNullSafe(some["p"]) & (rows["digest"] == some["d"]))
+    repeated = of(known.where("rows > 1")).withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    rows = of(known.where("rows = 1")).withColumn("copy", F.lit(1)).unionByName(repeated)
+
+    revisit = F.col("first").isNotNull()
     here = lambda kind: _urn(kind, F.col("page_id"), F.col("digest"), F.col("copy"))
     main = here("capture")
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
