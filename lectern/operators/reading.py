@@ -1,11 +1,13 @@
-"""Reading whole files: sections, cards, routing, lexical extraction, grounding, verdicts, hits, evidence."""
+"""Reading whole files: sections, cards, routing, lexical extraction, grounding, verdicts, hits, evidence, batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.grounding import spans_of
 
 RELEVANCE = {"recall": 1, "balanced": 2, "strict": 3}
 
@@ -104,3 +106,82 @@ def number_evidence(found: DataFrame, buckets: int = 256) -> DataFrame:
     starts = ranked.join(F.broadcast(offsets), "part").select("rel_path", (F.col("offset") + F.coalesce("inside", F.lit(0))).alias("start"))
     own = F.row_number().over(Window.partitionBy("rel_path").orderBy("seq"))
     return found.withColumn("own", own).join(starts, "rel_path").withColumn("number", F.col("start") + F.col("own")).drop("own", "start")
+
+
+def split_sections(files: DataFrame, most: int) -> DataFrame:
+    """rel_path, section, text: files cut at their headings where they are longer than most code points, level by level. A
+    level that gives one part only is passed over, blank parts are left out, and what is still too long is cut into slices."""
+    parts = files.select("rel_path", F.array(F.lit(0)).alias("place"), F.col("markdown").alias("text"))
+    for level in range(1, 7):
+        cut = F.filter(F.split("text", rf"(?md)^(?=#{{{level}}}\s)"), lambda p: p.rlike(r"\S"))
+        cut = F.when((F.char_length("text") > most) & (F.size(cut) > 1), cut).otherwise(F.array("text"))
+        parts = parts.select("rel_path", "place", F.posexplode(cut).alias("k", "text")).select("rel_path", F.concat("place", F.array("k")).alias("place"), "text")
+    n = F.greatest(F.lit(1), F.ceil(F.char_length("text") / most)).cast("int")
+    slices = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("text"), k * most + 1, F.lit(most)))
+    parts = parts.select("rel_path", "place", F.posexplode(slices).alias("slice", "text"))
+    number = F.row_number().over(Window.partitionBy("rel_path").orderBy("place", "slice")) - 1
+    return parts.select("rel_path", number.alias("section"), "text")
+
+
+def merge_cards(parts: DataFrame, lists: list[str], most: int = 50) -> DataFrame:
+    """The cards of a file's parts (rel_path, part, lists) as one: items in order of first use, ignoring case, `most` of each list."""
+    each = F.array(*[F.struct(F.lit(name).alias("list"), F.col(name).alias("items")) for name in lists])
+    items = parts.select("rel_path", "part", F.explode(each).alias("l")).select("rel_path", "part", "l.list", F.posexplode("l.items").alias("pos", "item"))
+    items = items.withColumn("item", F.trim("item")).where("item != ''")
+    first = items.groupBy("rel_path", "list", F.lower("item").alias("key")).agg(F.min(F.struct("part", "pos", "item")).alias("first"))
+    of = lambda name: F.slice(F.sort_array(F.collect_list(F.when(F.col("list") == name, F.col("first")))), 1, most)["item"]
+    merged = first.groupBy("rel_path").agg(*[of(name).alias(name) for name in lists])
+    none = F.array().cast("array<string>")
+    return parts.select("rel_path").distinct().join(merged, "rel_path", "left").select("rel_path", *[F.coalesce(name, none).alias(name) for name in lists])
+
+
+def render_card(file_hash: Column, rel_path: Column, doc_type: Column, terms: Column, **lists: Column) -> Column:
+    """A card as eight lines; terms are structs of term and sense. Lists: claims, implicit, answers, absences, entities."""
+    shown = lambda items: F.when(F.size(items) > 0, F.array_join(items, "; ")).otherwise("-")
+    line = lambda name: F.concat(F.lit(f"{name}: "), shown(lists[name]), F.lit("\n"))
+    senses = F.transform(terms, lambda t: F.concat(t["term"], F.lit(" = "), t["sense"]))
+    kind = F.coalesce(F.nullif(doc_type, F.lit("")), F.lit("-"))
+    return F.concat(
+        F.lit("FILE "), file_hash, F.lit("\npath: "), rel_path, F.lit(" | type: "), kind, F.lit("\n"), line("claims"),
+        F.lit("terms: "), shown(senses), F.lit("\n"), line("implicit"), line("answers"), line("absences"), line("entities"),
+    )
+
+
+def batches(units: DataFrame, group: str, order: list[str], budget: int, most: int | None = None) -> DataFrame:
+    """units with batch, numbered from 0 in each group: a new batch begins where the tokens would exceed budget, or units
+    exceed most; a unit over the budget is a batch of its own. A group, such as a file, is packed in one task from its
+    order and tokens alone, so groups should hold no more than some hundred thousand units."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, numbers, batch, used, held = rows.sort_values(order), [], 0, 0, 0
+        for tokens in rows["tokens"]:
+            if held and (used + tokens > budget or held == most):
+                batch, used, held = batch + 1, 0, 0
+            used, held = used + tokens, held + 1
+            numbers.append(batch)
+        return rows.assign(batch=numbers)
+
+    slim = units.select(group, *order, "tokens")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", batch long"
+    return slim.groupBy(group).applyInPandas(run, schema)
+
+
+def ground(findings: DataFrame, files: DataFrame, at_a_time: int = 500) -> DataFrame:
+    """findings (rel_path, seq, quote) with verified, offset (code points of the first span) and quote as it stands in its file,
+    spans joined by an ellipsis; an unverified quote stays, without an offset. Null quotes are unverified; findings without a file are left out.
+
+    A file meets its quotes in rows of at_a_time, so its text is folded once for each of them, and no row grows without bound.
+    """
+    number = F.row_number().over(Window.partitionBy("rel_path").orderBy("seq"))
+    asked = findings.select("rel_path", "seq", "quote", F.floor((number - 1) / at_a_time).alias("part"))
+    asked = asked.groupBy("rel_path", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "quote"))).alias("asked"))
+    both = asked.join(files.select("rel_path", "markdown"), "rel_path").withColumn("spans", spans_of("markdown", F.col("asked")["quote"]))
+    piece = lambda s: F.regexp_replace(F.substring(F.col("markdown"), s["start"] + 1, s["end"] - s["start"]), r"^\s+|\s+$", "")
+    told = F.transform(
+        F.arrays_zip("asked", "spans"),
+        lambda z: F.struct(
+            z["asked"]["seq"].alias("seq"), (F.size(z["spans"]) > 0).alias("verified"), F.get(z["spans"], 0)["start"].alias("offset"),
+            F.when(F.size(z["spans"]) > 0, F.array_join(F.transform(z["spans"], piece), " … ")).otherwise(z["asked"]["quote"]).alias("quote"),
+        ),
+    )
+    return both.select("rel_path", F.explode(told).alias("t")).select("rel_path", "t.*")

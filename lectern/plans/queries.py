@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import drift, ledger, reading
+from lectern.operators import answers, drift, ledger, reading
 from lectern.sources import corpus
 
 #: Words of the fixed question that the lexical judge looks for.
@@ -115,6 +115,78 @@ def _drift(s: SparkSession, d: str) -> DataFrame:
     return drift.classify(files(s, d), _known(s, d))
 
 
+def _part_cards(s: SparkSession, d: str) -> DataFrame:
+    parts = reading.fixed_slices(files(s, d), 4000)
+    return parts.select("rel_path", "part", F.slice(F.sort_array(T.words(F.col("text"))), 1, 8).alias("terms"))
+
+
+def _cards(s: SparkSession, d: str) -> DataFrame:
+    """Rendered cards, one for each content."""
+    one = reading.lexical_cards(drift.final_files(files(s, d)))
+    terms, none = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit("as used").alias("sense"))), F.array().cast("array<string>")
+    card = reading.render_card(
+        F.col("file_hash"), F.col("rel_path"), F.lit("doc"), terms, claims=F.array(F.array_join("terms", " ")),
+        implicit=F.slice("terms", 1, 5), answers=none, absences=none, entities=none,
+    )
+    return one.select("rel_path", "file_hash", card.alias("card"))
+
+
+def _route_shards(s: SparkSession, d: str) -> DataFrame:
+    """Shards of cards, packed in groups of about 10,000 cards by their hashes, so that no task packs all."""
+    cards = _cards(s, d)
+    groups = max(1, -(-cards.count() // 10_000))
+    group = F.pmod(F.conv(F.substring("file_hash", 1, 8), 16, 10).cast("long"), F.lit(groups))
+    units = cards.select(group.alias("group"), "rel_path", T.tokens(F.col("card")).alias("tokens"))
+    return reading.batches(units, "group", ["rel_path"], 600, 13).select("group", "rel_path", "batch")
+
+
+def _reduce_batches(s: SparkSession, d: str) -> DataFrame:
+    found = reading.hits(reading.extract(files(s, d), TOPIC, "balanced")).select("rel_path", F.col("seq").cast("long").alias("seq"), T.tokens(F.col("quote")).alias("tokens"))
+    return reading.batches(found, "rel_path", ["seq"], 60).select("rel_path", "seq", "batch")
+
+
+def _grounded(s: SparkSession, d: str) -> DataFrame:
+    """Findings quoted in capitals with straightened dashes: each stands in its file, and is given back as it stands there."""
+    found = reading.extract(files(s, d), TOPIC, "strict").select("rel_path", F.col("seq").cast("long").alias("seq"), F.upper("quote").alias("quote"))
+    return reading.ground(found, files(s, d)).select("rel_path", "seq", "verified", F.md5(F.lower("quote")).alias("digest"))
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    """Answers that cite each turn of a conversation, of which even ones are evidence, and a number that isn't."""
+    t = turns(s, d).select(F.col("conv_id").alias("answer_id"), "turn")
+    line = F.format_string("Turn %d says something about this [%d, %d]. Nothing more is said here.", "turn", "turn", F.col("turn") + 1000)
+    said = t.groupBy("answer_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))["line"], "\n").alias("text"))
+    evidence = t.where("turn % 2 = 0").select("answer_id", F.col("turn").alias("number"), F.format_string("[conversations/%d.md]", "answer_id").alias("cite"))
+    got = answers.resolve(said, evidence)
+    return got.select("answer_id", "text", "resolved", F.col("uncited").cast("long").alias("uncited"), F.size("used").cast("long").alias("used"), F.size("bad").cast("long").alias("bad"))
+
+
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    t = turns(s, d).where("turn % 2 = 0")
+    heading = F.when(F.col("turn") % 4 != 0, F.concat("role", F.lit(" "), F.col("turn").cast("string")))
+    path = F.format_string("conversations/%d.md", "conv_id")
+    return answers.sources(t.select(path.alias("rel_path"), heading.alias("heading"), F.col("turn").alias("page")))
+
+
+def _citation_scores(s: SparkSession, d: str) -> DataFrame:
+    """The turns' cites, those at every fifth turn uncited, as one answer for each conversation; `§` must be cited."""
+    cites = _cites(s, d).select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, F.lit("[uncited]")).otherwise(F.col("cite")).alias("cite"))
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("turn", "cite")))["cite"], " ")
+    rows = cites.groupBy(F.col("conv_id").alias("answer_id")).agg(text.alias("text"))
+    scored = answers.score_citations(rows.withColumns({"sources": F.lit(""), "must_cite": F.array(F.lit("§"))}))
+    return scored.select("answer_id", F.round("validity", 9).alias("validity"), "must_cite_ok")
+
+
+def _replies(s: SparkSession, d: str) -> DataFrame:
+    """Replies with a finding for each of the first three sentences, fenced at even ids, and cut within the last at odd ids."""
+    found = F.transform(F.slice(T.sentences(F.col("markdown")), 1, 3), lambda q: F.struct(F.lit("c").alias("claim"), q.alias("quote")))
+    reply = F.to_json(F.struct("file_hash", F.lit(True).alias("relevant"), F.lit(0.5).alias("confidence"), F.lit("r").alias("reasoning"), found.alias("findings")))
+    fenced = F.concat(F.lit("```json\n"), reply, F.lit("\n```"))
+    cut = F.substring(reply, F.lit(1), F.char_length(reply) - 4)
+    raw = F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(cut)
+    return files(s, d).select("rel_path", answers.parse_reply(raw).alias("r")).select("rel_path", F.size("r.findings").cast("long").alias("findings"))
+
+
 QUERIES = {
     "corpus_scan": lambda s, d: files(s, d).select("rel_path", "file_hash", "size_bytes", "format"),
     "token_counts": lambda s, d: files(s, d).select("rel_path", T.tokens(F.col("markdown")).alias("tokens")),
@@ -154,6 +226,16 @@ QUERIES = {
     "verdict_history": lambda s, d: _evaluations(s, d).where("task = 'click'").select("run_id", "event_id", "evaluated_at"),
     "score_routing": lambda s, d: ledger.score_routing(_pairs(s, d)).select("pair", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"), "missing", "stray", "forbidden"),
     "score_mean": lambda s, d: ledger.score_routing(_pairs(s, d)).agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision")),
+    "section_split": lambda s, d: reading.split_sections(corpus.from_conversations(turns(s, d)), 400).select("rel_path", F.col("section").cast("long").alias("section"), F.md5("text").alias("digest")),
+    "merge_cards": lambda s, d: reading.merge_cards(_part_cards(s, d), ["terms"]).select("rel_path", F.array_join("terms", " ").alias("terms")),
+    "card_render": lambda s, d: _cards(s, d).select("rel_path", "card"),
+    "route_shards": _route_shards,
+    "reduce_batches": _reduce_batches,
+    "quote_ground_full": _grounded,
+    "cite_resolve": _resolved,
+    "sources_block": _sources,
+    "score_citations": _citation_scores,
+    "json_salvage": _replies,
     "vector_topk": lambda s, d: ledger.nearest(embeddings(s, d), [1.0] * 32 + [-1.0] * 32, 10),
 }
 
@@ -220,6 +302,35 @@ _MARKDOWN = rf"regexp_replace(regexp_replace({_MARKDOWN}, '<[^>]*>', '', 'g'), '
 for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _MARKDOWN = f"replace({_MARKDOWN}, '{_name}', '{_char}')"
 _MARKDOWN = rf"regexp_replace({_MARKDOWN}, '^\n+|\n+$', '', 'g')"
+_CUTS = "l0 AS (SELECT rel_path, [0] AS place, markdown AS text FROM convs)"
+for _level in range(1, 7):
+    _CUTS += rf""", l{_level} AS (SELECT rel_path, list_append(place, k) AS place, text FROM (
+        SELECT rel_path, place, generate_subscripts(cut, 1) AS k, unnest(cut) AS text FROM (
+            SELECT rel_path, place, CASE WHEN length(text) > 400 AND len(c) > 1 THEN c ELSE [text] END AS cut FROM (
+                SELECT *, list_filter(string_split(regexp_replace(text, '(^|\n)(#{{{_level}}}\s)', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda p: regexp_matches(p, '\S')) AS c
+                FROM l{_level - 1}))))"""
+_CARDS = f"""{_FILES}, ones AS (SELECT file_hash, min(rel_path) AS rel_path, any_value(markdown) AS markdown FROM files GROUP BY 1
+), carded AS (
+    SELECT rel_path, file_hash, CASE WHEN len(t) = 0 THEN ['misc'] ELSE t END AS t
+    FROM (SELECT *, list_sort(list_distinct(regexp_extract_all(lower(markdown), '[a-z]{{4,}}')))[1:8] AS t FROM ones)
+), cards AS (
+    SELECT rel_path, file_hash, 'FILE ' || file_hash || chr(10) || 'path: ' || rel_path || ' | type: doc' || chr(10) || 'claims: ' || array_to_string(t, ' ') || chr(10)
+        || 'terms: ' || array_to_string(list_transform(t, lambda w: w || ' = as used'), '; ') || chr(10) || 'implicit: ' || array_to_string(t[1:5], '; ') || chr(10)
+        || 'answers: -' || chr(10) || 'absences: -' || chr(10) || 'entities: -' || chr(10) AS card FROM carded)"""
+
+
+def _packed(units: str, key: str, order: str, budget: int, most: int) -> str:
+    """units (key, order, tokens) packed greedily, by walking each group."""
+    return f"""{units}, ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM units
+    ), walk AS (
+        SELECT {key}, {order}, n, tokens AS used, 1 AS held, 0::BIGINT AS batch FROM ranked WHERE n = 1
+        UNION ALL
+        SELECT r.{key}, r.{order}, r.n, CASE WHEN w.used + r.tokens > {budget} OR w.held = {most} THEN r.tokens ELSE w.used + r.tokens END,
+               CASE WHEN w.used + r.tokens > {budget} OR w.held = {most} THEN 1 ELSE w.held + 1 END, w.batch + (w.used + r.tokens > {budget} OR w.held = {most})::BIGINT
+        FROM walk w JOIN ranked r ON r.{key} = w.{key} AND r.n = w.n + 1
+    ) SELECT {key}, {order}, batch FROM walk"""
+
+
 _KEY = "sha256('what?' || chr(0) || chr(0) || 'balanced')"
 
 ORACLE_SQL = {
@@ -283,6 +394,34 @@ ORACLE_SQL = {
     "verdict_history": f"WITH {_EVALS} SELECT run_id, event_id, evaluated_at FROM evals WHERE task = 'click'",
     "score_routing": f"WITH {_PAIRS} SELECT pair, round(recall, 9) AS recall, round(precision, 9) AS precision, missing, stray, forbidden FROM scores",
     "score_mean": f"WITH {_PAIRS} SELECT round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision FROM scores",
+    "section_split": f"""WITH {_CONV}, {_CUTS} SELECT rel_path, row_number() OVER (PARTITION BY rel_path ORDER BY place, j) - 1 AS section, md5(substr(text, j * 400 + 1, 400)) AS digest
+        FROM (SELECT rel_path, place, text, unnest(range(greatest(1, (length(text) + 399) // 400))) AS j FROM l6)""",
+    "merge_cards": f"""WITH {_FILES}, parts AS (
+            SELECT rel_path, part, list_sort(list_distinct(regexp_extract_all(lower(substr(markdown, part * 4000 + 1, 4000)), '[a-z]{{4,}}')))[1:8] AS terms
+            FROM (SELECT rel_path, markdown, unnest(range(greatest(1, (length(markdown) + 3999) // 4000))) AS part FROM files)
+        ), items AS (SELECT rel_path, part, generate_subscripts(terms, 1) AS pos, unnest(terms) AS item FROM parts
+        ), firsts AS (SELECT rel_path, item, min((part, pos)) AS spot FROM items GROUP BY 1, 2
+        ), kept AS (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY spot) AS n FROM firsts)
+        SELECT f.rel_path, coalesce(string_agg(item, ' ' ORDER BY n), '') AS terms FROM files f LEFT JOIN kept k ON k.rel_path = f.rel_path AND n <= 50 GROUP BY 1""",
+    "card_render": f"WITH {_CARDS} SELECT rel_path, card FROM cards",
+    "route_shards": "WITH RECURSIVE " + _packed(
+        f"""{_CARDS}, units AS (SELECT ('0x' || file_hash[1:8])::BIGINT % (SELECT greatest(1, (count(*) + 9999) // 10000) FROM cards) AS "group", rel_path, greatest(1, length(card) // 4) AS tokens FROM cards)""",
+        '"group"', "rel_path", 600, 13),
+    "reduce_batches": "WITH RECURSIVE " + _packed(f"{_found(2)}, {_HITS}, units AS (SELECT rel_path, seq, greatest(1, length(quote) // 4) AS tokens FROM hits)", "rel_path", "seq", 60, -1),
+    "quote_ground_full": f"WITH {_found(3)} SELECT rel_path, seq, true AS verified, md5(lower(trim(quote, chr(32) || chr(9) || chr(10) || chr(13)))) AS digest FROM findings",
+    "cite_resolve": """WITH said AS (
+            SELECT conv_id, turn, 'Turn ' || turn || ' says something about this ' || CASE WHEN turn % 2 = 0 THEN '[conversations/' || conv_id || '.md]' ELSE '[uncited]' END
+                || ' [uncited]. Nothing more is said here. [uncited]' AS line FROM conversations)
+        SELECT conv_id AS answer_id, string_agg(line, chr(10) ORDER BY turn) AS text, count(*) FILTER (turn % 2 = 0) AS resolved, 2 * count(*) + count(*) FILTER (turn % 2 <> 0) AS uncited,
+            count(DISTINCT turn) FILTER (turn % 2 = 0) AS used, 2 * count(*) AS bad FROM said GROUP BY 1""",
+    "sources_block": """SELECT 'conversations/' || conv_id || '.md' AS rel_path, array_to_string(list_sort(list(DISTINCT
+            CASE WHEN turn % 4 <> 0 THEN role || ' ' || turn WHEN turn > 0 THEN 'p.' || turn ELSE '(whole file)' END)), ', ') AS sections FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id""",
+    "score_citations": """SELECT conv_id AS answer_id, CASE WHEN count(*) FILTER (turn % 5 = 4 OR turn <> 0) = 0 THEN 1.0 ELSE
+            round(count(*) FILTER (turn % 5 <> 4 AND turn <> 0) / count(*) FILTER (turn <> 0), 9) END AS validity, coalesce(bool_or(turn % 5 <> 4 AND turn <> 0), false) AS must_cite_ok
+        FROM conversations GROUP BY 1""",
+    "json_salvage": f"""WITH {_FILES}, cut AS (
+            SELECT doc_id, rel_path, len(list_filter(string_split(regexp_replace(markdown, '([.!?])[ \\t\\r\\n\\f]+', concat('\\1', chr(1)), 'g'), chr(1)), lambda s: s <> '')) AS n FROM files)
+        SELECT rel_path, greatest(0, least(n, 3) - doc_id % 2) AS findings FROM cut""",
     "vector_topk": """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_concat([1.0::DOUBLE FOR i IN range(32)], [-1.0::DOUBLE FOR i IN range(32)])), 6) AS score
         FROM embeddings ORDER BY score DESC, vec_id LIMIT 10""",
 }
