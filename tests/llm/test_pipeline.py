@@ -34,3 +34,27 @@ def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF_DIR).columns == docs.columns
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null and repeated ids: a decision on a row doesn't hit the others of its id, and one row of a group stays."""
+    item, words = "alpha beta gamma delta epsilon zeta eta theta iota kappa", [f"w{i}x" for i in range(60)]
+    near, far = " ".join(words), " ".join([*words[:-1], "other"])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def after(stage, *rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        got = stage(spark, docs.repartition(3), str(tmp_path))
+        assert got.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+    clean = [(None, "one clean text"), (None, "two clean texts"), (7, "three clean texts")]
+    known = [(i, "known words") for i in range(20, 30)]
+    assert after(corpus_pipeline.identify_language, *clean, *known, (None, None), (None, "12 34"), (7, "")) == sorted(clean + known, key=str)
+    assert after(corpus_pipeline.decontaminate, *clean, (None, item), (7, item)) == sorted(clean, key=str)
+    assert after(corpus_pipeline.keep_exact, (None, "a"), (None, "A"), (None, "b"), (3, "b"), (3, "b"), (5, "c"), (3, "c")) in ([(3, "b"), (5, "c"), (None, "a")], [(3, "b"), (5, "c"), (None, "A")])
+    got = after(corpus_pipeline.keep_near, (None, near), (4, far), (4, far), (6, near), (4, "quite another"), (None, item), (None, item))
+    assert got == sorted([(4, far), (4, "quite another"), (None, item)], key=str)
+    whole = known[:1] + [(i, f"more words {i}") for i in range(30, 40)] + [(None, f"{k} clean text of its own number {k}") for k in ("one", "two", "three")] + [(9, "nine"), (9, "neuf")]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert after(stage, *whole) == sorted(whole, key=str)
