@@ -97,21 +97,31 @@ def held_out(id_col: str) -> F.Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Fits on up to `sample` documents of each language: those whose ids have the least hashes.
 
-    Only documents with an id, a text and a language that aren't held out. Executors make the features, so the driver
-    gets sample x languages rows of BUCKETS numbers, whatever the corpus or the texts' lengths.
+    Only documents with an id, a text and a language that aren't held out. Rows of one id and language count as one
+    document, whose text is that of the least hash. Executors make the features, so the driver
+    gets at most sample x languages rows of BUCKETS numbers, whatever the corpus, its copies or the texts' lengths.
     """
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    ranked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    documents = known.groupBy("lang", "id").agg(F.min(F.xxhash64("text")).alias("least"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("id").distinct()
+    chosen = documents.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # copies of a document's text in this task
         for batch in batches:
-            found = [(lang.as_py(), x.tobytes()) for text, lang in zip(*batch.columns, strict=True) if (x := features(text.as_py())) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], ["lang", "x"])
-
-    texts = known.join(F.broadcast(chosen), F.col(id_col) == F.col("id"), "left_semi").select(F.col(text_col), F.col(lang_col))
-    rows = texts.mapInArrow(run, "lang string, x binary").collect()
+            found = []
+            for i, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (i, lang) not in seen:
+                    seen.add((i, lang))
+                    if (x := features(text.as_py())) is not None:
+                        found.append((i, lang, x.tobytes()))
+            arrays = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((batch.schema.field(0).type, pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "lang", "x"])
+
+    texts = known.join(F.broadcast(chosen), ["id", "lang"]).where(F.xxhash64("text") == F.col("least")).select("id", "lang", "text")
+    made = texts.mapInArrow(run, f"id {known.schema['id'].dataType.simpleString()}, lang string, x binary")
+    rows = made.groupBy("id", "lang").agg(F.min("x").alias("x")).select("lang", "x").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))

@@ -163,6 +163,20 @@ def test_languages_of_held_out_documents(spark):
     assert language_id.identify(docs.where("false"), None).count() == 0
 
 
+def test_an_id_that_comes_often_is_one_document_of_the_sample(spark, monkeypatch):
+    rng, drawn = random.Random(5), []
+    least = min((i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) - (xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) >> 63 << 64))
+    rows = [(i, " ".join(rng.choices(WORDS[lang].split(), k=9)), lang, "c") for i in range(400) for lang in WORDS]
+    rows += [(least, text, "aa", "c") for text in ["zel zal", "zul zil"] * 150]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda x, labels: drawn.append(labels) or fit(x, labels))
+    model = language_id.learn(docs.repartition(7), sample=50)
+    assert sorted(drawn[0]) == [lang for lang in WORDS for _ in range(50)]
+    of = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "bar bor"), (2, "zel zal"), (3, "ком кум")], "doc_id long, text string"), model).collect()}
+    assert of == {1: "aa", 2: "bb", 3: "cc"}
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 5, 8, 20):
         code = language_id.codewords(k)
