@@ -51,13 +51,13 @@ class Encoder:
     The tokenizer never joins what a single space between two non-space characters divides: the space begins
     a new word. So a text is cut at such spaces, and ids of a word that came before are looked up.
     A text with any other space is encoded whole: a part of it then is empty, or has white space at an end.
+    The added token takes no spaces beside it, so a text that holds it is cut alike, and it keeps its own id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:

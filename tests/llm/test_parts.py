@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from lectern.llm import html_text, language_id, licenses, packing, sharding, warc
 from lectern.llm.queries import tokenizer_path
@@ -69,6 +70,18 @@ def test_words_are_encoded_as_in_the_whole_text(text):
     assert encode(text) == b"".join(i.to_bytes(4, "little") for i in ids) == encode(text)
 
 
+def test_ids_are_those_of_the_plain_tokenizer(spark):
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|> a", "a<|endoftext|>b c", "a b <|endoftext|>", "a <|endoftext|><|endoftext|> b", "a  <|endoftext|>  b", "<| endoftext |> a"]
+    encode = packing.Encoder(tokenizer_path())
+    got = {r.doc_id: r for r in packing.pack(table(spark, enumerate(texts)), tokenizer_path()).collect()}
+    for i, text in enumerate(texts):
+        ids = b"".join(k.to_bytes(4, "little") for k in plain.encode(text, add_special_tokens=False).ids)
+        assert encode(text) == encode(text) == ids
+        assert (got[i].ids_crc32, 4 * got[i].doc_tokens) == (zlib.crc32(ids + (1).to_bytes(4, "little")), len(ids) + 4)
+
+
 def choice(doc_id, shards):
     seed = 42 if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
     scores = [-math.log(((xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed) >> 11) + 0.5) / 2**53) for k in range(shards)]
