@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +20,13 @@ from pyspark.sql import functions as F
 from lectern.llm.scratch import written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ticket long"
-#: Words that a task remembers the ids of, some 200 bytes each; further words are encoded each time they come.
-REMEMBERED = 500_000
+#: Longest run without a change between space and other characters that is merged by rank.
+LONGEST = 2000
+#: Settings of a BPE model that must be unset for merging by rank.
+ODD_MODEL = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+# How byte-level tokenizers of this make cut texts, and characters that are white space everywhere.
+PIECES_OF_TEXT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACES = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u3000"
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -45,39 +55,80 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
+@cache
+def kinds() -> np.ndarray:
+    """By code point: 1 for a character that was in Unicode 3.2 and is of the same kind now, 2 for such a space, 0 for any other."""
+    old, out = unicodedata.ucd_3_2_0.category, np.zeros(0x20000, np.uint8)
+    for i in range(len(out)):
+        c = chr(i)
+        was, now = old(c), unicodedata.category(c)
+        if now not in ("Cn", "Cs", "Co") and (was[0] if was[0] in "LN" else "") == (now[0] if now[0] in "LN" else "") and (was == "Cn") == (now == "Cn"):
+            out[i] = 1 if was not in ("Zs", "Zl", "Zp") and not c.isspace() else 2 if c in SPACES else 0
+    return out
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte of each letter of a byte-level vocabulary: visible Latin-1 characters stand for themselves, the others
+    follow from U+0100 on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, equal to those of the whole text at once.
+    """Ids of a text as little-endian unsigned 32-bit bytes, equal to those that the tokenizer file gives for the whole text.
 
-    The tokenizer never joins what a single space between two non-space characters divides: the space begins
-    a new word. So a text is cut at such spaces, and ids of a word that came before are looked up.
-    A text with any other space is encoded whole: a part of it then is empty, or has white space at an end.
-    The added token takes no spaces beside it, so a text that holds it is cut alike, and it keeps its own id.
+    The file is a byte-level BPE whose token numbers are the order of its merges, so tiktoken's merging by rank finds the
+    same ids, in a seventh of the time. It gets the texts that both surely cut alike: those of characters that
+    have been of one kind (letter, number, space or other) since Unicode 3.2, and without a run of over LONGEST characters
+    between changes from space to not; between added tokens, which keep their own ids. Any other text, and all texts if the file is of
+    another make, go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+        self.ranked = self.added = None
+        made = json.loads(self.tokenizer.to_str())
+        model, cut, added = made["model"], made["pre_tokenizer"] or {}, made["added_tokens"]
+        ids = model.get("vocab")
+        if model.get("type") != "BPE" or made["normalizer"] or made["post_processor"] or any(model.get(k) for k in ODD_MODEL):
+            return
+        if (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
+            return
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            return
+        names = {t["content"] for t in added}
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+        ordered = sorted((w for w in ids if w not in names), key=ids.get)
+        if ordered[256:] != merged or {len(w) for w in ordered[:256]} != {1} or [ids[w] for w in ordered] != list(range(len(ordered))):
+            return
+        import tiktoken
+
+        byte = byte_letters()
+        ranks = {bytes(byte[c] for c in w): ids[w] for w in ordered}
+        self.ranked = tiktoken.Encoding("ranked", pat_str=PIECES_OF_TEXT, mergeable_ranks=ranks, special_tokens={})
+        self.kinds = kinds()
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+
+    def _plain(self, text: str) -> bool:
+        if self.ranked is None:
+            return False
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(points) or points.max() >= len(self.kinds):
+            return not len(points)
+        kind = self.kinds[points]
+        space = kind == 2
+        turns = np.flatnonzero(space[1:] != space[:-1])
+        return bool(kind.all()) and bool(np.diff(turns, prepend=-1, append=len(points) - 1).max() <= LONGEST)
 
     def __call__(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        if not words or not first or first[-1].isspace():
-            return self._encode([text])[0]
-        got = list(map(self.known.get, words))
-        if None in got:
-            missing = list(dict.fromkeys(w for w, g in zip(words, got, strict=True) if g is None))
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
-                return self._encode([text])[0]
-            fresh = dict(zip(missing, self._encode([" " + w for w in missing]), strict=True))
-            if len(self.known) + len(fresh) <= REMEMBERED:
-                self.known.update(fresh)
-            got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        return self._encode([first])[0] + b"".join(got)
+        if not self._plain(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        parts = self.cut.split(text) if self.cut else [text]
+        return b"".join(self.added.get(p) or self.ranked.encode_to_numpy(p).astype("<u4").tobytes() for p in parts if p)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
