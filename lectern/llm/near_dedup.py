@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import written
+from lectern.llm.scratch import among, written
 from lectern.llm.shingles import with_shingles, words
 
 BANDS, ROWS = 25, 5
@@ -18,8 +18,6 @@ BANDS, ROWS = 25, 5
 AT_A_TIME = 400_000
 #: Deviations of a signature's estimate by which a pair may fall short of the threshold and still be verified.
 DEVIATIONS = 3.6
-#: Bits of the filter for each text that has candidates, and at most: 32 MB.
-FILTER_BITS, MOST_BITS = 16, 1 << 28
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,21 +146,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def among(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
-    """The rows whose col is in wanted, nulls included. A bitmap of hashed values, broadcast, drops most others before the
-    shuffle: FILTER_BITS for each wanted value, and never more than MOST_BITS in all. The exact semi-join follows."""
-    wanted = wanted.select(F.col(col).alias("_w")).distinct()
-    bits = min(MOST_BITS, 1 << max(15, (FILTER_BITS * wanted.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    maps = wanted.select(place("_w").alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("_m")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_map"))
-    at = place(col) % 32768
-    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    some = rows.join(F.broadcast(maps), F.floor(place(col) / 32768) == F.col("_m")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_m", "_map")
-    # An inner join, as Catalyst would push a semi-join beneath the filter, and shuffle all rows.
-    return some.join(wanted, some[col].eqNullSafe(wanted["_w"])).drop("_w")
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", small: int = 4096, levels: int = 4,
+) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, kept.
 
     Classes are the connected components of links between texts whose multisets of five-word shingles have
@@ -175,14 +161,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
        greatest of its buckets' hubs.
     3. The links found join texts into components. Then each text is verified against the hubs of its buckets that
        lie in other components.
-    4. Where a bucket still holds several components, each text outside its hub's is compared with
-       the texts of other components in the bucket. Of two texts at the threshold, the bags differ in at most
-       (1 - threshold) / (1 + threshold) of their joint size. What each differs from the hub by is known; so such
-       a pair either shares a shingle that the hub lacks, or both lack enough of the hub's shingles, and only
-       those pairs are verified. What is skipped can't be a link, or could only link texts that
-       are in one component already. So no link between classes is lost, and a bucket of n copies
-       with changes of their own costs about n pairs, not n x n.
-    5. Components are formed over all links.
+    4. Where a bucket still holds several components, its texts are told apart by the units (the k-th copies of shingles) in
+       which they differ from the hub. A text isn't linked to the hub if it lies outside the hub's component, so it differs from it
+       by more than a link allows, and the triangle inequality says how many of these units it must share with a text that it
+       is linked to. Units are ordered by how few texts have them; only those that can be the first shared one are
+       joined on, and only pairs for which enough units are left behind that one are verified. Units that no two components
+       share come first and are never joined on.
+    5. A unit that more than `small` texts would be joined on makes a group of its own, with one of its texts as
+       hub, and steps 3 and 4 are done for it; after `levels` rounds what is left is joined whatever its size. So no
+       link between classes is lost, and a bucket of n copies with changes of their own costs about n pairs, not n x n.
+    6. Components are formed over all links.
     Before a candidate pair's texts are compared, its signatures must agree to within DEVIATIONS deviations of
     the threshold; a pair at 0.8 fails that with probability 1 in 6,000.
 
@@ -225,45 +213,64 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("same"))
         return both.where(F.col("same") >= F.lit(threshold) * (F.col("m") + F.col("n") - F.col("same"))).select("a", "b")
 
-    def stars(pairs: DataFrame) -> DataFrame:
-        """Links of texts (key) to hubs."""
-        pairs = pairs.select(F.col("hub").alias("a"), F.col("key").alias("b"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links."""
         pairs = pairs.join(prints.select(F.col("key").alias("a"), F.col("prints").alias("pa")), "a").join(prints.select(F.col("key").alias("b"), F.col("prints").alias("pb")), "b")
         return linked(pairs.where(alike("pa", "pb")).select("a", "b"))
 
-    def place(parts: DataFrame) -> DataFrame:
-        """members with each text's component, and its hub's (main)."""
+    def place(groups: DataFrame, parts: DataFrame) -> DataFrame:
+        """groups (group, key, hub) with each text's component, and its hub's (main)."""
         of = parts.select(F.col("node").alias("key"), "component")
         of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("main"))
-        placed = members.join(of, "key", "left").join(of_hub, "hub", "left")
-        return placed.select("bucket", "key", "hub", F.coalesce("component", "key").alias("component"), F.coalesce("main", "hub").alias("main"))
+        placed = groups.join(of, "key", "left").join(of_hub, "hub", "left")
+        return placed.select("group", "key", "hub", F.coalesce("component", "key").alias("component"), F.coalesce("main", "hub").alias("main"))
 
     def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
-        return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+        return parts if links.isEmpty() else components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+    def told_apart(spokes: DataFrame) -> DataFrame:
+        """spokes (hub, key, component, main) to rows hub, unit, key, component, main, size, d, pos: those of the d units in which a
+        text and its hub differ that a link to a text of another component could be the first to share."""
+        both = spokes.join(units.select(F.col("key").alias("hub"), F.col("units").alias("h")), "hub").join(units, "key")
+        both = both.select("hub", "key", "component", "main", F.size("units").alias("size"), F.array_union(F.array_except("h", "units"), F.array_except("units", "h")).alias("apart"))
+        both = written(both, "spokes")
+        each = both.select("hub", "key", "component", F.explode("apart").alias("unit"))
+        shared = each.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+        order = each.join(written(shared.select("hub", "unit", "n"), "shared-units"), ["hub", "unit"]).groupBy("hub", "key").agg(F.sort_array(F.collect_list(F.struct("n", "unit"))).alias("order"))
+        rows = both.select("hub", "key", "component", "main", "size", F.size("apart").alias("d")).join(order, ["hub", "key"])
+        rows = rows.select("hub", "key", "component", "main", "size", "d", (F.col("d") - F.size("order")).alias("before"), F.posexplode("order").alias("at", "o"))
+        rows = rows.select("hub", "o.unit", "key", "component", "main", "size", "d", (F.col("before") + F.col("at")).alias("pos"))
+        return rows.where(F.col("pos") <= (1 - threshold) / threshold * F.col("size") + 1e-6)
+
+    def paired(rows: DataFrame) -> DataFrame:
+        """The pairs (a, b) of texts of other components, at least one outside its hub's, that can be links by what told_apart() says."""
+        other = rows.where("component != main").select("hub", "unit", *[F.col(c).alias(f"{c}_") for c in ("key", "component", "size", "d", "pos")])
+        room = F.least(F.col("d") - F.col("pos"), F.col("d_") - F.col("pos_"))
+        least_shared = (F.col("d") + F.col("d_") - (1 - threshold) / (1 + threshold) * (F.col("size") + F.col("size_"))) / 2
+        could = (F.col("component_") != F.col("component")) & (least_shared <= room + 1e-6) & ((F.col("component") == F.col("main")) | (F.col("key_") < F.col("key")))
+        pairs = other.join(rows, ["hub", "unit"]).where(could)
+        return pairs.select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).distinct()
 
     others = members.where("key != hub")
     greatest = others.groupBy("key").agg(F.max(F.struct("hub_met", "hub"))["hub"].alias("hub"))
-    parts = components(written(stars(greatest), "links"))
-    apart = place(parts).where("component != main").select("hub", "key").distinct()
-    parts = joined(parts, written(stars(apart), "links"))
-
-    placed = written(place(parts), "placed")
-    mixed = placed.where("component != main").select("bucket").distinct()
-    inside = placed.join(mixed, "bucket", "left_semi").where("key != hub")
-    spokes = inside.select("hub", "key").distinct()
-    spokes = spokes.join(units.select(F.col("key").alias("hub"), F.col("units").alias("h")), "hub").join(units, "key").join(prints, "key")
-    spokes = written(spokes.select("hub", "key", "prints", F.size("units").alias("size"), F.size(F.array_except("h", "units")).alias("lost"), F.array_except("units", "h").alias("new")), "spokes")
-    told = inside.join(spokes.select("hub", "key", "prints", "size", "lost", F.size("new").alias("gained")), ["hub", "key"])
-    side = lambda df, *by: df.select(*by, *[F.col(c).alias(f"{c}_") for c in ("key", "component", "prints", "size", "lost", "gained")])
-    both_ways = (F.col("component_") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("key_") < F.col("key"))) & alike("prints_", "prints")
-    least_common = (F.col("lost_") + F.col("gained_") + F.col("lost") + F.col("gained") - (1 - threshold) / (1 + threshold) * (F.col("size_") + F.col("size"))) / 2
-    outside = F.col("component") != F.col("main")
-    plain = side(told.where(outside), "bucket").join(told, "bucket").where(both_ways & (F.least("lost_", "lost") >= least_common - 1e-6))
-    gains = told.drop("bucket").distinct().join(spokes.select("hub", "key", F.explode("new").alias("unit")), ["hub", "key"])
-    sharing = side(gains.where(outside), "hub", "unit").join(gains, ["hub", "unit"]).where(both_ways)
-    rest = plain.select("key", "key_").union(sharing.select("key", "key_"))
-    rest = rest.select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).distinct()
-    final = joined(parts, written(linked(rest), "links"))
+    parts = components(written(verified(greatest.select(F.col("hub").alias("a"), F.col("key").alias("b"))), "links"))
+    groups, level = members.select(F.col("bucket").alias("group"), "key", "hub"), 1
+    while True:
+        apart = place(groups, parts).where("component != main").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+        parts = joined(parts, written(verified(apart), "links"))
+        placed = written(place(groups, parts), "placed")
+        mixed = placed.where("component != main").select("group").distinct()
+        spokes = placed.join(mixed, "group", "left_semi").where("key != hub").select("hub", "key", "component", "main").distinct()
+        told = written(told_apart(spokes), "told-apart")
+        crowded = written(told.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("hub", "unit"), "crowded-units")
+        again = level < levels and not crowded.isEmpty()
+        parts = joined(parts, written(verified(paired(told.join(crowded, ["hub", "unit"], "left_anti") if again else told)), "links"))
+        if not again:
+            break
+        large = told.join(crowded, ["hub", "unit"], "left_semi").select(F.xxhash64("hub", "unit").alias("group"), "key")
+        first = large.groupBy("group").agg(F.max(F.struct(F.xxhash64("key").alias("h"), "key"))["key"].alias("hub"))
+        groups, level = written(large.join(first, "group"), "groups"), level + 1
+    final = parts
 
     alone = F.when(has, F.col("key")).otherwise(F.concat(F.lit("no words "), F.coalesce(F.col("row_id").cast("string"), F.lit("null"))).cast("binary"))
     rows_ = signed.select("row_id", alone.alias("key"))
