@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Hash buckets of n-grams, and labelled documents of each language that the classifiers are fitted on.
 BUCKETS, SAMPLE = 4096, 600
+#: Labelled documents of all languages that the classifiers are fitted on at most, and how many times a language's sample is ranked.
+MOST, OVER = 24_000, 4
 #: A prediction is ambiguous if its probability leads the next language's by less than this.
 LEAD = 0.2
-LETTERS = np.array([chr(i).isalpha() for i in range(0x30000)] + [False])
+LETTERS = np.array([chr(i).isalpha() for i in range(0x110000)] + [False])
 
 
 def features(text: str) -> np.ndarray | None:
@@ -94,18 +97,36 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fits on up to `sample` documents of each language: those whose ids have the least hashes.
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST) -> Model | None:
+    """Fits on up to `sample` documents of each language, and `most` in all: those whose ids have the least hashes.
 
     Only documents with an id, a text and a language that aren't held out. Rows of one id and language count as one
-    document, whose text is that of the least hash. Executors make the features, so the driver
-    gets at most sample x languages rows of BUCKETS numbers, whatever the corpus, its copies or the texts' lengths.
+    document, whose text is that of the least hash. A first pass over ids and languages counts each language's ids; ids whose hash lies
+    beneath the share that holds OVER times the sample are then ranked, so that ranking gets a few thousand rows of a language whatever the
+    corpus or its number of partitions. Should too few pass, all are ranked. Executors make the features, so the driver
+    gets at most `most` rows of a few KB (the n-grams that a text has, 16 KB at most), whatever the corpus, its copies or the texts' lengths.
     """
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    documents = known.groupBy("lang", "id").agg(F.min(F.xxhash64("text")).alias("least"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = documents.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank")
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    if not counts:
+        return None
+    each = max(1, min(sample, most // len(counts)))
+    place = F.shiftrightunsigned(F.xxhash64("id"), 33).cast("double") / 2.0**31
+
+    def ranked(rates: dict[str, float]) -> list[Row]:
+        rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
+        documents = known.where(place <= F.try_element_at(rate, F.col("lang"))).groupBy("lang", "id").agg(F.min(F.xxhash64("text")).alias("least"))
+        order = Window.partitionBy("lang").orderBy(place, F.xxhash64("id"), "id")
+        return documents.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).drop("rank").collect()
+
+    rates = {lang: min(1.0, OVER * each / n) for lang, n in counts.items()}
+    rows = ranked(rates)
+    got = Counter(r.lang for r in rows)
+    short = {lang: 1.0 for lang, rate in rates.items() if rate < 1 and got[lang] < each}
+    if short:
+        rows = [r for r in rows if r.lang not in short] + ranked(short)
+    chosen = docs.sparkSession.createDataFrame(rows, f"lang string, id {known.schema['id'].dataType.simpleString()}, least long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # copies of a document's text in this task
@@ -115,7 +136,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 if (i, lang) not in seen:
                     seen.add((i, lang))
                     if (x := features(text.as_py())) is not None:
-                        found.append((i, lang, x.tobytes()))
+                        at = np.flatnonzero(x)
+                        found.append((i, lang, at.astype(np.uint16).tobytes() + x[at].tobytes()))
             arrays = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((batch.schema.field(0).type, pa.string(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "lang", "x"])
 
@@ -125,7 +147,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    return fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), [r.lang for r in rows])
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, r in enumerate(rows):
+        n = len(r.x) // 6
+        x[k, np.frombuffer(r.x, np.uint16, n)] = np.frombuffer(r.x, np.float32, n, 2 * n)
+    return fit(x, [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,10 +163,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
+            n, texts = batch.num_rows, batch.column(2)
             pred, score, close = ["und"] * n, np.zeros(n), np.zeros(n, bool)
             for start in range(0, n if model else 0, 256):
-                found = [(i, x) for i in range(start, min(n, start + 256)) if (t := batch.column(2)[i].as_py()) and (x := features(t)) is not None]
+                found = [(i, x) for i in range(start, min(n, start + 256)) if (t := texts[i].as_py()) and (x := features(t)) is not None]
                 if not found:
                     continue
                 p = model.decode(np.stack([x for _, x in found]))
