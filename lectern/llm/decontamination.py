@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import written
+from lectern.llm.scratch import among, written
 from lectern.llm.shingles import with_shingles
 
 BITS = 64
 #: Largest Hamming distance of a candidate. Of two bags at weighted similarity 0.8 the expected distance
-#: is about 10 bits with a deviation of about 3, so hardly one in a thousand of them lies beyond this.
-RADIUS = 20
+#: is about 10 bits with a deviation of about 3, so this is five deviations away.
+RADIUS = 24
 #: Benchmarks of up to this many shingles are broadcast (24 bytes each); larger ones are joined by shuffle.
 BROADCAST_SHINGLES = 200_000
 
@@ -31,13 +31,16 @@ def blocks(print_: Column, radius: int) -> list[Column]:
     return [F.shiftrightunsigned(print_, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def weighted_similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two bags: the sum of the lesser counts over the sum of the greater ones."""
-    same = F.aggregate(
-        F.array_distinct(a), F.lit(0),
-        lambda total, x: total + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))),
-    )
-    return same / (F.size(a) + F.size(b) - same)
+def multiset(bag: Column) -> Column:
+    """A bag as a set: the k-th copy of a hash becomes a hash of its own."""
+    ordered = F.array_sort(bag)
+    # The k-th copy stands k places behind the first place of its value.
+    return F.transform(ordered, lambda x, i: F.xxhash64(x, i - F.array_position(ordered, x)))
+
+
+def similar(same: Column, a: Column, b: Column) -> Column:
+    """Weighted Jaccard of bags of a and b hashes with `same` in common: the sum of the lesser counts over that of the greater ones."""
+    return same / (a + b - same)
 
 
 def contaminated(
@@ -46,55 +49,91 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, similarity, hamming, start_word, n_shingles.
 
-    An item of m shingles is sought in windows of m shingles of a document (the whole document, if
-    that is shorter). A window that shares no shingle with an item has similarity 0, so
-    windows are laid where a shingle of an item lies on the same shingle of the document; sliding a window
-    off all such places only loses shared shingles. Each window's SimHash finds the items of its size through
-    radius + 1 blocks, which misses no print within the radius, and the exact weighted
-    similarity of the two bags of shingles decides. Of the windows for a pair the most similar is
-    returned, then the nearest print, then the first.
+    An item of m shingles is sought in windows of m shingles of a document (the whole document, if that is shorter).
+
+    1. A window at the threshold lacks so few of an item's shingles that it must hold one of the item's rarest, as many of these as
+       exceed that number by one (repeats counted). Texts meet items there only.
+    2. In a text that has met an item, the places of the item's shingles are found. A window with fewer such places than the
+       threshold needs shared shingles can't reach it; windows are laid at every other start. Where no such place repeats a shingle, the
+       number of places is that of shared shingles, and only the windows with the most are laid.
+    3. Each window's SimHash meets the item's in one of radius + 1 blocks of bits, keyed by the item, which misses no print
+       within the radius; a pair at the threshold lies beyond it about once in a million times.
+    4. The exact weighted similarity of the two bags of shingles decides. Of the windows for a pair the most similar is
+       returned, then the nearest print, then the first.
+
+    What a text holds depends on it alone, so texts are known by their MD5, and copies are sought through once.
+    Benchmarks of up to BROADCAST_SHINGLES shingles are broadcast. For larger ones a bitmap of bounded size drops most places of
+    texts before they are shuffled to the items; results are the same.
 
     Null, empty or wordless texts, on either side: no rows. Texts of one to four words match texts of the same
-    words only. Null ids are kept as a value. Repeated rows, on either side: as one. Empty tables: no
-    rows. Other columns are not read.
+    words only. Very long texts are read whole. Null ids are kept as a value. Repeated rows, on either side: as one; rows of one id with
+    different texts: one row for each item that any of them holds, with the best window. Empty tables: no rows. Other columns are not read.
     """
     items = with_shingles(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "text", "bag")
-    items = written(items.select("item_id", "bag").distinct(), "benchmark").where(F.size("bag") > 0)
-    items = items.select("item_id", "bag", F.size("bag").alias("m"), simhash("bag").alias("item_print"))
-    anchors = items.select("m", F.posexplode("bag").alias("item_pos", "shingle")).distinct()
-    small = anchors.count() <= BROADCAST_SHINGLES
-    hint = F.broadcast if small else (lambda df: df)
-
+    items = items.where(F.size("bag") > 0).select("item_id", "bag", F.xxhash64("item_id", F.array_join("bag", " ")).alias("item_key")).distinct()
+    items = written(items.select("item_key", "item_id", "bag", F.size("bag").cast("int").alias("m"), simhash("bag").alias("item_print"), multiset(F.col("bag")).alias("item_set")), "benchmark")
+    need = lambda n: F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("m") + n) - 1e-9).cast("int")
+
+    each = items.select("item_key", "m", F.explode("bag").alias("shingle")).groupBy("item_key", "m", "shingle").agg(F.count(F.lit(1)).alias("copies"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("items"))
+    rarest = Window.partitionBy("item_key").orderBy("items", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.join(common, "shingle").withColumn("before", F.coalesce(F.sum("copies").over(rarest), F.lit(0)))
+    # A text of fewer shingles needs at least as many shared ones of an item as its size times the threshold: so m * threshold bounds all.
+    anchors = written(each.where(F.col("before") <= F.col("m") - F.ceil(F.col("m") * threshold - 1e-9)).select("shingle", "item_key"), "anchors")
+
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", key)
     # Outer explodes: for the others Catalyst adds a filter that would compute the shingles again, inside itself.
-    texts = with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
-    here = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.size("shingles") - F.col("m")))
-    if small:
-        found = texts.select("doc_id", "shingles", F.posexplode_outer("shingles").alias("pos", "shingle")).join(hint(anchors), "shingle")
-        windows = found.select("doc_id", "m", here.alias("start"), F.slice("shingles", here + 1, F.col("m")).alias("window"))
+    places = with_shingles(texts.select("text_key", "text"), "text").select("text_key", F.explode_outer("shingles").alias("shingle"))
+    if anchors.count() <= BROADCAST_SHINGLES:
+        met = places.join(F.broadcast(anchors), "shingle")
     else:
-        found = texts.select("doc_id", F.posexplode_outer("shingles").alias("pos", "shingle"))
-        places = found.join(anchors, "shingle").select("doc_id", "m", "pos", "item_pos").distinct()
-        windows = places.join(texts, places["doc_id"].eqNullSafe(texts["doc_id"])).drop(texts["doc_id"])
-        windows = windows.select("doc_id", "m", here.alias("start"), F.slice("shingles", here + 1, F.col("m")).alias("window"))
-    windows = windows.distinct().withColumn("print", simhash("window"))
+        met = among(places, anchors, "shingle").join(anchors, "shingle")
+    met = written(met.select("text_key", "item_key").distinct(), "met-items")
+
+    # One text of each key, before the join that finds the wanted ones.
+    wanted = among(texts.select("text_key", "text"), met, "text_key").groupBy("text_key").agg(F.min("text").alias("text"))
+    some = written(with_shingles(wanted, "text").select("text_key", "shingles"), "met-texts")
+    n = F.size("shingles")
+    width = F.least(n, F.col("m"))
+    pairs = met.join(some, "text_key").join(items.select("item_key", "m", "bag"), "item_key")
+    hits = F.array_compact(F.transform("shingles", lambda x, i: F.when(F.array_contains("bag", x), i)))
+    once = F.size(F.array_intersect("shingles", "bag")) == F.size("hits")
+    pairs = pairs.select("text_key", "item_key", "shingles", "m", "bag", width.alias("width"), need(width).alias("need"), hits.alias("hits"))
+    pairs = pairs.withColumn("once", once).drop("bag")
+    pairs = written(pairs.where(F.size("hits") >= F.col("need")), "met-places")
+    # A window with `need` places begins at or before the first of some `need` successive ones, and ends at or behind the last.
+    spans = F.transform(
+        F.sequence(F.lit(0), F.size("hits") - F.col("need")),
+        lambda i: F.struct(F.greatest(F.lit(0), F.get("hits", i + F.col("need") - 1) - F.col("width") + 1).alias("low"), F.least(n - F.col("width"), F.get("hits", i)).alias("high")),
+    )
+    starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["low"] <= s["high"]), lambda s: F.sequence(s["low"], s["high"]))))
+    held = lambda at: F.size(F.filter("hits", lambda h: (h >= at) & (h < at + F.col("width"))))
+    counted = F.transform("starts", lambda at: F.struct(held(at).alias("held"), at.alias("start")))
+    windows = pairs.withColumn("starts", starts).withColumn("counted", counted)
+    most = F.array_max(F.transform("counted", lambda c: c["held"]))
+    # If the text has none of the item's shingles twice, a window's places are its shared shingles.
+    best = F.filter("counted", lambda c: ~F.col("once") | (c["held"] == F.col("most")))
+    windows = windows.withColumn("most", most).select("text_key", "item_key", "shingles", "width", F.explode(best).alias("w"))
+    windows = windows.select("text_key", "item_key", "shingles", "width", "w.start")
+    windows = windows.select("text_key", "item_key", "start", F.slice("shingles", F.col("start") + 1, F.col("width")).alias("window"))
+    windows = windows.withColumn("print", simhash("window"))
 
     keyed = lambda name: F.posexplode(F.array(*blocks(F.col(name), radius))).alias("block", "value")
-    index = items.select("item_id", "bag", "m", "item_print", keyed("item_print"))
+    index = items.select("item_key", "item_id", "item_set", "m", "item_print", keyed("item_print"))
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     first = F.coalesce(*[F.when(b == 0, F.lit(k)) for k, b in enumerate(blocks(apart, radius))])
-    pairs = (
-        windows.select("*", keyed("print"))
-        .join(hint(index), ["m", "block", "value"])
-        .where((F.col("block") == first) & (F.bit_count(apart) <= radius))
-        .select("doc_id", "item_id", "start", F.size("bag").alias("n_shingles"), F.bit_count(apart).alias("hamming"), weighted_similarity(F.col("bag"), F.col("window")).alias("similarity"))
-    )
-    best = F.max(F.struct("similarity", (-F.col("hamming")).alias("near"), (-F.col("start")).alias("early"), "n_shingles"))
+    near = windows.select("*", keyed("print")).join(index, ["item_key", "block", "value"]).where((F.col("block") == first) & (F.bit_count(apart) <= radius))
+    same = F.size(F.array_intersect("item_set", multiset(F.col("window"))))
+    near = near.select("text_key", "item_id", "start", "m", F.bit_count(apart).alias("hamming"), similar(same, F.col("m"), F.size("window")).alias("similarity"))
+    best = F.max(F.struct("similarity", (-F.col("hamming")).alias("near"), (-F.col("start")).alias("early"), F.col("m").alias("n_shingles")))
+    found = written(near.where(F.col("similarity") >= threshold).groupBy("text_key", "item_id").agg(best.alias("best")), "held-items")
+    rows = among(texts.select("doc_id", "text_key"), found, "text_key").distinct().join(found, "text_key")
     return (
-        pairs.where(F.col("similarity") >= threshold)
-        .groupBy("doc_id", "item_id")
-        .agg(best.alias("best"))
+        rows.groupBy("doc_id", "item_id")
+        .agg(F.max("best").alias("best"))
         .select(
             "doc_id", "item_id", "best.similarity", (-F.col("best.near")).alias("hamming"),
-            (-F.col("best.early")).alias("start_word"), "best.n_shingles",
+            (-F.col("best.early")).cast("int").alias("start_word"), "best.n_shingles",
         )
     )
