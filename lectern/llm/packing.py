@@ -9,7 +9,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -85,14 +85,12 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ranked = self.added = None
-        made = json.loads(self.tokenizer.to_str())
-        model, cut, added = made["model"], made["pre_tokenizer"] or {}, made["added_tokens"]
+        self.path, self.ranked, self.added = path, None, None
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        model, cut, added = made["model"], made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
         ids = model.get("vocab")
-        if model.get("type") != "BPE" or made["normalizer"] or made["post_processor"] or any(model.get(k) for k in ODD_MODEL):
+        if model.get("type") != "BPE" or made.get("normalizer") or made.get("post_processor") or any(model.get(k) for k in ODD_MODEL):
             return
         if (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
             return
@@ -112,6 +110,12 @@ class Encoder:
         self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _plain(self, text: str) -> bool:
         if self.ranked is None:
             return False
