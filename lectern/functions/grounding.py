@@ -33,50 +33,86 @@ def _plain(char: str) -> str:
     return "".join(" " if c.isspace() else c.casefold() for c in parts if c not in LEFT_OUT)
 
 
+class _Plain(dict):
+    """Code points to plain characters, filled as they are met."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = _plain(chr(point))
+        return self[point]
+
+
+PLAIN = _Plain()
+
+
 def fold(text: str) -> tuple[str, np.ndarray]:
     """The text in plain characters with single spaces, and the place in the text that each comes from."""
-    pieces = [_plain(c) for c in text]
+    gone = np.zeros(len(text), bool)
     for m in BROKEN.finditer(text):
-        pieces[m.start() : m.end()] = [""] * len(m[0])
-    flat = "".join(pieces)
-    origin = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
-    solid = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32) != 32
+        gone[m.start() : m.end()] = True
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = {p: len(PLAIN[p]) for p in np.unique(points).tolist()}
+    kinds, where = np.unique(points, return_inverse=True)
+    wide = np.where(gone, 0, np.array([sizes[p] for p in kinds.tolist()] or [0], np.int64)[where] if len(points) else 0)
+    flat = "".join(c for c, g in zip(text, gone.tolist(), strict=True) if not g).translate(PLAIN) if gone.any() else text.translate(PLAIN)
+    origin = np.repeat(np.arange(len(text)), wide)
+    flat_points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = flat_points != 32
     keep = solid.copy()
     keep[1:] |= solid[:-1]
     at = np.flatnonzero(keep)
     if len(at) and not solid[at[-1]]:
         at = at[:-1]
-    return "".join([flat[k] for k in at]), origin[at]
+    return flat_points[at].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), origin[at]
+
 
+def _longest_run(text: str, words: list[str]) -> tuple[int, int] | None:
+    """The first place of the longest run of words in text that leaves out at most MOST_TRIMMED at each end and has LEAST_RUN
+    characters; of equally long runs (in words) the one that starts earliest.
 
-def _seek(text: str, wanted: str) -> tuple[int, int] | None:
-    """The first place of wanted, or of wanted without a few words at its ends, the fewest first."""
-    if (at := text.find(wanted)) >= 0:
-        return at, at + len(wanted)
-    said = wanted.split(" ")
-    trims = [(total, left) for total in range(1, 2 * MOST_TRIMMED + 1) for left in range(total + 1) if max(left, total - left) <= MOST_TRIMMED]
-    for total, left in trims if len(said) >= 4 else []:
-        run = " ".join(said[left : max(left, len(said) - total + left)])
-        if len(run) >= LEAST_RUN and (at := text.find(run)) >= 0:
-            return at, at + len(run)
-    return None
+    Every such run holds the words in the middle, so text is searched for these alone, and a run is grown from each place.
+    """
+    n, trim = len(words), MOST_TRIMMED
+    best: tuple[int, int, int] | None = None  # words left out, words left out before, place
+    middle = " ".join(words[trim : n - trim])
+    heads = [" ".join(words[k:trim]) for k in range(trim + 1)]
+    tails = [" ".join(words[n - trim : n - k]) for k in range(trim + 1)]
+    if not middle:  # short quotes: few runs are long enough
+        runs = {(n - (j - i), i, " ".join(words[i:j])) for i in range(min(n, trim + 1)) for j in range(max(i + 1, n - trim), n + 1)}
+        for _, _, run in sorted(runs):
+            if len(run) >= LEAST_RUN and (at := text.find(run)) >= 0:
+                return at, at + len(run)
+        return None
+    at, end = text.find(middle), 0
+    while at >= 0:
+        for i, head in enumerate(heads):
+            before = f"{head} " if head else ""
+            if not text.startswith(before, at - len(before)) or at < len(before):
+                continue
+            for j, tail in enumerate(tails):
+                after = f" {tail}" if tail else ""
+                size = len(before) + len(middle) + len(after)
+                if size >= LEAST_RUN and text.startswith(after, at + len(middle)) and (best is None or (i + j, i, at - len(before)) < best):
+                    best, end = (i + j, i, at - len(before)), at - len(before) + size
+        at = text.find(middle, at + 1)
+    return (best[2], end) if best else None
 
 
 def spans(text: str, origin: np.ndarray, quote: str) -> list[tuple[int, int]]:
-    """Spans (start, end) of a quote in the text that fold() made text and origin of. Fragments between ellipses must
-    follow each other; if fewer than two are long enough, the longest counts alone."""
-    fragments = [f for part in ELLIPSIS.split(quote) if (f := fold(part)[0].strip("\"' "))]
-    long = [f for f in fragments if len(f) >= LEAST_FRAGMENT]
-    found = []
-    if len(long) >= 2:
-        end = 0
-        for f in long:
-            if (at := text.find(f, end)) < 0:
-                return []
-            end = at + len(f)
-            found.append((at, end))
-    elif fragments and (one := _seek(text, max(fragments, key=len))):
-        found.append(one)
+    """Spans (start, end) of a quote in the text that fold() made text and origin of. Fragments between ellipses that are long enough
+    must follow each other as they are; if fewer than two are, the longest counts alone, and some words at its ends may be missing."""
+    parts = [f for f in (fold(p)[0].strip("\"' ") for p in ELLIPSIS.split(quote)) if f]
+    chain = [f for f in parts if len(f) >= LEAST_FRAGMENT]
+    if len(chain) < 2:
+        chain = sorted(parts, key=len, reverse=True)[:1]
+    found, at = [], 0
+    for f in chain:
+        at = text.find(f, at)
+        if at < 0:
+            one = _longest_run(text, f.split(" ")) if len(chain) == 1 and f.count(" ") >= 3 else None
+            found = [one] if one else []
+            break
+        found.append((at, at + len(f)))
+        at += len(f)
     return [(int(origin[a]), int(origin[b - 1]) + 1) for a, b in found]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,9 @@ def classify(scan: DataFrame, known: DataFrame) -> DataFrame:
 
 def final_files(scan: DataFrame) -> DataFrame:
     """The catalogue after an index run: one path for each hash on disk, so no order of moves and edits can lose one."""
-    w = Window.partitionBy("file_hash").orderBy(F.split("rel_path", "/"))
-    return scan.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    rest = [c for c in scan.columns if c != "file_hash"]
+    first = scan.groupBy("file_hash").agg(F.min_by(F.struct(*rest), F.split("rel_path", "/")).alias("f"))
+    return first.select("file_hash", "f.*").select(scan.columns)
 
 
 def parse_status(chars: F.Column, pages: F.Column) -> F.Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,32 +24,55 @@ def estimate_query(file_tokens: DataFrame, max_tokens: int = 1024) -> DataFrame:
     return row.select("files", "extract_in", out.alias("extract_out"), out.alias("synthesize_in"), F.lit(max_tokens).cast("long").alias("synthesize_out"))
 
 
-def estimate_pass1(pending_tokens: DataFrame, cards: int, window: int = 32768, max_tokens: int = 1024) -> DataFrame:
-    """One row: catalogue and routing tokens, and shards, which both the input window and the reply's room bound."""
+def estimate_pass1(pending_tokens: DataFrame, cards: DataFrame, window: int = 32768, max_tokens: int = 1024) -> DataFrame:
+    """One row: catalogue tokens of the pending files, routing tokens of all cards, and shards, which both the input window and the reply's room bound."""
     budget, most = max(window - 2000, 2000), max(1, (max_tokens - 200) // 60)
-    route_in = cards * max_tokens
-    shards = max(-(-route_in // budget), -(-cards // most)) if cards else 0
     row = pending_tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("catalog_in"), (F.count(F.lit(1)) * max_tokens).alias("catalog_out"))
-    return row.select("*", F.lit(route_in).cast("long").alias("route_in"), F.lit(shards).cast("long").alias("shards"))
-
-
-def score_routing(pairs: DataFrame) -> DataFrame:
-    """pairs (pair, expected, forbidden, candidates: arrays) with recall, precision, and counts of missing, stray, forbidden."""
-    hit = F.size(F.array_intersect("expected", "candidates"))
-    return pairs.select(
-        "pair",
-        F.when(F.size("expected") == 0, 1.0).otherwise(hit / F.size("expected")).alias("recall"),
-        F.when(F.size("candidates") == 0, 1.0).otherwise(hit / F.size("candidates")).alias("precision"),
-        F.size(F.array_except("expected", "candidates")).cast("long").alias("missing"),
-        F.size(F.array_except("candidates", "expected")).cast("long").alias("stray"),
-        F.size(F.array_intersect("forbidden", "candidates")).cast("long").alias("forbidden"),
-    )
-
-
-def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """The k rows of vectors (vec_id, embedding) of the greatest cosine similarity to query; ties by vec_id."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    e = F.col("embedding").cast("array<double>")
-    score = dot(e, q) / F.sqrt(dot(e, e) * dot(q, q))
-    return vectors.select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    routed = cards.agg((F.count(F.lit(1)) * max_tokens).alias("route_in"), F.count(F.lit(1)).alias("cards"))
+    shards = F.greatest(F.ceil(F.col("route_in") / budget), F.ceil(F.col("cards") / most)).cast("long")
+    return row.join(F.broadcast(routed)).select("catalog_in", "catalog_out", "route_in", shards.alias("shards"))
+
+
+def rate(override: Column, other: Column, listed: Column) -> Column:
+    """Price of a million tokens: the task's own if either of its two prices is set (0 for the other), else the listed one, else 0."""
+    return F.when(override.isNotNull() | other.isNotNull(), F.coalesce(override, F.lit(0.0))).otherwise(F.coalesce(listed, F.lit(0.0)))
+
+
+def costs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
+    """tokens (task, tokens_in, tokens_out) and prices (task, in_rate, out_rate a million) to task, cost, rounded to four places."""
+    cost = (F.col("tokens_in") * F.coalesce("in_rate", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("out_rate", F.lit(0.0))) / 1_000_000
+    return tokens.join(prices, "task", "left").select("task", F.round(cost, 4).alias("cost"))
+
+
+def score_routing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """pairs (pair) with recall, precision, and counts of missing, stray, forbidden, from marks (pair, file, expected, forbidden, candidate), a
+    row for each file that is any of these; files stay rows, so no pair's files are gathered."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    want, got, bad = F.col("expected"), F.col("candidate"), F.col("forbidden")
+    counts = marks.groupBy("pair").agg(n(want).alias("want"), n(got).alias("got"), n(want & got).alias("hit"), n(bad & got).alias("forbidden"))
+    part = lambda of: F.when(F.coalesce(F.col(of), F.lit(0)) == 0, 1.0).otherwise(F.col("hit") / F.col(of))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    scored = pairs.join(counts, "pair", "left")
+    return scored.select(
+        "pair", part("want").alias("recall"), part("got").alias("precision"), zero(F.col("want") - F.col("hit")).alias("missing"),
+        zero(F.col("got") - F.col("hit")).alias("stray"), zero(F.col("forbidden")).alias("forbidden"),
+    )
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """The k rows of vectors (vec_id, embedding) of the greatest cosine similarity to each of queries (query_id, query): query_id, vec_id, score;
+    ties by vec_id.
+
+    A stated query set is tried on all rows, in blocks of about `block` queries, a row each; each task keeps k rows of a query
+    before the shuffle.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    doubles = lambda c: F.col(c).cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    asked = queries.select("query_id", doubles("query").alias("q")).withColumn("norm", dot(F.col("q"), F.col("q")))
+    asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "norm")).alias("asked")).drop("block")
+    rows = vectors.select("vec_id", doubles("embedding").alias("e")).withColumn("own", dot(F.col("e"), F.col("e")))
+    scores = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(dot(F.col("e"), q["q"]) / F.sqrt(F.col("own") * q["norm"]), 6).alias("score")))
+    each = rows.crossJoin(asked).select("vec_id", F.explode(scores).alias("s")).select("s.query_id", "vec_id", "s.score")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).drop("n")

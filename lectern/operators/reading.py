@@ -50,13 +50,29 @@ def without_cards(files: DataFrame, cards: DataFrame) -> DataFrame:
 
 def route(cards: DataFrame, decisions: DataFrame) -> DataFrame:
     """Candidates: cards that a decision includes, and cards that none decided; unknown hashes are dropped, the first decision on a file counts."""
-    first = Window.partitionBy("file_hash").orderBy("shard", "pos")
-    decided = decisions.withColumn("n", F.row_number().over(first)).where("n = 1").select("file_hash", "include", "reason")
+    decided = decisions.groupBy("file_hash").agg(F.min(F.struct("shard", "pos", "include", "reason")).alias("d")).select("file_hash", "d.include", "d.reason")
     joined = cards.join(decided, "file_hash", "left")
     reason = F.coalesce("reason", F.lit("no decision: included"))
     return joined.where(F.coalesce("include", F.lit(True))).select("rel_path", "file_hash", reason.alias("reason"))
 
 
+def lexical_decisions(cards: DataFrame, question: list[str], least: int = 2) -> DataFrame:
+    """A router's decision on each card (file_hash, terms): included if it shares `least` words with the question; shard, pos, file_hash, include, reason."""
+    shared = F.size(F.array_intersect("terms", F.array(*map(F.lit, question))))
+    reason = F.concat(F.lit("overlap="), shared.cast("string"))
+    return cards.select(F.lit(0).alias("shard"), F.lit(0).alias("pos"), "file_hash", (shared >= least).alias("include"), reason.alias("reason"))
+
+
+def candidates(files: DataFrame, cards: DataFrame, question: list[str], mode: str = "auto", threshold: int = 150) -> DataFrame:
+    """rel_path, file_hash, reason of the files to be read: all of them in a sweep, which `auto` takes up to `threshold` files, else those that
+    the router lets in, and those without a card."""
+    if mode == "sweep" or mode == "auto" and files.limit(threshold + 1).count() <= threshold:
+        return files.select("rel_path", "file_hash", F.lit("sweep").alias("reason"))
+    known = files.join(cards.select("file_hash").distinct(), "file_hash", "left_semi")
+    routed = route(known, lexical_decisions(cards, question).dropDuplicates(["file_hash"]))
+    return routed.unionByName(without_cards(files, cards).select("rel_path", "file_hash", F.lit("no card: included").alias("reason")))
+
+
 def extract(files: DataFrame, topic: list[str], relevance: str = "balanced") -> DataFrame:
     """Findings of the lexical judge, one per sentence that shares enough words with the topic:
     rel_path, file_hash, seq, quote, claim (shared words), overlap, confidence."""
@@ -77,16 +93,58 @@ def merge_sections(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def ground_exact(quotes: DataFrame, files: DataFrame) -> DataFrame:
+def merge_verdicts(verdicts: DataFrame) -> DataFrame:
+    """merge_sections() with findings (array<struct<claim, quote>>): those of relevant sections, in order of section; none of an irrelevant file."""
+    taken = F.sort_array(F.collect_list(F.when(F.col("relevant"), F.struct("section", "findings"))))["findings"]
+    found = verdicts.groupBy("rel_path").agg(F.flatten(taken).alias("findings"))
+    return merge_sections(verdicts).join(found, "rel_path")
+
+
+def snap(grounded: DataFrame, files: DataFrame) -> DataFrame:
+    """ground()'s rows with heading_path and page of the first span; page_marks are those of files (rel_path, markdown, page_marks). Unverified: no page."""
+    at = grounded.where("verified").select("rel_path", (F.col("offset") + 1).cast("long").alias("offset")).distinct()
+    paths = heading_path_at(at, headings(files)).select("rel_path", (F.col("offset") - 1).alias("offset"), "heading_path")
+    rows = grounded.withColumn("offset", F.col("offset").cast("long")).join(paths, ["rel_path", "offset"], "left").join(files.select("rel_path", "page_marks"), "rel_path", "left")
+    return rows.withColumn("page", F.when(F.col("verified"), T.page_at(F.col("page_marks"), F.col("offset")))).drop("page_marks")
+
+
+def group_hits(found: DataFrame) -> DataFrame:
+    """hits (rel_path, seq, heading_path, verified) by file and heading: rel_path, heading, place (headings of a file by their first
+    hit, from 0), hits, verified, unverified."""
+    one = found.groupBy("rel_path", F.coalesce("heading_path", F.lit("")).alias("heading")).agg(
+        F.min("seq").alias("first"), F.count(F.lit(1)).alias("hits"), F.count_if("verified").alias("verified"), F.count_if(~F.col("verified")).alias("unverified")
+    )
+    place = F.row_number().over(Window.partitionBy("rel_path").orderBy("first")) - 1
+    return one.withColumn("place", place).drop("first")
+
+
+def plan_sections(files: DataFrame, window: int = 32768, max_tokens: int = 1024, overhead: int = 2000) -> DataFrame:
+    """split_sections() for a judge's window: what the prompt and the reply leave, 1,000 tokens at least, at three characters a token."""
+    return split_sections(files, 3 * max(window - overhead - max_tokens, 1000))
+
+
+def ground_exact(quotes: DataFrame, files: DataFrame, block: int = 200) -> DataFrame:
     """Where quotes (item_id, quote) stand word for word, ignoring case: item_id, rel_path, offset (code points of the first place).
 
-    Every pair must be looked at, as a quote names no file: the quotes, a stated query set, are broadcast
-    in one row and tried on each file in turn, so the files are read once and never multiplied.
+    A quote of five words or more holds its second to fourth as whole words wherever it stands. Hashes of such runs of three lead from
+    the files' words to the quotes by a join, and only these pairs are looked at. Shorter quotes, a stated query set, are tried on
+    all files in blocks of about `block`, a row each. Empty quotes stand at the start of every file.
     """
-    one = quotes.agg(F.collect_list(F.struct("item_id", F.lower("quote").alias("q"))).alias("qs"))
-    tried = files.select("rel_path", F.lower("markdown").alias("low")).crossJoin(F.broadcast(one))
-    found = tried.select("rel_path", F.explode(F.filter(F.transform("qs", lambda q: F.struct(q["item_id"].alias("item_id"), F.instr(F.col("low"), q["q"]).alias("at"))), lambda x: x["at"] > 0)).alias("f"))
-    return found.select("f.item_id", "rel_path", (F.col("f.at") - 1).alias("offset"))
+    said = lambda c: F.regexp_extract_all(c, F.lit(r"([\\p{L}\\p{N}]+)"), F.lit(1))
+    low = files.select("rel_path", F.lower("markdown").alias("low"))
+    asked = quotes.select("item_id", F.lower("quote").alias("q")).where("q is not null").withColumn("w", said(F.col("q")))
+    run = lambda w, k: F.xxhash64(F.get(w, k), F.get(w, k + 1), F.get(w, k + 2))
+    keyed = asked.where(F.size("w") >= 5).select("item_id", "q", run(F.col("w"), F.lit(1)).alias("run"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda k: run(F.col("w"), k)))
+    words = low.select("rel_path", said(F.col("low")).alias("w")).where(F.size("w") >= 3).select("rel_path", F.explode(runs).alias("run"))
+    met = words.join(keyed, "run").select("rel_path", "item_id", "q").distinct()
+    found = low.join(met, "rel_path").select("item_id", "rel_path", (F.instr(F.col("low"), F.col("q")) - 1).alias("offset")).where("offset >= 0")
+
+    short = asked.where(F.size("w") < 5)
+    blocks = max(1, -(-short.count() // block))
+    packed = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "q")).alias("qs")).drop("block")
+    tried = low.crossJoin(packed).select("rel_path", F.explode(F.transform("qs", lambda q: F.struct(q["item_id"].alias("item_id"), (F.instr(F.col("low"), q["q"]) - 1).alias("offset")))).alias("f"))
+    return found.unionByName(tried.select("f.item_id", "rel_path", "f.offset").where("offset >= 0"))
 
 
 def hits(findings: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, drift, ledger, reading
+from lectern.operators import answers, catalogue, drift, ledger, reading
 from lectern.sources import corpus
 
 #: Words of the fixed question that the lexical judge looks for.
 TOPIC = ["that", "this", "with", "from", "tion", "ment"]
 DEFINED = ["elle", "rewh", "nder"]
+#: More words of a question, for the lexical router.
+WANTED = ["also", "andi", "anen", "alle", "aber", "auch", "ando", "ante", "all", "amen", "arer"]
 
 
 def _table(name: str):
@@ -60,12 +62,12 @@ def _section_verdicts(s: SparkSession, d: str) -> DataFrame:
     return parts.select("rel_path", F.col("part").alias("section"), (shared >= 3).alias("relevant"), (shared / 8).alias("confidence"), F.concat(F.lit("overlap="), shared.cast("string")).alias("reasoning"))
 
 
-def _pairs(s: SparkSession, d: str) -> DataFrame:
+def _scores(s: SparkSession, d: str) -> DataFrame:
     """A pair for each source: good documents expected, toxic ones forbidden, and candidates that hold a word of the topic."""
     docs = documents(s, d).join(labels(s, d), "doc_id", "left")
     holds = F.size(F.array_intersect(F.array(*map(F.lit, TOPIC[:2])), T.words(F.coalesce("text", F.lit(""))))) > 0
-    when = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("doc_id"))))
-    return docs.groupBy(F.col("source").alias("pair")).agg(when(F.col("quality") == 1).alias("expected"), when(F.col("toxic") == 1).alias("forbidden"), when(holds).alias("candidates"))
+    marks = docs.select(F.col("source").alias("pair"), (F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("forbidden"), holds.alias("candidate"))
+    return ledger.score_routing(marks.select("pair").distinct(), marks)
 
 
 def _decisions(s: SparkSession, d: str) -> DataFrame:
@@ -162,7 +164,7 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(s: SparkSession, d: str) -> DataFrame:
-    t = turns(s, d).where("turn % 2 = 0")
+    t = turns(s, d)
     heading = F.when(F.col("turn") % 4 != 0, F.concat("role", F.lit(" "), F.col("turn").cast("string")))
     path = F.format_string("conversations/%d.md", "conv_id")
     return answers.sources(t.select(path.alias("rel_path"), heading.alias("heading"), F.col("turn").alias("page")))
@@ -178,13 +180,100 @@ def _citation_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def _replies(s: SparkSession, d: str) -> DataFrame:
-    """Replies with a finding for each of the first three sentences, fenced at even ids, and cut within the last at odd ids."""
-    found = F.transform(F.slice(T.sentences(F.col("markdown")), 1, 3), lambda q: F.struct(F.lit("c").alias("claim"), q.alias("quote")))
+    """Replies with a finding for each sentence, fenced at even ids, and cut within the last at odd ids."""
+    found = F.transform(T.sentences(F.col("markdown")), lambda q: F.struct(F.lit("c").alias("claim"), q.alias("quote")))
     reply = F.to_json(F.struct("file_hash", F.lit(True).alias("relevant"), F.lit(0.5).alias("confidence"), F.lit("r").alias("reasoning"), found.alias("findings")))
     fenced = F.concat(F.lit("```json\n"), reply, F.lit("\n```"))
     cut = F.substring(reply, F.lit(1), F.char_length(reply) - 4)
     raw = F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(cut)
-    return files(s, d).select("rel_path", answers.parse_reply(raw).alias("r")).select("rel_path", F.size("r.findings").cast("long").alias("findings"))
+    parsed = answers.parse_replies(files(s, d).select("rel_path", raw.alias("raw")))
+    return parsed.select("rel_path", F.coalesce(F.when(F.col("reply").isNotNull(), F.size("reply.findings")), F.lit(0)).cast("long").alias("findings"))
+
+
+def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The catalogue of an earlier index, a scan, and the drift between them."""
+    columns = lambda df, size: df.select("file_hash", "rel_path", size.cast("long").alias("size_bytes"))
+    known = columns(_known(s, d).groupBy("file_hash").agg(F.min("rel_path").alias("rel_path")), F.lit(0))
+    scan = columns(files(s, d), F.col("size_bytes"))
+    return known, scan, drift.classify(scan, known)
+
+
+def _applied(s: SparkSession, d: str) -> DataFrame:
+    return catalogue.apply_drift(*_index(s, d))
+
+
+def _cards_left(s: SparkSession, d: str) -> DataFrame:
+    known, scan, change = _index(s, d)
+    return catalogue.dependents(known.select("file_hash", F.lit("card").alias("card")), known, catalogue.apply_drift(known, scan, change), change)
+
+
+def _status(s: SparkSession, d: str) -> DataFrame:
+    return catalogue.status(_index(s, d)[2], _statuses(s, d))
+
+
+def _latest(s: SparkSession, d: str) -> DataFrame:
+    """Stored verdicts, and those of one task written again with another value."""
+    e = events(s, d).select("user_id", "event_type", "ts", "event_id", "value")
+    again = e.where("event_type = 'click'").withColumn("value", F.lit(-1.0))
+    return catalogue.latest(e, again, ["user_id", "event_type"], ["ts", "event_id"])
+
+
+def _outcomes(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as converted files: by id, whole, in part or failed, with an error for each turn."""
+    f = turns(s, d).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.sum(F.char_length("text")).alias("chars"))
+    outcome = F.element_at(F.array(*map(F.lit, ("success", "partial_success", "failure"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    status = catalogue.conversion_status(outcome, F.transform("turns", lambda t: F.concat(F.lit("page "), t.cast("string"))), F.col("chars"), F.size("turns"))
+    return f.select("conv_id", status.alias("s")).select("conv_id", "s.parse_status", "s.parse_error")
+
+
+def _turned(s: SparkSession, d: str) -> DataFrame:
+    """Turns as items of a file, two on a page, with a page number that comes back."""
+    items = turns(s, d).select(F.col("conv_id").alias("rel_path"), F.col("turn").alias("seq"), (F.col("turn") * 10).alias("offset"), (F.floor(F.col("turn") / 2) % 3).alias("page"))
+    return catalogue.page_map(items).select("rel_path", "offset", "page")
+
+
+def _chunked(s: SparkSession, d: str) -> DataFrame:
+    rows = catalogue.chunks(corpus.from_conversations(turns(s, d)), 400)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select("chunk_id", "rel_path", long("char_start"), long("char_end"), F.md5("text").alias("digest"))
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    found = F.array(F.struct(F.col("reasoning").alias("claim"), F.concat(F.lit("section "), F.col("section").cast("string")).alias("quote")))
+    merged = reading.merge_verdicts(_section_verdicts(s, d).withColumn("findings", found))
+    return merged.select("rel_path", "relevant", F.array_join(F.col("findings")["quote"], "; ").alias("quotes"), F.array_join(F.col("findings")["claim"], "; ").alias("claims"))
+
+
+def _snapped(s: SparkSession, d: str) -> DataFrame:
+    """Each turn quoted in capitals after a word that isn't there, broken by a hyphen at a line's end: found again, with its heading and page."""
+    t = turns(s, d).where(F.col("text").rlike("^[A-Za-z]{4}"))
+    quote = F.concat(F.lit("Zzq "), F.upper(F.substring("text", 1, 2)), F.lit("-\n"), F.upper(F.expr("substring(text, 3)")))
+    asked = t.select(F.concat(F.lit("conversations/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("rel_path"), F.col("turn").alias("seq"), quote.alias("quote"))
+    f = corpus.from_conversations(turns(s, d))
+    rows = reading.snap(reading.ground(asked, f), f)
+    return rows.select("rel_path", "seq", "verified", "heading_path", F.col("page").cast("long").alias("page"), F.when(F.col("verified"), F.md5("quote")).alias("digest"))
+
+
+def _grouped(s: SparkSession, d: str) -> DataFrame:
+    found = reading.hits(reading.extract(files(s, d), TOPIC, "balanced")).select("rel_path", "seq", F.col("claim").alias("heading_path"), (F.col("overlap") > 2).alias("verified"))
+    return reading.group_hits(found).select("rel_path", "heading", F.col("place").cast("long").alias("place"), "hits", "verified", "unverified")
+
+
+def _routed(s: SparkSession, d: str) -> DataFrame:
+    """Files routed by their cards' words; those of odd ids have no card yet, unless a file of the same content has one."""
+    return reading.candidates(files(s, d), _with_card(s, d), TOPIC + WANTED, mode="route").select("rel_path", "reason")
+
+
+def _money(s: SparkSession, d: str) -> DataFrame:
+    prices = s.createDataFrame([(t, 0.15 * k, 0.6) for k, t in enumerate(["click", "view", "purchase"], 1)], "task string, in_rate double, out_rate double")
+    return ledger.costs(QUERIES["usage_by_task"](s, d), prices)
+
+
+def _told(s: SparkSession, d: str) -> DataFrame:
+    """Evidence of each file, numbered in it."""
+    found = reading.hits(reading.extract(files(s, d), TOPIC, "strict"))
+    number = F.row_number().over(Window.partitionBy("rel_path").orderBy("seq"))
+    return found.select(F.col("rel_path").alias("answer_id"), number.alias("number"), "rel_path", "claim", "quote", F.concat(F.lit("["), "rel_path", F.lit("]")).alias("cite"))
 
 
 QUERIES = {
@@ -220,12 +309,12 @@ QUERIES = {
     "cite_render": _cites,
     "claim_coverage": _uncited,
     "cost_estimate_query": lambda s, d: ledger.estimate_query(files(s, d).select(T.tokens(F.col("markdown")).alias("tokens"))),
-    "cost_estimate_pass1": lambda s, d: ledger.estimate_pass1(files(s, d).where("doc_id % 2 = 1").select(T.tokens(F.col("markdown")).alias("tokens")), 120),
+    "cost_estimate_pass1": lambda s, d: ledger.estimate_pass1(reading.without_cards(files(s, d), _with_card(s, d)).select(T.tokens(F.col("markdown")).alias("tokens")), _with_card(s, d)),
     "usage_by_task": lambda s, d: ledger.usage_by_task(events(s, d).select(F.col("event_type").alias("task"), F.col("event_id").alias("tokens_in"), (F.col("event_id") % 100).alias("tokens_out"))),
     "prune_runs": lambda s, d: ledger.newest_runs(_evaluations(s, d)).select("run_id", "event_id"),
     "verdict_history": lambda s, d: _evaluations(s, d).where("task = 'click'").select("run_id", "event_id", "evaluated_at"),
-    "score_routing": lambda s, d: ledger.score_routing(_pairs(s, d)).select("pair", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"), "missing", "stray", "forbidden"),
-    "score_mean": lambda s, d: ledger.score_routing(_pairs(s, d)).agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision")),
+    "score_routing": lambda s, d: _scores(s, d).select("pair", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"), "missing", "stray", "forbidden"),
+    "score_mean": lambda s, d: _scores(s, d).agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision")),
     "section_split": lambda s, d: reading.split_sections(corpus.from_conversations(turns(s, d)), 400).select("rel_path", F.col("section").cast("long").alias("section"), F.md5("text").alias("digest")),
     "merge_cards": lambda s, d: reading.merge_cards(_part_cards(s, d), ["terms"]).select("rel_path", F.array_join("terms", " ").alias("terms")),
     "card_render": lambda s, d: _cards(s, d).select("rel_path", "card"),
@@ -236,7 +325,23 @@ QUERIES = {
     "sources_block": _sources,
     "score_citations": _citation_scores,
     "json_salvage": _replies,
-    "vector_topk": lambda s, d: ledger.nearest(embeddings(s, d), [1.0] * 32 + [-1.0] * 32, 10),
+    "vector_topk": lambda s, d: ledger.nearest(embeddings(s, d), embeddings(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10),
+    "index_apply": _applied,
+    "index_cascade": lambda s, d: _cards_left(s, d).select("file_hash"),
+    "index_status": _status,
+    "evaluations_latest": _latest,
+    "conversion_status": _outcomes,
+    "page_changes": _turned,
+    "token_chunks": _chunked,
+    "section_plan": lambda s, d: reading.plan_sections(files(s, d), 3100).select("rel_path", F.col("section").cast("long").alias("section"), F.md5("text").alias("digest")),
+    "verdicts_with_findings": _verdicts,
+    "quote_snap": _snapped,
+    "hits_grouped": _grouped,
+    "route_lexical": _routed,
+    "cost_by_task": _money,
+    "evidence_block": lambda s, d: answers.evidence_block(_told(s, d)).select("answer_id", F.md5("block").alias("digest")),
+    "claims_digest": lambda s, d: answers.claims_digest(_told(s, d)),
+    "fallback_digest": lambda s, d: answers.fallback_digest(_told(s, d)).select("answer_id", "text", "uncited"),
 }
 
 _FILES = "files AS (SELECT doc_id, 'docs/' || doc_id || '.txt' AS rel_path, coalesce(text, '') AS markdown, sha256(coalesce(text, '')) AS file_hash FROM documents)"
@@ -284,15 +389,26 @@ _DRIFT = f"""{_FILES}, known AS (
     UNION ALL SELECT rel_path, file_hash, 'deleted', NULL FROM known
     WHERE file_hash NOT IN (SELECT file_hash FROM files) AND rel_path NOT IN (SELECT rel_path FROM classed WHERE drift = 'modified'))"""
 _EVALS = "evals AS (SELECT 'run' || (user_id % 50) AS run_id, event_id, ts AS evaluated_at, event_type AS task FROM events)"
-_PAIRS = f"""pairs AS (
-    SELECT source AS pair, coalesce(list(DISTINCT doc_id) FILTER (quality = 1), []) AS expected, coalesce(list(DISTINCT doc_id) FILTER (toxic = 1), []) AS forbidden,
-           coalesce(list(DISTINCT doc_id) FILTER (len(list_intersect(['{TOPIC[0]}', '{TOPIC[1]}'], regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}'))) > 0), []) AS candidates
-    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1
+_PAIRS = f"""marks AS (
+    SELECT source AS pair, coalesce(quality = 1, false) AS e, coalesce(toxic = 1, false) AS f,
+           len(list_intersect(['{TOPIC[0]}', '{TOPIC[1]}'], regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}'))) > 0 AS c
+    FROM documents LEFT JOIN labels USING (doc_id)
+), counts AS (
+    SELECT pair, count(*) FILTER (e) AS want, count(*) FILTER (c) AS got, count(*) FILTER (e AND c) AS hit, count(*) FILTER (f AND c) AS forbidden FROM marks GROUP BY 1
 ), scores AS (
-    SELECT pair, CASE WHEN len(expected) = 0 THEN 1.0 ELSE len(list_intersect(expected, candidates)) / len(expected) END AS recall,
-           CASE WHEN len(candidates) = 0 THEN 1.0 ELSE len(list_intersect(expected, candidates)) / len(candidates) END AS precision,
-           len(expected) - len(list_intersect(expected, candidates)) AS missing, len(candidates) - len(list_intersect(expected, candidates)) AS stray,
-           len(list_intersect(forbidden, candidates)) AS forbidden FROM pairs)"""
+    SELECT pair, CASE WHEN want = 0 THEN 1.0 ELSE hit / want END AS recall, CASE WHEN got = 0 THEN 1.0 ELSE hit / got END AS precision,
+           want - hit AS missing, got - hit AS stray, forbidden FROM counts)"""
+_INDEX = _DRIFT.replace("known AS (", "every AS (", 1).replace(
+    "), paths AS (", "), known AS (SELECT min(rel_path) AS rel_path, file_hash FROM every GROUP BY file_hash), paths AS (", 1
+) + """, gone AS (
+    SELECT file_hash FROM drifts WHERE drift = 'deleted'
+    UNION SELECT k.file_hash FROM known k JOIN drifts d ON d.rel_path = k.rel_path AND d.drift = 'modified' WHERE k.file_hash NOT IN (SELECT file_hash FROM files)
+), taken AS (
+    SELECT f.file_hash, f.rel_path, strlen(f.markdown) AS size_bytes FROM files f JOIN drifts d ON d.rel_path = f.rel_path AND d.drift IN ('new', 'modified')
+), after AS (
+    SELECT k.file_hash, coalesce(m.rel_path, k.rel_path) AS rel_path, 0::BIGINT AS size_bytes, true AS kept FROM known k LEFT JOIN drifts m ON m.file_hash = k.file_hash AND m.drift = 'moved'
+    WHERE k.file_hash NOT IN (SELECT file_hash FROM gone) AND k.file_hash NOT IN (SELECT file_hash FROM taken)
+    UNION ALL SELECT *, false FROM taken)"""
 _MARKDOWN = r"regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<head>.*?</head>', '', 'g')"
 for _level in range(1, 7):
     _MARKDOWN = rf"regexp_replace({_MARKDOWN}, '<h{_level}[^>]*>', concat(chr(10), '{'#' * _level} '), 'g')"
@@ -319,6 +435,9 @@ _CARDS = f"""{_FILES}, ones AS (SELECT file_hash, min(rel_path) AS rel_path, any
         || 'answers: -' || chr(10) || 'absences: -' || chr(10) || 'entities: -' || chr(10) AS card FROM carded)"""
 
 
+_TOLD = f"{_found(3)}, told AS (SELECT rel_path, claim, quote, row_number() OVER (PARTITION BY rel_path ORDER BY seq) AS n FROM (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, lower(quote) ORDER BY seq) = 1))"
+
+
 def _packed(units: str, key: str, order: str, budget: int, most: int) -> str:
     """units (key, order, tokens) packed greedily, by walking each group."""
     return f"""{units}, ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM units
@@ -387,8 +506,9 @@ ORACLE_SQL = {
         len(list_filter(regexp_split_to_array(quote, '[ \t\r\n\f]+'), lambda w: w <> '')) >= 4) AS claims FROM files f LEFT JOIN sentences s ON s.rel_path = f.rel_path GROUP BY 1""",
     "cost_estimate_query": f"""WITH {_FILES} SELECT count(*) AS files, sum(greatest(1, length(markdown) // 4))::BIGINT AS extract_in, count(*) * 1024 AS extract_out,
         count(*) * 1024 AS synthesize_in, 1024::BIGINT AS synthesize_out FROM files""",
-    "cost_estimate_pass1": f"""WITH {_FILES} SELECT sum(greatest(1, length(markdown) // 4))::BIGINT AS catalog_in, count(*) * 1024 AS catalog_out, 122880::BIGINT AS route_in,
-        greatest(ceil(122880 / 30768), ceil(120 / 13))::BIGINT AS shards FROM files WHERE doc_id % 2 = 1""",
+    "cost_estimate_pass1": f"""WITH {_FILES}, cards AS (SELECT * FROM files WHERE doc_id % 2 = 0), pending AS (SELECT * FROM files WHERE file_hash NOT IN (SELECT file_hash FROM cards))
+        SELECT sum(greatest(1, length(markdown) // 4))::BIGINT AS catalog_in, count(*) * 1024 AS catalog_out, (SELECT count(*) FROM cards) * 1024 AS route_in,
+        (SELECT greatest(ceil(count(*) * 1024 / 30768), ceil(count(*) / 13)) FROM cards)::BIGINT AS shards FROM pending""",
     "usage_by_task": "SELECT event_type AS task, count(*) AS calls, sum(event_id)::BIGINT AS tokens_in, sum(event_id % 100)::BIGINT AS tokens_out FROM events GROUP BY 1",
     "prune_runs": f"WITH {_EVALS} SELECT run_id, event_id FROM evals WHERE run_id IN (SELECT run_id FROM evals GROUP BY 1 ORDER BY max(evaluated_at) DESC, run_id DESC LIMIT 20)",
     "verdict_history": f"WITH {_EVALS} SELECT run_id, event_id, evaluated_at FROM evals WHERE task = 'click'",
@@ -415,13 +535,57 @@ ORACLE_SQL = {
         SELECT conv_id AS answer_id, string_agg(line, chr(10) ORDER BY turn) AS text, count(*) FILTER (turn % 2 = 0) AS resolved, 2 * count(*) + count(*) FILTER (turn % 2 <> 0) AS uncited,
             count(DISTINCT turn) FILTER (turn % 2 = 0) AS used, 2 * count(*) AS bad FROM said GROUP BY 1""",
     "sources_block": """SELECT 'conversations/' || conv_id || '.md' AS rel_path, array_to_string(list_sort(list(DISTINCT
-            CASE WHEN turn % 4 <> 0 THEN role || ' ' || turn WHEN turn > 0 THEN 'p.' || turn ELSE '(whole file)' END)), ', ') AS sections FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id""",
+            CASE WHEN turn % 4 <> 0 THEN role || ' ' || turn WHEN turn > 0 THEN 'p.' || turn ELSE '(whole file)' END)), ', ') AS sections FROM conversations GROUP BY conv_id""",
     "score_citations": """SELECT conv_id AS answer_id, CASE WHEN count(*) FILTER (turn % 5 = 4 OR turn <> 0) = 0 THEN 1.0 ELSE
             round(count(*) FILTER (turn % 5 <> 4 AND turn <> 0) / count(*) FILTER (turn <> 0), 9) END AS validity, coalesce(bool_or(turn % 5 <> 4 AND turn <> 0), false) AS must_cite_ok
         FROM conversations GROUP BY 1""",
     "json_salvage": f"""WITH {_FILES}, cut AS (
             SELECT doc_id, rel_path, len(list_filter(string_split(regexp_replace(markdown, '([.!?])[ \\t\\r\\n\\f]+', concat('\\1', chr(1)), 'g'), chr(1)), lambda s: s <> '')) AS n FROM files)
-        SELECT rel_path, greatest(0, least(n, 3) - doc_id % 2) AS findings FROM cut""",
-    "vector_topk": """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_concat([1.0::DOUBLE FOR i IN range(32)], [-1.0::DOUBLE FOR i IN range(32)])), 6) AS score
-        FROM embeddings ORDER BY score DESC, vec_id LIMIT 10""",
+        SELECT rel_path, greatest(0, n - doc_id % 2) AS findings FROM cut""",
+    "vector_topk": """SELECT query_id, vec_id, score FROM (
+            SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+            FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "index_apply": f"WITH {_INDEX} SELECT file_hash, rel_path, size_bytes FROM after",
+    "index_cascade": f"WITH {_INDEX} SELECT file_hash FROM after WHERE kept",
+    "index_status": f"""WITH {_INDEX}, {_STATUS} SELECT rel_path, drift AS kind, coalesce(old_path, '') AS detail FROM drifts WHERE drift <> 'unchanged'
+        UNION ALL SELECT rel_path, 'flagged', parse_status FROM statuses WHERE parse_status <> 'ok'""",
+    "evaluations_latest": """SELECT user_id, event_type, ts, event_id, value FROM (
+            SELECT user_id, event_type, ts, event_id, value, 0 AS n FROM events UNION ALL SELECT user_id, event_type, ts, event_id, -1.0, 1 FROM events WHERE event_type = 'click')
+        QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, n DESC) = 1""",
+    "conversion_status": """WITH f AS (SELECT conv_id, list('page ' || turn ORDER BY turn) AS errors, sum(length(text)) AS chars FROM conversations GROUP BY 1)
+        SELECT conv_id, CASE conv_id % 3 WHEN 1 THEN 'partial_parse' WHEN 2 THEN 'parse_failed' ELSE CASE WHEN chars < 200 THEN 'zero_text' ELSE 'ok' END END AS parse_status,
+            CASE conv_id % 3 WHEN 1 THEN array_to_string(errors[1:10], '; ') || CASE WHEN len(errors) > 10 THEN ' (+' || (len(errors) - 10) || ' more)' ELSE '' END
+                WHEN 2 THEN array_to_string(errors[1:5], '; ') END AS parse_error FROM f""",
+    "page_changes": """SELECT conv_id AS rel_path, turn * 10 AS "offset", turn // 2 % 3 AS page FROM conversations
+        QUALIFY page IS DISTINCT FROM lag(page) OVER (PARTITION BY conv_id ORDER BY turn)""",
+    "token_chunks": f"""WITH {_CONV}, {_CUTS}, parts AS (SELECT rel_path, row_number() OVER (PARTITION BY rel_path ORDER BY place, j) - 1 AS k, substr(text, j * 400 + 1, 400) AS t
+            FROM (SELECT rel_path, place, text, unnest(range(greatest(1, (length(text) + 399) // 400))) AS j FROM l6))
+        SELECT sha256(markdown) || ':' || k AS chunk_id, rel_path, strpos(markdown, t) - 1 AS char_start, strpos(markdown, t) - 1 + length(t) AS char_end, md5(t) AS digest
+        FROM parts JOIN convs USING (rel_path)""",
+    "section_plan": f"""WITH {_FILES} SELECT rel_path, part AS section, md5(substr(markdown, part * 3000 + 1, 3000)) AS digest
+        FROM (SELECT rel_path, markdown, unnest(range(greatest(1, (length(markdown) + 2999) // 3000))) AS part FROM files)""",
+    "verdicts_with_findings": f"""WITH {_FILES}, parts AS (
+            SELECT rel_path, part, len(list_intersect([{', '.join(f"'{w}'" for w in TOPIC)}], list_distinct(regexp_extract_all(lower(substr(markdown, part * 2000 + 1, 2000)), '[a-z]{{4,}}')))) AS shared
+            FROM (SELECT rel_path, markdown, unnest(range(greatest(1, (length(markdown) + 1999) // 2000))) AS part FROM files))
+        SELECT rel_path, bool_or(shared >= 3) AS relevant, coalesce(string_agg('section ' || part, '; ' ORDER BY part) FILTER (shared >= 3), '') AS quotes,
+            coalesce(string_agg('overlap=' || shared, '; ' ORDER BY part) FILTER (shared >= 3), '') AS claims FROM parts GROUP BY 1""",
+    "hits_grouped": f"""WITH {_found(2)}, firsts AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, lower(quote) ORDER BY seq) = 1
+        ), g AS (SELECT rel_path, claim AS heading, min(seq) AS f, count(*) AS hits, count(*) FILTER (overlap > 2) AS verified, count(*) FILTER (overlap <= 2) AS unverified FROM firsts GROUP BY 1, 2)
+        SELECT rel_path, heading, row_number() OVER (PARTITION BY rel_path ORDER BY f) - 1 AS place, hits, verified, unverified FROM g""",
+    "route_lexical": f"""WITH {_FILES}, cards AS (
+            SELECT DISTINCT file_hash, len(list_intersect([{', '.join(f"'{w}'" for w in TOPIC + WANTED)}], list_sort(list_distinct(regexp_extract_all(lower(markdown), '[a-z]{{4,}}')))[1:8])) AS shared
+            FROM files WHERE doc_id % 2 = 0)
+        SELECT rel_path, CASE WHEN shared IS NULL THEN 'no card: included' ELSE 'overlap=' || shared END AS reason FROM files LEFT JOIN cards USING (file_hash) WHERE shared IS NULL OR shared >= 2""",
+    "cost_by_task": """SELECT event_type AS task, round((sum(event_id) * CASE event_type WHEN 'click' THEN 0.15::DOUBLE WHEN 'view' THEN 0.3::DOUBLE WHEN 'purchase' THEN 0.45::DOUBLE ELSE 0 END
+        + sum(event_id % 100) * CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 0.6::DOUBLE ELSE 0 END) / 1000000, 4) AS cost FROM events GROUP BY 1""",
+    "evidence_block": f"""WITH {_TOLD} SELECT rel_path AS answer_id, md5(string_agg('[' || n || ']' || chr(10) || '    claim: ' || claim || chr(10) || '    quote: ' || quote, chr(10) ORDER BY n)) AS digest FROM told GROUP BY 1""",
+    "claims_digest": f"WITH {_TOLD} SELECT rel_path AS answer_id, string_agg(claim || ' [' || n || ']', ' ' ORDER BY n) AS digest FROM told GROUP BY 1",
+    "fallback_digest": f"""WITH {_TOLD} SELECT rel_path AS answer_id, 'No usable answer was written; these are the findings and their sources:' || chr(10) || chr(10)
+        || string_agg('- ' || claim || ' [' || rel_path || ']', chr(10) ORDER BY n) AS text, 0::BIGINT AS uncited FROM told GROUP BY 1""",
+    "quote_snap": rf"""WITH {_CONV}, asked AS (
+            SELECT c.conv_id, c.turn, rel_path, c.role, c.text, length(trim(regexp_replace(c.text, '\s+', ' ', 'g'))) >= 40 AS verified
+            FROM conversations c JOIN convs USING (conv_id) WHERE regexp_matches(c.text, '^[A-Za-z]{{4}}'))
+        SELECT rel_path, turn AS seq, verified, CASE WHEN verified THEN 'Conversation ' || conv_id || ' / ' || role || ' ' || turn END AS heading_path,
+            CASE WHEN verified THEN turn + 1 END AS page, CASE WHEN verified THEN md5(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) END AS digest FROM asked""",
 }

@@ -31,7 +31,8 @@ def test_replies_are_salvaged(spark):
     head = '{"file_hash": "h", "relevant": true, "confidence": 0.5, "reasoning": "r", "findings": ['
     one = '{"claim": "a } b", "quote": "\\"q"}'
     rows = [("whole", head + one + "]}"), ("fenced", "```json\n" + head + "]}\n```"), ("cut", head + one + ', {"claim": "c", "quo'), ("cut early", '{"file_hash": "h", "rel'), ("empty", ""), ("null", None)]
-    got = dict(spark.createDataFrame(rows, "k string, raw string").select("k", F.size(answers.parse_reply(F.col("raw"))["findings"])).collect())
+    parsed = answers.parse_replies(spark.createDataFrame(rows, "k string, raw string"))
+    got = dict(parsed.select("k", F.when(F.col("reply").isNotNull(), F.size("reply.findings"))).collect())
     assert got == {"whole": 1, "fenced": 0, "cut": 1, "cut early": None, "empty": None, "null": None}
 
 
@@ -66,3 +67,19 @@ def test_a_stream_indexes_each_content_once(spark, tmp_path):
 
     assert indexed(a="one", b="one", c="two") == {"a.md", "c.md"}
     assert indexed(d="two", e="three") == {"a.md", "c.md", "e.md"}
+
+
+def test_marks_with_spaces_and_tags_are_not_marks(spark):
+    text = "It holds for all of them [ 1 ].\n# Title\n#tag stays here\n• stays\n* item of a list [1]"
+    evidence = spark.createDataFrame([("x", 1, "[a.md]")], "answer_id string, number int, cite string")
+    got = answers.resolve(spark.createDataFrame([("x", text)], "answer_id string, text string"), evidence).first().text.split("\n")
+    assert got == ["It holds for all of them [ 1 ]. [uncited]", "Title", "#tag stays here", "• stays", "- item of a list [a.md]"]
+
+
+def test_evidence_and_digests(spark):
+    rows = [("x", 2, "b.md", "Two hold", "q2", "[b.md]"), ("x", 1, "a.md", " One holds ", "q1", "[a.md]"), ("x", 3, "a.md", " ", "q3", "[a.md]")]
+    told = spark.createDataFrame(rows, "answer_id string, number int, rel_path string, claim string, quote string, cite string")
+    assert answers.evidence_block(told).first().block.startswith("[1]\n    claim:  One holds \n    quote: q1\n[2]\n")
+    assert answers.claims_digest(told).first().digest == "One holds [1] Two hold [2]"
+    got = answers.fallback_digest(told, "Found:").first()
+    assert got.text == "Found:\n\n- One holds [a.md]\n\n- Two hold [b.md]" and got.uncited == 0
