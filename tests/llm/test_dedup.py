@@ -69,6 +69,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert len(set(got.values())) < len(got)
 
 
+@pytest.mark.parametrize("small", [4096, 20])
+def test_a_crowded_hub_loses_no_link(spark, small):
+    """Texts about one base: some share a passage that it lacks without being alike, others are copies of one another far from it."""
+    rng = random.Random(8)
+    base, line = [f"b{k}" for k in range(100)], [f"line{k}" for k in range(15)]
+    rows = [(0, " ".join(base))]
+    for k in range(60):
+        rows.append((len(rows), varied(rng, base, 2) + " " + " ".join(line + [f"own{k}x{j}" for j in range(12)])))
+    for k in range(12):
+        far = varied(rng, base + line, 5).split()
+        rows += [(len(rows) + j, varied(rng, far, 1)) for j in range(4)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(spark, rows), small=small, levels=2).collect()}
+    assert got == classes(rows)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dedup.near_duplicates(table(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -161,6 +176,36 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.contaminated(table(spark, docs), bench.where("false")).count() == 0
 
 
+def best_window(body, item):
+    """The greatest similarity of an item-sized window of body, by trying all."""
+    w, want = body.lower().split(), bag(item)
+    n = sum(want.values()) + 4
+    return max(similarity(bag(" ".join(w[k : k + n])), want) for k in range(max(1, len(w) - n + 1)))
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_moved_and_repeated_passages_are_found_in_their_best_window(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", broadcast)
+    w = lambda name, n: [f"{name}{k}" for k in range(n)]
+    item, other = w("i", 60), w("o", 40)
+    halves = w("x", 80) + item[30:] + item[:30] + w("y", 80)
+    rows = [
+        (1, halves), (2, w("x", 9) + item[6:] + item[:6] + w("z", 30)), (3, item[:30] + ["new"] + item[30:]), (4, item + w("y", 5) + item), (4, other),
+        (None, item), (None, w("clean", 70)), (5, w("long", 25_000) + item + w("more", 25_000)), (6, item[:50]), (7, w("clean", 70)), (8, item[:40] + w("x", 20)),
+    ]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    got = decontamination.contaminated(table(spark, [(i, " ".join(t)) for i, t in rows]), items).collect()
+    want = {}
+    for i, t in rows:
+        for k, x in ((1, item), (2, other)):
+            best = best_window(" ".join(t), " ".join(x)) if i != 5 or k == 1 else 0
+            if best >= 0.8:
+                want[i, k] = max(best, want.get((i, k), 0))
+    assert {(r.doc_id, r.item_id) for r in got} == set(want) and len(got) == len(want)
+    assert all(r.similarity == pytest.approx(want[r.doc_id, r.item_id]) for r in got)
+    assert (1, 1) in want and (4, 1) in want and (4, 2) in want and (None, 1) in want
+
+
 def test_decontamination_is_the_same_with_a_joined_benchmark(spark, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     docs = table(spark, [(1, "so one two three four five six seven eight nine ten end"), (None, "one two three four five six seven eight nine ten")])

@@ -1,10 +1,12 @@
 """Packing, sharding, archives, page texts, languages and licences: round trips, brute force and odd inputs."""
 
 import html
+import itertools
 import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -19,8 +21,11 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, "en", 1) for i, t in rows], "doc_id long, text string, lang string, shard long")
 
 
+PLAIN = Tokenizer.from_file(tokenizer_path())
+
+
 def ids_of(text):
-    return packing.Encoder(tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    return PLAIN.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_pieces_hold_each_id_once_and_sequences_have_no_gap(spark):
@@ -66,7 +71,7 @@ def test_first_fit_decreasing_matches_a_plain_search():
 @pytest.mark.parametrize("text", ["a b", " a b", "a  b", "a\tb c", "don't stop", "a \n b", "b  c d", "é ü　x y", "a b ", "1 2 34", "<|endoftext|> a b"])
 def test_words_are_encoded_as_in_the_whole_text(text):
     encode = packing.Encoder(tokenizer_path())
-    ids = encode.tokenizer.encode(text, add_special_tokens=False).ids
+    ids = PLAIN.encode(text, add_special_tokens=False).ids
     assert encode(text) == b"".join(i.to_bytes(4, "little") for i in ids) == encode(text)
 
 
@@ -82,6 +87,18 @@ def test_ids_are_those_of_the_plain_tokenizer(spark):
         assert (got[i].ids_crc32, 4 * got[i].doc_tokens) == (zlib.crc32(ids + (1).to_bytes(4, "little")), len(ids) + 4)
 
 
+def test_ids_of_random_texts_are_those_of_the_tokenizer():
+    encode, rng, merged = packing.Encoder(tokenizer_path()), random.Random(1), 0
+    pool = ["a", "b", " ", "  ", "\n", "\t", "'s", "'LL", "é", "ß", "ком", "日本", "1", "٣", "²", "😀", "\u200b", "\u00a0", "\x85", "\x1c", "<|endoftext|>", "<|end", "\u0301", "\ua7ca", "\x00"]
+    for _ in range(4000):
+        text = "".join(rng.choices(pool, k=rng.randrange(14)))
+        merged += encode._plain(text)
+        assert encode(text) == b"".join(i.to_bytes(4, "little") for i in PLAIN.encode(text, add_special_tokens=False).ids)
+    assert 400 < merged < 3600
+    for text in ["a" * 50_000, " " * 50_000, "ab " * 20_000]:
+        assert encode(text) == b"".join(i.to_bytes(4, "little") for i in PLAIN.encode(text, add_special_tokens=False).ids)
+
+
 def choice(doc_id, shards):
     seed = 42 if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
     scores = [-math.log(((xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed) >> 11) + 0.5) / 2**53) for k in range(shards)]
@@ -152,6 +169,39 @@ def test_trees_tell_drawn_pages_they_have_not_seen():
     assert right / n > 0.97
 
 
+def test_decoding_is_the_likeliest_of_all_keep_sets():
+    rng = random.Random(6)
+    for _ in range(40):
+        n = rng.randrange(2, 10)
+        nodes = [html_text.Node("html", -1, 0)]
+        for i in range(1, n):
+            up = rng.randrange(i)
+            nodes.append(html_text.Node(rng.choice(["div", "p", "svg"]), up, nodes[up].depth + 1))
+            nodes[up].children.append(i)
+        margins = np.array([rng.gauss(0, 2) for _ in nodes])
+        best, likeliest = None, -math.inf
+        for bits in itertools.product((False, True), repeat=n):
+            if all(not keep or (nodes[i].tag not in html_text.UNSEEN and (i == 0 or bits[nodes[i].parent])) for i, keep in enumerate(bits)):
+                value = sum(-math.log1p(math.exp(-m if keep else m)) for keep, m in zip(bits, margins, strict=True))
+                if value > likeliest:
+                    best, likeliest = list(bits), value
+        assert html_text.decode(nodes, margins) == best
+
+
+def test_trees_match_a_slow_walk():
+    trees, rng = html_text.model(), np.random.default_rng(3)
+    x = np.concatenate([html_text.describe(html_text.parse(html_text.training_page(random.Random(k)))) for k in range(3)])
+    x = x[rng.permutation(len(x))[:60]]
+    for row, got in zip(x, trees.margin(x), strict=True):
+        total = trees.base
+        for f, c, v in zip(trees.features, trees.cuts, trees.leaves, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > c[node] else 1)
+            total += v[node - len(f)]
+        assert got == pytest.approx(total)
+
+
 def test_character_references_are_decoded_once():
     nodes = html_text.parse("<p>&amp;lt; a&nbsp;b</p>")
     assert html_text.render(nodes, [True] * len(nodes)) == html.unescape("&amp;lt; a b")
@@ -190,6 +240,31 @@ def test_an_id_that_comes_often_is_one_document_of_the_sample(spark, monkeypatch
     assert of == {1: "aa", 2: "bb", 3: "cc"}
 
 
+def test_decoding_of_codewords_matches_plain_sums():
+    rng = np.random.default_rng(4)
+    for k in (2, 4, 7):
+        code = language_id.codewords(k)
+        bits = code.shape[1]
+        model = language_id.Model([str(i) for i in range(k)], code, rng.normal(size=(6, bits)), rng.normal(size=bits), rng.uniform(0.1, 1, bits))
+        x = rng.normal(size=(5, 6))
+        for row, p in zip(x, model.decode(x), strict=True):
+            margins = [sum(row[i] * model.weights[i, b] for i in range(6)) + model.bias[b] for b in range(bits)]
+            e = [math.exp(-sum(model.trust[b] * math.log1p(math.exp(-margins[b] * code[lang, b])) for b in range(bits))) for lang in range(k)]
+            assert list(p) == pytest.approx([v / sum(e) for v in e])
+
+
+def test_letters_beyond_the_third_plane_count_and_the_sample_is_bounded(spark, monkeypatch):
+    assert language_id.features("\U00030000") is not None and language_id.features("12 !") is None
+    rng, drawn = random.Random(9), []
+    rows = [(i, " ".join(rng.choices(WORDS[lang].split(), k=6)), lang) for i in range(3000) for lang in [list(WORDS)[i % 3]]] + [(8, "bar bor", "aa")] * 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda x, labels: drawn.append(len(labels)) or fit(x, labels))
+    language_id.learn(docs, sample=50)
+    language_id.learn(docs, sample=50, most=30)
+    assert drawn == [150, 30]
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 5, 8, 20):
         code = language_id.codewords(k)
