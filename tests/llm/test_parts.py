@@ -282,3 +282,16 @@ def test_licences_follow_their_rules(spark):
     assert got[1].licenses == got[2].licenses == got[7].licenses == got[None].licenses == "MIT" and got[3].licenses == "MPL-2.0"
     assert got[1].evidence == "MIT text" and got[7].evidence == "MIT reference"
     assert licenses.scan(table(spark, [])).count() == 0
+
+
+def test_licences_of_many_kinds(spark):
+    texts = {
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+        "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nCopyright",
+        "Apache-2.0": "// SPDX-License-Identifier: Apache-2.0\nint main;",
+        "CC-BY-NC-4.0": "Text.\nThis work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. x",
+    }
+    rows = [(7, text) for text in texts.values()] + [(8, "This program is free software: see the manual. Version 3, 29 June 2007")]
+    got = licenses.scan(table(spark, rows)).collect()
+    assert sorted(r.licenses for r in got) == sorted(texts) and {r.doc_id for r in got} == {7}
