@@ -21,12 +21,13 @@ def fixed_slices(files: DataFrame, size: int) -> DataFrame:
 
 def headings(files: DataFrame) -> DataFrame:
     """rel_path, start (code points), level, title of markdown headings with up to three spaces before them."""
-    lines = files.select("rel_path", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line"))
-    before = Window.partitionBy("rel_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("start", F.coalesce(F.sum(F.char_length("line") + 1).over(before), F.lit(0)))
-    mark = r"^ {0,3}(#{1,6})[ \t]+(.*)$"
-    lines = lines.where(F.col("line").rlike(mark))
-    return lines.select("rel_path", "start", F.char_length(F.regexp_extract("line", mark, 1)).alias("level"), F.trim(F.regexp_extract("line", mark, 2)).alias("title"))
+    parts = files.select("rel_path", F.posexplode(F.split("markdown", r"(?md)^(?= {0,3}#{1,6}[ \t])")).alias("k", "part"))
+    mark, line = r"^ {0,3}(#{1,6})[ \t]+(.*)$", F.substring_index("part", "\n", 1)
+    titled = F.when(line.rlike(mark), F.struct(F.char_length(F.regexp_extract(line, mark, 1)).alias("level"), F.trim(F.regexp_extract(line, mark, 2)).alias("title")))
+    slim = parts.select("rel_path", "k", F.char_length("part").alias("size"), titled.alias("h"))  # only lengths and titles are shuffled
+    before = Window.partitionBy("rel_path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slim.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).where("h is not null")
+    return starts.select("rel_path", "start", "h.level", "h.title")
 
 
 def heading_path_at(places: DataFrame, heads: DataFrame) -> DataFrame:
@@ -82,22 +83,25 @@ def extract(files: DataFrame, topic: list[str], relevance: str = "balanced") ->
     return found.select("rel_path", "file_hash", "seq", "quote", F.array_join("shared", " ").alias("claim"), F.size("shared").alias("overlap"), (F.size("shared") / F.lit(float(len(topic)))).alias("confidence"))
 
 
-def merge_sections(verdicts: DataFrame) -> DataFrame:
-    """File verdicts from sections (rel_path, section, relevant, confidence, reasoning): relevant if any is; the largest confidence of relevant sections, or
-    the least of all; distinct reasons in order."""
+def _merged() -> list[Column]:
     seen = F.sort_array(F.collect_list(F.struct("section", F.trim("reasoning").alias("r"))))["r"]
-    return verdicts.groupBy("rel_path").agg(
+    return [
         F.bool_or("relevant").alias("relevant"),
         F.coalesce(F.max(F.when(F.col("relevant"), F.col("confidence"))), F.min("confidence")).alias("confidence"),
         F.array_join(F.array_distinct(F.filter(seen, lambda r: r != "")), " | ").alias("reasoning"),
-    )
+    ]
+
+
+def merge_sections(verdicts: DataFrame) -> DataFrame:
+    """File verdicts from sections (rel_path, section, relevant, confidence, reasoning): relevant if any is; the largest confidence of relevant sections, or
+    the least of all; distinct reasons in order."""
+    return verdicts.groupBy("rel_path").agg(*_merged())
 
 
 def merge_verdicts(verdicts: DataFrame) -> DataFrame:
     """merge_sections() with findings (array<struct<claim, quote>>): those of relevant sections, in order of section; none of an irrelevant file."""
     taken = F.sort_array(F.collect_list(F.when(F.col("relevant"), F.struct("section", "findings"))))["findings"]
-    found = verdicts.groupBy("rel_path").agg(F.flatten(taken).alias("findings"))
-    return merge_sections(verdicts).join(found, "rel_path")
+    return verdicts.groupBy("rel_path").agg(*_merged(), F.flatten(taken).alias("findings"))
 
 
 def snap(grounded: DataFrame, files: DataFrame) -> DataFrame:
@@ -155,9 +159,12 @@ def hits(findings: DataFrame) -> DataFrame:
 
 
 def number_evidence(found: DataFrame, buckets: int = 256) -> DataFrame:
-    """hits with number: 1, 2, ... by (rel_path, seq). Counts of buckets of files give each its offset, so no task numbers all rows."""
+    """hits with number: 1, 2, ... by (rel_path, seq). Files are bucketed between the paths of the least hashes, at most buckets - 1 of them, and
+    counts of the buckets give each its offset, so no task numbers all rows, and a bucket is the same however often it is computed."""
     counted = found.groupBy("rel_path").agg(F.count(F.lit(1)).alias("k"))
-    ranked = counted.repartitionByRange(buckets, "rel_path").withColumn("part", F.spark_partition_id())
+    least = counted.select(F.xxhash64("rel_path").alias("h"), "rel_path").orderBy("h", "rel_path").limit(buckets - 1).collect()
+    bounds = F.array(*map(F.lit, sorted(r["rel_path"] for r in least))).cast("array<string>")
+    ranked = counted.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("rel_path"))))
     ranked = ranked.withColumn("inside", F.sum("k").over(Window.partitionBy("part").orderBy("rel_path").rowsBetween(Window.unboundedPreceding, -1)))
     sums = ranked.groupBy("part").agg(F.sum("k").alias("k"))
     offsets = sums.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
@@ -166,19 +173,26 @@ def number_evidence(found: DataFrame, buckets: int = 256) -> DataFrame:
     return found.withColumn("own", own).join(starts, "rel_path").withColumn("number", F.col("start") + F.col("own")).drop("own", "start")
 
 
+def _finer(level: int, most: int):
+    """A text's parts at the headings of a level, where it is longer than most and there are several."""
+
+    def parts(text: Column) -> Column:
+        cut = F.filter(F.split(text, rf"(?md)^(?=#{{{level}}}\s)"), lambda p: p.rlike(r"\S"))
+        several = F.flatten(F.transform(F.array(cut), lambda c: F.when(F.size(c) > 1, c).otherwise(F.array(text))))
+        return F.when(F.char_length(text) > most, several).otherwise(F.array(text))
+
+    return parts
+
+
 def split_sections(files: DataFrame, most: int) -> DataFrame:
     """rel_path, section, text: files cut at their headings where they are longer than most code points, level by level. A
     level that gives one part only is passed over, blank parts are left out, and what is still too long is cut into slices."""
-    parts = files.select("rel_path", F.array(F.lit(0)).alias("place"), F.col("markdown").alias("text"))
+    texts = F.array("markdown")
     for level in range(1, 7):
-        cut = F.filter(F.split("text", rf"(?md)^(?=#{{{level}}}\s)"), lambda p: p.rlike(r"\S"))
-        cut = F.when((F.char_length("text") > most) & (F.size(cut) > 1), cut).otherwise(F.array("text"))
-        parts = parts.select("rel_path", "place", F.posexplode(cut).alias("k", "text")).select("rel_path", F.concat("place", F.array("k")).alias("place"), "text")
-    n = F.greatest(F.lit(1), F.ceil(F.char_length("text") / most)).cast("int")
-    slices = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col("text"), k * most + 1, F.lit(most)))
-    parts = parts.select("rel_path", "place", F.posexplode(slices).alias("slice", "text"))
-    number = F.row_number().over(Window.partitionBy("rel_path").orderBy("place", "slice")) - 1
-    return parts.select("rel_path", number.alias("section"), "text")
+        texts = F.flatten(F.transform(texts, _finer(level, most)))
+    places = lambda t: F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.char_length(t) / most)).cast("int") - 1)
+    slices = F.flatten(F.transform(texts, lambda t: F.transform(places(t), lambda k: F.substring(t, k * most + 1, F.lit(most)))))
+    return files.select("rel_path", F.posexplode(slices).alias("section", "text"))
 
 
 def merge_cards(parts: DataFrame, lists: list[str], most: int = 50) -> DataFrame:

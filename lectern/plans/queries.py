@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, catalogue, drift, ledger, reading
+from lectern.operators import answers, asking, catalogue, drift, ledger, reading
 from lectern.sources import corpus
 
 #: Words of the fixed question that the lexical judge looks for.
@@ -276,6 +276,52 @@ def _told(s: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("rel_path").alias("answer_id"), number.alias("number"), "rel_path", "claim", "quote", F.concat(F.lit("["), "rel_path", F.lit("]")).alias("cite"))
 
 
+ASKED = TOPIC + WANTED
+
+
+def _asked(mode: str):
+    """A whole query over the catalogue; of contents whose ids are divisible by 3, a verdict is stored, and those of even ids have cards."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        key = T.question_key(F.lit("what?"), F.lit(None).cast("string"), F.lit("balanced"))
+        every = drift.final_files(files(s, d))
+        none = F.array().cast("array<struct<claim:string,quote:string>>")
+        stored = every.where("doc_id % 3 = 0").select(
+            key.alias("question_hash"), "file_hash", F.lit("lexical").alias("model"), F.lit(True).alias("relevant"), F.lit(0.25).alias("confidence"),
+            F.lit("stored").alias("reasoning"), none.alias("findings"),
+        )
+        cards = reading.lexical_cards(every.where("doc_id % 2 = 0"))
+        return asking.ask(every, cards, stored, ASKED, key, asking.lexical_judge(ASKED, "balanced"), mode=mode, window=3100)
+
+    return run
+
+
+def _asked_rows(mode: str):
+    quotes = F.md5(F.array_join(F.col("findings")["quote"], "|"))
+    return lambda s, d: _asked(mode)(s, d).select(
+        "rel_path", "reason", "cached", "relevant", F.round("confidence", 6).alias("confidence"), "reasoning", F.size("findings").cast("long").alias("findings"), quotes.alias("quotes")
+    )
+
+
+def _estimated(s: SparkSession, d: str) -> DataFrame:
+    every = drift.final_files(files(s, d))
+    prices = s.createDataFrame([("catalog", 0.15, 0.6), ("route", 0.15, 0.6), ("extract", 3.0, 15.0)], "task string, in_rate double, out_rate double")
+    return asking.estimate(every, reading.lexical_cards(every.where("doc_id % 2 = 0")), ASKED, prices)
+
+
+def _arms(s: SparkSession, d: str) -> DataFrame:
+    """Three pairs, each of which expects the good and forbids the toxic documents of a third of the ids."""
+    names = ["first", "second", "third"]
+    pairs = s.createDataFrame(list(zip(names, [TOPIC, WANTED, TOPIC[:2] + WANTED[:3]], strict=True)), "pair string, topic array<string>")
+    f = files(s, d)
+    pair = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 3 + 1).cast("int"))
+    marks = f.join(labels(s, d), "doc_id").select(pair.alias("pair"), "rel_path", (F.col("quality") == 1).alias("expected"), (F.col("toxic") == 1).alias("forbidden"))
+    routed = asking.routed_pairs(pairs, reading.lexical_cards(f))
+    swept = asking.swept_pairs(pairs, reading.plan_sections(f, 3100), "balanced")
+    scored = asking.score_arms(pairs, marks, route=routed, sweep=swept)
+    return scored.withColumns({"recall": F.round("recall", 9), "precision": F.round("precision", 9)})
+
+
 QUERIES = {
     "corpus_scan": lambda s, d: files(s, d).select("rel_path", "file_hash", "size_bytes", "format"),
     "token_counts": lambda s, d: files(s, d).select("rel_path", T.tokens(F.col("markdown")).alias("tokens")),
@@ -342,6 +388,11 @@ QUERIES = {
     "evidence_block": lambda s, d: answers.evidence_block(_told(s, d)).select("answer_id", F.md5("block").alias("digest")),
     "claims_digest": lambda s, d: answers.claims_digest(_told(s, d)),
     "fallback_digest": lambda s, d: answers.fallback_digest(_told(s, d)).select("answer_id", "text", "uncited"),
+    "ask_route": _asked_rows("route"),
+    "ask_sweep": _asked_rows("sweep"),
+    "ask_report": lambda s, d: asking.report(_asked("sweep")(s, d)),
+    "ask_estimate": _estimated,
+    "evaluation_arms": _arms,
 }
 
 _FILES = "files AS (SELECT doc_id, 'docs/' || doc_id || '.txt' AS rel_path, coalesce(text, '') AS markdown, sha256(coalesce(text, '')) AS file_hash FROM documents)"
@@ -450,6 +501,34 @@ def _packed(units: str, key: str, order: str, budget: int, most: int) -> str:
     ) SELECT {key}, {order}, batch FROM walk"""
 
 
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_WORDS = lambda text: f"list_distinct(regexp_extract_all(lower({text}), '[a-z]{{4,}}'))"
+_PARTS = lambda rows, size: f"""slices AS (  -- sentences of slices of rows
+    SELECT rel_path, part, list_filter(string_split(regexp_replace(substr(markdown, part * {size} + 1, {size}), '([.!?])[ \\t\\r\\n\\f]+', concat('\\1', chr(1)), 'g'), chr(1)), lambda s: s <> '') AS said
+    FROM (SELECT rel_path, markdown, unnest(range(greatest(1, (length(markdown) + {size - 1}) // {size}))) AS part FROM {rows})
+), cut AS (SELECT rel_path, part, unnest(said) AS quote, generate_subscripts(said, 1) AS seq FROM slices)"""
+_ONES = f"""{_FILES}, ones AS (SELECT file_hash, min(rel_path) AS rel_path, arg_min(doc_id, rel_path) AS doc_id, any_value(markdown) AS markdown FROM files GROUP BY 1
+), carded AS (SELECT *, len(list_intersect({_list(TOPIC + WANTED)}, list_sort({_WORDS('markdown')})[1:8])) AS met FROM ones)"""
+
+
+def _asked_sql(chosen: str, reason: str) -> str:
+    return f"""{_ONES}, chosen AS (SELECT *, {reason} AS reason FROM carded WHERE {chosen}), open AS (SELECT * FROM chosen WHERE doc_id % 3 <> 0), {_PARTS('open', 3000)
+    }, met AS (SELECT *, len(list_intersect({_list(TOPIC + WANTED)}, {_WORDS('quote')})) AS shared FROM cut
+    ), parts AS (SELECT s.rel_path, s.part, coalesce(max(shared), 0) AS best FROM slices s LEFT JOIN met m ON m.rel_path = s.rel_path AND m.part = s.part GROUP BY 1, 2
+    ), reasons AS (SELECT rel_path, string_agg('overlap=' || best, ' | ' ORDER BY part) AS reasoning FROM (SELECT rel_path, best, min(part) AS part FROM parts GROUP BY 1, 2) GROUP BY 1
+    ), told AS (SELECT rel_path, bool_or(best >= 2) AS relevant, coalesce(max(best) FILTER (best >= 2), min(best)) / {len(TOPIC + WANTED)}.0 AS confidence FROM parts GROUP BY 1
+    ), found AS (SELECT rel_path, count(*) AS n, string_agg(quote, '|' ORDER BY part, seq) AS quotes FROM met WHERE shared >= 2 GROUP BY 1
+    ), asked AS (
+        SELECT rel_path, reason, true AS cached, true AS relevant, 0.25::DOUBLE AS confidence, 'stored' AS reasoning, 0::BIGINT AS findings, md5('') AS quotes FROM chosen WHERE doc_id % 3 = 0
+        UNION ALL SELECT o.rel_path, o.reason, false, t.relevant, round(t.confidence::DOUBLE, 6), r.reasoning, coalesce(f.n, 0), md5(coalesce(f.quotes, ''))
+        FROM open o JOIN told t USING (rel_path) JOIN reasons r USING (rel_path) LEFT JOIN found f USING (rel_path))"""
+
+
+_SWEPT = _asked_sql("true", "'sweep'")
+
 _KEY = "sha256('what?' || chr(0) || chr(0) || 'balanced')"
 
 ORACLE_SQL = {
@@ -588,4 +667,27 @@ ORACLE_SQL = {
             FROM conversations c JOIN convs USING (conv_id) WHERE regexp_matches(c.text, '^[A-Za-z]{{4}}'))
         SELECT rel_path, turn AS seq, verified, CASE WHEN verified THEN 'Conversation ' || conv_id || ' / ' || role || ' ' || turn END AS heading_path,
             CASE WHEN verified THEN turn + 1 END AS page, CASE WHEN verified THEN md5(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) END AS digest FROM asked""",
+    "ask_route": "WITH " + _asked_sql("met >= 2", "'overlap=' || met") + " SELECT * FROM asked",
+    "ask_sweep": f"WITH {_SWEPT} SELECT * FROM asked",
+    "ask_report": f"""WITH {_SWEPT} SELECT count(*) AS candidates, count(*) FILTER (cached) AS cached, count(*) FILTER (relevant) AS relevant, sum(findings)::BIGINT AS findings,
+        count(*) FILTER (relevant AND findings = 0) AS silent FROM asked""",
+    "ask_estimate": f"""WITH {_ONES}, sized AS (SELECT *, greatest(1, length(markdown) // 4) AS n FROM carded), sums AS (
+            SELECT coalesce(sum(n) FILTER (doc_id % 2 <> 0), 0) AS ci, count(*) FILTER (doc_id % 2 <> 0) * 1024 AS co, count(*) * 1024 AS ri,
+                   greatest(ceil(count(*) * 1024 / 30768), ceil(count(*) / 13)) * 1024 AS ro, coalesce(sum(n) FILTER (met >= 2), 0) AS ei, count(*) FILTER (met >= 2) * 1024 AS eo FROM sized
+        ), tasks AS (
+            SELECT 'catalog' AS task, ci AS i, co AS o, 0.15::DOUBLE AS a, 0.6::DOUBLE AS b FROM sums UNION ALL SELECT 'route', ri, ro, 0.15, 0.6 FROM sums
+            UNION ALL SELECT 'extract', ei, eo, 3.0, 15.0 FROM sums UNION ALL SELECT 'synthesize', eo, 1024, 0, 0 FROM sums)
+        SELECT task, i::BIGINT AS tokens_in, o::BIGINT AS tokens_out, round((i * a + o * b) / 1000000, 4) AS cost FROM tasks""",
+    "evaluation_arms": f"""WITH {_FILES}, pairs AS (SELECT * FROM (VALUES ('first', {_list(TOPIC)}, 0), ('second', {_list(WANTED)}, 1), ('third', {_list(TOPIC[:2] + WANTED[:3])}, 2)) v(pair, topic, k)
+        ), {_PARTS('files', 3000)}, said AS (SELECT rel_path, {_WORDS('quote')} AS w FROM cut
+        ), cards AS (SELECT rel_path, list_sort({_WORDS('markdown')})[1:8] AS w FROM files
+        ), chosen AS (SELECT DISTINCT 'sweep' AS arm, pair, rel_path FROM said, pairs WHERE len(list_intersect(w, topic)) >= 2
+            UNION ALL SELECT 'route', pair, rel_path FROM cards, pairs WHERE len(list_intersect(w, topic)) >= 2
+        ), marks AS (SELECT arm, pair, rel_path, coalesce(quality = 1, false) AS e, coalesce(toxic = 1, false) AS f
+            FROM files JOIN labels USING (doc_id) JOIN pairs ON doc_id % 3 = k CROSS JOIN (VALUES ('route'), ('sweep')) a(arm)
+        ), both_ AS (SELECT arm, pair, rel_path, coalesce(e, false) AS e, coalesce(f, false) AS f, coalesce(c.yes, false) AS c
+            FROM marks m FULL JOIN (SELECT *, true AS yes FROM chosen) c USING (arm, pair, rel_path)
+        ), counts AS (SELECT arm, pair, count(*) FILTER (e) AS want, count(*) FILTER (c) AS got, count(*) FILTER (e AND c) AS hit, count(*) FILTER (f AND c) AS forbidden FROM both_ GROUP BY 1, 2)
+        SELECT arm, pair, round(CASE WHEN want = 0 THEN 1.0 ELSE hit / want END, 9) AS recall, round(CASE WHEN got = 0 THEN 1.0 ELSE hit / got END, 9) AS precision,
+            want - hit AS missing, got - hit AS stray, forbidden FROM counts""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("pdf", "docx", "doc", "md", "markdown", "txt")
@@ -45,17 +45,14 @@ def from_conversations(turns: DataFrame) -> DataFrame:
     page_marks holds the code-point offset at which each page starts.
     """
     part = F.concat(F.lit("## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n"))
-    files = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
     title = F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n"))
-    files = files.withColumn("title", title).withColumn("markdown", F.concat("title", F.array_join(F.col("parts")["part"], "")))
-    marks = F.transform(
-        F.sequence(F.lit(1), F.size("parts")),
-        lambda k: F.struct(
-            (F.char_length("title") + F.aggregate(F.slice("parts", 1, k - 1), F.lit(0), lambda n, p: n + F.char_length(p["part"]))).alias("offset"),
-            (F.get(F.col("parts"), k - 1)["turn"] + 1).cast("int").alias("page"),
-        ),
-    )
-    files = files.withColumn("page_marks", marks)
+    before = Window.partitionBy("conv_id").orderBy("turn", "part").rowsBetween(Window.unboundedPreceding, -1)  # by which the rows are grouped next, too
+    parts = turns.select("conv_id", "turn", part.alias("part"))
+    offset = F.char_length(title) + F.coalesce(F.sum(F.char_length("part")).over(before), F.lit(0))
+    parts = parts.withColumn("offset", offset.cast("int"))
+    files = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "part", "offset"))).alias("parts"))
+    marks = F.transform("parts", lambda p: F.struct(p["offset"].alias("offset"), (p["turn"] + 1).cast("int").alias("page")))
+    files = files.withColumn("markdown", F.concat(title, F.array_join(F.col("parts")["part"], ""))).withColumn("page_marks", marks)
     return _rows(files, F.concat(F.lit("conversations/"), F.col("conv_id").cast("string"), F.lit(".md")), "md", F.col("markdown"), "conv_id", "page_marks")
 
 
