@@ -297,10 +297,13 @@ def _asked(mode: str):
 
 
 def _asked_rows(mode: str):
-    quotes = F.md5(F.array_join(F.col("findings")["quote"], "|"))
-    return lambda s, d: _asked(mode)(s, d).select(
-        "rel_path", "reason", "cached", "relevant", F.round("confidence", 6).alias("confidence"), "reasoning", F.size("findings").cast("long").alias("findings"), quotes.alias("quotes")
-    )
+    def run(s: SparkSession, d: str) -> DataFrame:
+        quotes = F.md5(F.array_join(F.col("findings")["quote"], "|"))
+        return _asked(mode)(s, d).select(
+            "rel_path", "reason", "cached", "relevant", F.round("confidence", 6).alias("confidence"), "reasoning", F.size("findings").cast("long").alias("findings"), quotes.alias("quotes")
+        )
+
+    return run
 
 
 def _estimated(s: SparkSession, d: str) -> DataFrame:
