@@ -1,10 +1,11 @@
-"""Queries of the ten operators, each over its whole table, and their DuckDB SQL where that can express them."""
+"""Queries of the thirteen operators, each over its whole table, and their DuckDB SQL where that can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, exact_dedup, html_text, language_id, licenses, line_dedup, near_dedup, packing, sharding, warc
+from lectern.llm import decontamination, exact_dedup, html_text, language_id, licenses, line_dedup, near_dedup, packing, secret_scan, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long").alias(f"n_{secret_scan.RULES[k].kind}")
+    base = F.filter("spans", lambda s: s["rule"] < len(secret_scan.BASE))
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(secret_scan.shown(base), 256).alias("base_sha256"), secret_scan.shown(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -69,6 +77,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op12_secret_scan": op12_secret_scan,
 }
 
 ORACLE_SQL = {
@@ -88,6 +97,7 @@ ORACLE_SQL = {
         FROM ids
     """,
     "op10_licenses": licenses.oracle_sql(),
+    "op12_secret_scan": secret_scan.oracle_sql(),
     "op9_line_dedup": """
         WITH lines AS (
             SELECT doc_id, source, line, pos FROM (

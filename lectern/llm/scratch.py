@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the filter of among() for each wanted value, and at most: 32 MB.
@@ -50,3 +51,27 @@ def among(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
     some = rows.join(F.broadcast(maps), F.floor(place(col) / 32768) == F.col("_m")).where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_m", "_map")
     # An inner join, as Catalyst would push a semi-join beneath the filter, and shuffle all rows.
     return some.join(wanted, some[col].eqNullSafe(wanted["_w"])).drop("_w")
+
+
+#: The number of a row, by which operators find it again; ids may be null or repeated.
+ROW = "_row"
+#: Files of which the numbers are broadcast at most, and rows of a file.
+MOST_FILES, FILE_ROWS = 100_000, 1 << 35
+
+
+def numbered(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns of docs (all, if none are named) with a number for each row, ROW, that every reading gives alike: a row's place in its
+    file, and its file's place by name.
+
+    So no text is copied. Tables that aren't read from Parquet files, or from more than MOST_FILES, are written with numbers first.
+    """
+    columns = columns or ("*",)
+    try:
+        placed = docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        placed = None
+    files = placed.select("_file").distinct().limit(MOST_FILES + 1).collect() if placed is not None else []
+    if not 0 < len(files) <= MOST_FILES:
+        return written(docs.select(*columns).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    numbers = docs.sparkSession.createDataFrame([(name, k) for k, name in enumerate(sorted(r[0] for r in files))], "_file string, _number long")
+    return placed.join(F.broadcast(numbers), "_file").withColumn(ROW, F.col("_number") * FILE_ROWS + F.col("_place")).drop("_file", "_place", "_number")
