@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, exact_dedup, html_text, language_id, licenses, line_dedup, near_dedup, packing, secret_scan, sharding, warc
+from lectern.llm import decontamination, exact_dedup, fim, html_text, language_id, licenses, line_dedup, near_dedup, packing, secret_scan, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(secret_scan.shown(base), 256).alias("base_sha256"), secret_scan.shown(F.col("spans")).alias("spans"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -78,6 +84,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
     "op12_secret_scan": op12_secret_scan,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -98,6 +105,7 @@ ORACLE_SQL = {
     """,
     "op10_licenses": licenses.oracle_sql(),
     "op12_secret_scan": secret_scan.oracle_sql(),
+    "op13_fill_in_middle": fim.oracle_sql(),
     "op9_line_dedup": """
         WITH lines AS (
             SELECT doc_id, source, line, pos FROM (
