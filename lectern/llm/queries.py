@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, exact_dedup, fim, html_text, language_id, licenses, line_dedup, near_dedup, packing, secret_scan, sharding, warc
+from lectern.llm import decontamination, exact_dedup, fim, html_text, language_id, licenses, line_dedup, near_dedup, packing, secret_scan, sharding, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long").alias(f"n_{secret_scan.RULES[k].kind}")
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op11_whitening": op11_whitening,
     "op12_secret_scan": op12_secret_scan,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
