@@ -43,6 +43,28 @@ def similar(same: Column, a: Column, b: Column) -> Column:
     return same / (a + b - same)
 
 
+def best_starts(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """pairs (text_key, item_key, n, width, need, hits array<struct<shingle, at>>) to text_key, item_key, width, starts: where the windows of `width`
+    shingles begin that share most with the item, counted with its copies (item_key, shingle, copies), if that is `need` at least: the first
+    of each run of such windows.
+
+    A hit counts in the windows that hold it, unless they hold as many earlier hits of its shingle as the item has copies. These windows are
+    an interval of starts, and a running sum over the ends of all intervals gives the shared shingles of every window. So
+    the cost follows the number of hits, however often a text repeats an item.
+    """
+    each = pairs.select("text_key", "item_key", "n", "width", "need", F.explode("hits").alias("h")).select("text_key", "item_key", "n", "width", "need", "h.shingle", "h.at")
+    each = each.join(copies, ["item_key", "shingle"]).groupBy("text_key", "item_key", "n", "width", "need", "copies", "shingle").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    low = lambda at, k: F.greatest(F.lit(0), at - F.col("width") + 1, F.when(k >= F.col("copies"), F.get("ats", (k - F.col("copies")).cast("int")) + 1).otherwise(0))
+    spans = F.transform("ats", lambda at, k: F.struct(low(at, k).alias("low"), F.least(at, F.col("n") - F.col("width")).alias("high")))
+    spans = F.filter(spans, lambda s: s["low"] <= s["high"])
+    ends = F.explode(F.flatten(F.transform(spans, lambda s: F.array(F.struct(s["low"].alias("at"), F.lit(1).alias("by")), F.struct((s["high"] + 1).alias("at"), F.lit(-1).alias("by"))))))
+    turns = each.select("text_key", "item_key", "n", "width", "need", ends.alias("e")).groupBy("text_key", "item_key", "n", "width", "need", "e.at").agg(F.sum("e.by").alias("by")).where("by != 0")
+    text = Window.partitionBy("text_key", "item_key")
+    shared = turns.withColumn("shared", F.sum("by").over(text.orderBy("at"))).withColumn("most", F.max("shared").over(text))
+    best = shared.where((F.col("shared") == F.col("most")) & (F.col("shared") >= F.col("need")))
+    return best.groupBy("text_key", "item_key", "width").agg(F.sort_array(F.collect_list("at")).alias("starts"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -53,13 +75,13 @@ def contaminated(
 
     1. A window at the threshold lacks so few of an item's shingles that it must hold one of the item's rarest, as many of these as
        exceed that number by one (repeats counted). Texts meet items there only.
-    2. In a text that has met an item, the places of the item's shingles are found. A window with fewer such places than the
-       threshold needs shared shingles can't reach it; windows are laid at every other start. Where no such place repeats a shingle, the
-       number of places is that of shared shingles, and only the windows with the most are laid.
+    2. In a text that has met an item, the places of the item's shingles are found, and one sweep of them tells for every item-sized
+       window how many shingles it shares with the item (see best_starts()). The windows that share most are laid, if that is enough for the
+       threshold: of a run of such windows the first, as windows that share as much are as similar.
     3. Each window's SimHash meets the item's in one of radius + 1 blocks of bits, keyed by the item, which misses no print
        within the radius; a pair at the threshold lies beyond it about once in a million times.
-    4. The exact weighted similarity of the two bags of shingles decides. Of the windows for a pair the most similar is
-       returned, then the nearest print, then the first.
+    4. The exact weighted similarity of the two bags of shingles decides, worked out once for each window that has come so far. Of the windows
+       laid for a pair the most similar is returned, then the nearest print, then the first.
 
     What a text holds depends on it alone, so texts are known by their MD5, and copies are sought through once.
     Benchmarks of up to BROADCAST_SHINGLES shingles are broadcast. For larger ones a bitmap of bounded size drops most places of
@@ -94,38 +116,32 @@ def contaminated(
     # One text of each key, before the join that finds the wanted ones.
     wanted = among(texts.select("text_key", "text"), met, "text_key").groupBy("text_key").agg(F.min("text").alias("text"))
     some = written(with_shingles(wanted, "text").select("text_key", "shingles"), "met-texts")
+    small = F.broadcast if items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] <= BROADCAST_SHINGLES else (lambda df: df)
     n = F.size("shingles")
     width = F.least(n, F.col("m"))
-    pairs = met.join(some, "text_key").join(items.select("item_key", "m", "bag"), "item_key")
-    hits = F.array_compact(F.transform("shingles", lambda x, i: F.when(F.array_contains("bag", x), i)))
-    once = F.size(F.array_intersect("shingles", "bag")) == F.size("hits")
-    pairs = pairs.select("text_key", "item_key", "shingles", "m", "bag", width.alias("width"), need(width).alias("need"), hits.alias("hits"))
-    pairs = pairs.withColumn("once", once).drop("bag")
+    pairs = met.join(some, "text_key").join(small(items.select("item_key", "m", "bag")), "item_key")
+    hits = F.filter(F.transform("shingles", lambda x, i: F.struct(x.alias("shingle"), i.alias("at"))), lambda h: F.array_contains("bag", h["shingle"]))
+    pairs = pairs.select("text_key", "item_key", n.alias("n"), width.alias("width"), need(width).alias("need"), hits.alias("hits"))
     pairs = written(pairs.where(F.size("hits") >= F.col("need")), "met-places")
-    # A window with `need` places begins at or before the first of some `need` successive ones, and ends at or behind the last.
-    spans = F.transform(
-        F.sequence(F.lit(0), F.size("hits") - F.col("need")),
-        lambda i: F.struct(F.greatest(F.lit(0), F.get("hits", i + F.col("need") - 1) - F.col("width") + 1).alias("low"), F.least(n - F.col("width"), F.get("hits", i)).alias("high")),
-    )
-    starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["low"] <= s["high"]), lambda s: F.sequence(s["low"], s["high"]))))
-    held = lambda at: F.size(F.filter("hits", lambda h: (h >= at) & (h < at + F.col("width"))))
-    counted = F.transform("starts", lambda at: F.struct(held(at).alias("held"), at.alias("start")))
-    windows = pairs.withColumn("starts", starts).withColumn("counted", counted)
-    most = F.array_max(F.transform("counted", lambda c: c["held"]))
-    # If the text has none of the item's shingles twice, a window's places are its shared shingles.
-    best = F.filter("counted", lambda c: ~F.col("once") | (c["held"] == F.col("most")))
-    windows = windows.withColumn("most", most).select("text_key", "item_key", "shingles", "width", F.explode(best).alias("w"))
-    windows = windows.select("text_key", "item_key", "shingles", "width", "w.start")
-    windows = windows.select("text_key", "item_key", "start", F.slice("shingles", F.col("start") + 1, F.col("width")).alias("window"))
-    windows = windows.withColumn("print", simhash("window"))
+    starts = written(best_starts(pairs, small(each.select("item_key", "shingle", "copies"))), "starts")
+
+    windows = starts.join(some, "text_key").select("text_key", "item_key", "width", "shingles", F.explode("starts").alias("start"))
+    window = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.get("shingles", F.col("start") + k))
+    windows = windows.select("text_key", "item_key", "start", window.alias("window"))
+    windows = written(windows.withColumn("print", simhash("window")), "windows")
 
     keyed = lambda name: F.posexplode(F.array(*blocks(F.col(name), radius))).alias("block", "value")
-    index = items.select("item_key", "item_id", "item_set", "m", "item_print", keyed("item_print"))
+    index = items.select("item_key", "item_print", keyed("item_print"))
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     first = F.coalesce(*[F.when(b == 0, F.lit(k)) for k, b in enumerate(blocks(apart, radius))])
-    near = windows.select("*", keyed("print")).join(index, ["item_key", "block", "value"]).where((F.col("block") == first) & (F.bit_count(apart) <= radius))
+    near = windows.select("text_key", "item_key", "start", "print", keyed("print")).join(small(index), ["item_key", "block", "value"])
+    near = near.where((F.col("block") == first) & (F.bit_count(apart) <= radius)).select("text_key", "item_key", "start", F.bit_count(apart).alias("hamming"))
+    near = written(near, "near-windows")
+
+    # The similarity is worked out once for each window that came through, by an inner join of narrow rows.
+    both = near.join(windows.drop("print"), ["text_key", "item_key", "start"]).join(small(items.select("item_key", "item_id", "item_set", "m")), "item_key")
     same = F.size(F.array_intersect("item_set", multiset(F.col("window"))))
-    near = near.select("text_key", "item_id", "start", "m", F.bit_count(apart).alias("hamming"), similar(same, F.col("m"), F.size("window")).alias("similarity"))
+    near = both.select("text_key", "item_id", "start", "m", "hamming", similar(same, F.col("m"), F.size("window")).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("hamming")).alias("near"), (-F.col("start")).alias("early"), F.col("m").alias("n_shingles")))
     found = written(near.where(F.col("similarity") >= threshold).groupBy("text_key", "item_id").agg(best.alias("best")), "held-items")
     rows = among(texts.select("doc_id", "text_key"), found, "text_key").distinct().join(found, "text_key")

@@ -1,6 +1,7 @@
 """Exact, near and line deduplication, decontamination: brute force and odd inputs."""
 
 import random
+import time
 import re
 from collections import Counter
 
@@ -212,3 +213,40 @@ def test_decontamination_is_the_same_with_a_joined_benchmark(spark, monkeypatch)
     small = sorted(decontamination.contaminated(docs, items).collect(), key=str)
     monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
     assert sorted(decontamination.contaminated(docs, items).collect(), key=str) == small and len(small) == 2
+
+
+def test_texts_that_repeat_an_item_cost_no_more_than_their_length(spark):
+    rng = random.Random(3)
+    item = [f"i{k}" for k in range(60)]
+    word = ["the"] * 70
+    noise = [f"n{rng.randrange(5000)}" for _ in range(20_000)]
+    rows = [(1, item * 333), (2, noise), (3, ["the"] * 20_000), (4, noise + item[:50] + ["x"] + noise + item + noise), (5, (item[:30] + ["y"] * 3) * 300)]
+    docs = table(spark, [(i, " ".join(t)) for i, t in rows])
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(word))], "item_id long, text string")
+    contaminated = lambda only: decontamination.contaminated(docs.where(only), items).collect()
+    contaminated("doc_id = 2")
+    start = time.perf_counter()
+    assert contaminated("doc_id = 2") == []
+    clean = time.perf_counter() - start
+    start = time.perf_counter()
+    got = {(r.doc_id, r.item_id): (r.similarity, r.hamming, r.start_word) for r in contaminated("doc_id != 2")}
+    assert got == {(1, 1): (1.0, 0, 0), (3, 2): (1.0, 0, 0), (4, 1): (1.0, 0, 40_051)}
+    assert time.perf_counter() - start < clean + 15  # some seconds on an idle machine
+
+
+def test_the_sweep_counts_what_each_window_shares(spark):
+    rng = random.Random(8)
+    rows, copies, want = [], [], {}
+    for key in range(40):
+        bag = [rng.randrange(6) for _ in range(rng.randrange(3, 12))]
+        text = [rng.randrange(8) for _ in range(rng.randrange(3, 40))]
+        width, need = min(len(text), len(bag)), rng.randrange(1, 4)
+        hits = [(x, i) for i, x in enumerate(text) if x in bag]
+        rows.append((bytes([key]), key, len(text), width, need, hits))
+        copies += [(key, x, bag.count(x)) for x in set(bag)]
+        shared = [sum((Counter(text[s : s + width]) & Counter(bag)).values()) for s in range(len(text) - width + 1)]
+        if max(shared) >= need:
+            want[key] = [s for s, k in enumerate(shared) if k == max(shared) and (s == 0 or shared[s - 1] != k)]
+    pairs = spark.createDataFrame(rows, "text_key binary, item_key long, n int, width int, need int, hits array<struct<shingle:long,at:int>>")
+    got = decontamination.best_starts(pairs, spark.createDataFrame(copies, "item_key long, shingle long, copies long")).collect()
+    assert {r.item_key: r.starts for r in got} == want
