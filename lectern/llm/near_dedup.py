@@ -147,7 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", small: int = 4096, levels: int = 4,
+    docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", small: int = 4096,
+    tally: list[dict[str, int]] | None = None,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, kept.
 
@@ -168,15 +169,16 @@ def near_duplicates(
        joined on, and only pairs for which enough units are left behind that one are verified. Units that no two components
        share come first and are never joined on.
     5. A unit that more than `small` texts would be joined on makes a group of its own, with one of its texts as
-       hub, and steps 3 and 4 are done for it; after `levels` rounds what is left is joined whatever its size. So no
-       link between classes is lost, and a bucket of n copies with changes of their own costs about n pairs, not n x n.
+       hub, and steps 3 and 4 are done for it, until no unit is crowded. A group's own groups lack its hub at least, so that ends; no unit is
+       joined on for more than `small` texts of a hub. So no link between classes is lost, and a bucket of n copies with changes of
+       their own costs about n pairs, not n x n.
     6. Components are formed over all links.
     Before a candidate pair's texts are compared, its signatures must agree to within DEVIATIONS deviations of
     the threshold; a pair at 0.8 fails that with probability 1 in 6,000.
 
     Null, empty or wordless texts: a class each, by document id. Null ids: in their text's class, whose class_id
     ignores them; a class of null ids only has a null class_id. Repeated rows of an id count one by
-    one in class_size. No rows: no rows. Other columns are not read.
+    one in class_size. No rows: no rows. Other columns are not read. A tally gets the crowded units and the pairs made in each round.
     """
     base = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
 
@@ -229,52 +231,55 @@ def near_duplicates(
         return parts if links.isEmpty() else components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
     def told_apart(spokes: DataFrame) -> DataFrame:
-        """spokes (hub, key, component, main) to rows hub, unit, key, component, main, size, d, pos: those of the d units in which a
-        text and its hub differ that a link to a text of another component could be the first to share."""
+        """spokes (home, hub, key, component, main) to rows home, unit, key, component, main, size, d, pos: those of the d units in which a
+        text and its hub differ that a link to a text of another component of its home could be the first to share."""
         both = spokes.join(units.select(F.col("key").alias("hub"), F.col("units").alias("h")), "hub").join(units, "key")
-        both = both.select("hub", "key", "component", "main", F.size("units").alias("size"), F.array_union(F.array_except("h", "units"), F.array_except("units", "h")).alias("apart"))
+        both = both.select("home", "key", "component", "main", F.size("units").alias("size"), F.array_union(F.array_except("h", "units"), F.array_except("units", "h")).alias("apart"))
         both = written(both, "spokes")
-        each = both.select("hub", "key", "component", F.explode("apart").alias("unit"))
-        shared = each.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        order = each.join(written(shared.select("hub", "unit", "n"), "shared-units"), ["hub", "unit"]).groupBy("hub", "key").agg(F.sort_array(F.collect_list(F.struct("n", "unit"))).alias("order"))
-        rows = both.select("hub", "key", "component", "main", "size", F.size("apart").alias("d")).join(order, ["hub", "key"])
-        rows = rows.select("hub", "key", "component", "main", "size", "d", (F.col("d") - F.size("order")).alias("before"), F.posexplode("order").alias("at", "o"))
-        rows = rows.select("hub", "o.unit", "key", "component", "main", "size", "d", (F.col("before") + F.col("at")).alias("pos"))
+        each = both.select("home", "key", "component", F.explode("apart").alias("unit"))
+        shared = each.groupBy("home", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+        order = each.join(written(shared.select("home", "unit", "n"), "shared-units"), ["home", "unit"]).groupBy("home", "key").agg(F.sort_array(F.collect_list(F.struct("n", "unit"))).alias("order"))
+        rows = both.select("home", "key", "component", "main", "size", F.size("apart").alias("d")).join(order, ["home", "key"])
+        rows = rows.select("home", "key", "component", "main", "size", "d", (F.col("d") - F.size("order")).alias("before"), F.posexplode("order").alias("at", "o"))
+        rows = rows.select("home", "o.unit", "key", "component", "main", "size", "d", (F.col("before") + F.col("at")).alias("pos"))
         return rows.where(F.col("pos") <= (1 - threshold) / threshold * F.col("size") + 1e-6)
 
     def paired(rows: DataFrame) -> DataFrame:
         """The pairs (a, b) of texts of other components, at least one outside its hub's, that can be links by what told_apart() says."""
-        other = rows.where("component != main").select("hub", "unit", *[F.col(c).alias(f"{c}_") for c in ("key", "component", "size", "d", "pos")])
+        other = rows.where("component != main").select("home", "unit", *[F.col(c).alias(f"{c}_") for c in ("key", "component", "size", "d", "pos")])
         room = F.least(F.col("d") - F.col("pos"), F.col("d_") - F.col("pos_"))
         least_shared = (F.col("d") + F.col("d_") - (1 - threshold) / (1 + threshold) * (F.col("size") + F.col("size_"))) / 2
         could = (F.col("component_") != F.col("component")) & (least_shared <= room + 1e-6) & ((F.col("component") == F.col("main")) | (F.col("key_") < F.col("key")))
-        pairs = other.join(rows, ["hub", "unit"]).where(could)
+        pairs = other.join(rows, ["home", "unit"]).where(could)
         return pairs.select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).distinct()
 
     others = members.where("key != hub")
     greatest = others.groupBy("key").agg(F.max(F.struct("hub_met", "hub"))["hub"].alias("hub"))
     parts = components(written(verified(greatest.select(F.col("hub").alias("a"), F.col("key").alias("b"))), "links"))
-    groups, level = members.select(F.col("bucket").alias("group"), "key", "hub"), 1
+    groups = members.select(F.col("bucket").alias("group"), "key", "hub")
+    home = F.col("hub")  # the buckets of a hub are told apart at once, later groups each by itself
     while True:
         apart = place(groups, parts).where("component != main").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
         parts = joined(parts, written(verified(apart), "links"))
         placed = written(place(groups, parts), "placed")
         mixed = placed.where("component != main").select("group").distinct()
-        spokes = placed.join(mixed, "group", "left_semi").where("key != hub").select("hub", "key", "component", "main").distinct()
+        spokes = placed.join(mixed, "group", "left_semi").where("key != hub").select(home.alias("home"), "hub", "key", "component", "main").distinct()
         told = written(told_apart(spokes), "told-apart")
-        crowded = written(told.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("hub", "unit"), "crowded-units")
-        again = level < levels and not crowded.isEmpty()
-        parts = joined(parts, written(verified(paired(told.join(crowded, ["hub", "unit"], "left_anti") if again else told)), "links"))
+        crowded = written(told.groupBy("home", "unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("home", "unit"), "crowded-units")
+        again = not crowded.isEmpty()
+        pairs = written(paired(told.join(crowded, ["home", "unit"], "left_anti") if again else told), "pairs")
+        if tally is not None:
+            tally.append({"crowded": crowded.count(), "pairs": pairs.count()})
+        parts = joined(parts, written(verified(pairs), "links"))
         if not again:
             break
-        large = told.join(crowded, ["hub", "unit"], "left_semi").select(F.xxhash64("hub", "unit").alias("group"), "key")
+        large = told.join(crowded, ["home", "unit"], "left_semi").select(F.xxhash64("home", "unit").alias("group"), "key")
         first = large.groupBy("group").agg(F.max(F.struct(F.xxhash64("key").alias("h"), "key"))["key"].alias("hub"))
-        groups, level = written(large.join(first, "group"), "groups"), level + 1
-    final = parts
+        groups, home = written(large.join(first, "group"), "groups"), F.col("group").cast("string").cast("binary")
 
     alone = F.when(has, F.col("key")).otherwise(F.concat(F.lit("no words "), F.coalesce(F.col("row_id").cast("string"), F.lit("null"))).cast("binary"))
     rows_ = signed.select("row_id", alone.alias("key"))
-    rows_ = rows_.join(final.select(F.col("node").alias("key"), "component"), "key", "left").select("row_id", F.coalesce("component", "key").alias("component"))
+    rows_ = rows_.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").select("row_id", F.coalesce("component", "key").alias("component"))
     rows_ = written(rows_, "classes")
     classes = rows_.groupBy("component").agg(F.min("row_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows_.join(written(classes, "class-sizes"), "component").select(

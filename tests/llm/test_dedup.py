@@ -1,8 +1,9 @@
 """Exact, near and line deduplication, decontamination: brute force and odd inputs."""
 
+import math
 import random
-import time
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -70,7 +71,7 @@ def test_near_duplicates_match_brute_force(spark):
     assert len(set(got.values())) < len(got)
 
 
-@pytest.mark.parametrize("small", [4096, 20])
+@pytest.mark.parametrize("small", [4096, 20, 2])
 def test_a_crowded_hub_loses_no_link(spark, small):
     """Texts about one base: some share a passage that it lacks without being alike, others are copies of one another far from it."""
     rng = random.Random(8)
@@ -81,8 +82,14 @@ def test_a_crowded_hub_loses_no_link(spark, small):
     for k in range(12):
         far = varied(rng, base + line, 5).split()
         rows += [(len(rows) + j, varied(rng, far, 1)) for j in range(4)]
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(spark, rows), small=small, levels=2).collect()}
+    passages = [[f"p{k}x{j}" for j in range(10)] for k in range(9)]
+    for _ in range(60):  # which differ from their hub by passages that many share, some by the same ones in another order
+        rows.append((len(rows), " ".join(base + [w for k in rng.sample(range(9), 3) for w in passages[k]])))
+    tally = []
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(spark, rows), small=small, tally=tally).collect()}
     assert got == classes(rows)
+    assert [t["crowded"] > 0 for t in tally] == [True] * (len(tally) - 1) + [False] and len(tally) <= len(rows)
+    assert (len(tally) > 1) == (small < 4096) and sum(t["pairs"] for t in tally) < 3000, tally  # of 14,196 pairs of texts
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -102,6 +109,35 @@ def test_bag_minhash_estimates_the_weighted_similarity():
     assert (x == y).mean() == pytest.approx(similarity(a, b), abs=0.04)
 
 
+def test_links_near_the_threshold_share_a_band_and_agree_in_their_signatures():
+    """The two approximations of near_duplicates(), on links of a similarity of 0.80 to 0.85; all else is exact."""
+    rng, left, right = random.Random(21), [], []
+    while len(left) < 1500:
+        n = rng.randrange(60, 240)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        a, b = bag(" ".join(base)), bag(varied(rng, base, max(1, n // 45)))
+        if 0.8 <= similarity(a, b) < 0.85:
+            left.append(a)
+            right.append(b)
+    kept = linked(left, right)
+    assert kept >= 0.995 * len(left)
+
+
+def linked(left, right):
+    """How many of these pairs of bags share a band, and agree in as many components as near_duplicates() asks for."""
+    number = {}
+    bags = [{number.setdefault(s, hash(s) % 2**63): k for s, k in x.items()} for pair in zip(left, right, strict=True) for x in pair]
+    docs = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+    shingles, counts = np.array([s for x in bags for s in x], np.int64), np.array([k for x in bags for k in x.values()])
+    signature = near_dedup.bag_minhash(docs, shingles, counts, len(bags), near_dedup.BANDS * near_dedup.ROWS)
+    bands = near_dedup.band_hashes(signature, near_dedup.BANDS, near_dedup.ROWS).reshape(-1, 2, near_dedup.BANDS)
+    shared = (bands[:, 0] == bands[:, 1]).any(axis=1)
+    size = near_dedup.BANDS * near_dedup.ROWS
+    prints = (near_dedup.mix(signature.view(np.uint64)) >> np.uint64(56)).reshape(-1, 2, size)
+    least = (0.8 - near_dedup.DEVIATIONS * math.sqrt(0.8 * 0.2 / size)) * size
+    return int((shared & ((prints[:, 0] == prints[:, 1]).sum(axis=1) >= least)).sum())
+
+
 def test_exact_duplicates_of_odd_rows(spark):
     got = exact_dedup.exact_duplicates(table(spark, ODD)).collect()
     assert len(got) == len(ODD)
