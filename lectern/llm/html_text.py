@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption li dt dd legend summary".split())
 #: What an opening tag ends if it is open, and the elements in which that search stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>", re.S)
+#: The beginning of a comment, a tag (an end tag with /), or another declaration.
+TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+QUOTE = re.compile(r"[\"'>]")
 ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -40,14 +43,14 @@ HINTS = {
     "talk": "comment comments reply replies discussion disqus respond feedback thread",
     "text": "article content main post entry story body text page prose blog news copy",
 }
-#: Pages that a task holds parsed at a time.
-AT_A_TIME = 64
+#: Pages that a task holds parsed at a time, and their characters; a longer page is parsed by itself.
+AT_A_TIME, CHARS_AT_A_TIME = 64, 2_000_000
 HINT_OF = {word: k for k, words in enumerate(HINTS.values()) for word in words.split()}
 TAGS = "article main section div p h1 h2 li ul a nav header footer aside form table td blockquote pre figure span".split()
 TAG_OF = {t: k for k, t in enumerate(TAGS)}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
@@ -72,17 +75,61 @@ def _hints(attributes: str) -> int:
     return found
 
 
+class _TagEnds:
+    """Where tags end: at the first > outside of quotes. A quote that nothing closes is a character like others.
+
+    From the end backwards each quote or > knows the end that a tag would have whose unquoted part goes on there, so that a page is read
+    once, however many tags have no end. Tags must be asked for in order.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.marks = [m.start() for m in QUOTE.finditer(page)]
+        self.ends, self.at, following = [-1] * (len(self.marks) + 1), 0, {}
+        for k in range(len(self.marks) - 1, -1, -1):
+            c = page[self.marks[k]]
+            self.ends[k] = self.marks[k] if c == ">" else self.ends[following.get(c, k) + 1]
+            following[c] = k
+
+    def of(self, begin: int) -> int:
+        while self.at < len(self.marks) and self.marks[self.at] < begin:
+            self.at += 1
+        return self.ends[self.at]
+
+
 def parse(page: str) -> list[Node]:
     """Block elements of a page in order of opening, links of inline elements included. Bad nesting is repaired: an end tag
-    closes the nearest open element of its name, if there is one, and new blocks end open paragraphs, items and cells."""
+    closes the nearest open element of its name, if there is one, and new blocks end open paragraphs, items and cells. The time is
+    proportional to the page's length, whatever it holds: nothing is sought in the page or among open elements in vain."""
     nodes = [Node("html", -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]
-    at, links = 0, 0
+    opened: dict[str, list[int]] = {}  # the places in the stack of each name, and those of blocks
+    blocks: list[int] = []
+    at, seek, links, ends, last = 0, 0, 0, _TagEnds(page), page.rfind(">")
+
+    def put(name: str, node: int) -> None:
+        opened.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
+        stack.append((name, node))
 
     def close(depth: int) -> None:
         nonlocal links
         while len(stack) > depth:
-            links -= stack.pop()[0] == "a"
+            name = stack.pop()[0]
+            opened[name].pop()
+            if name in BLOCK:
+                blocks.pop()
+            links -= name == "a"
+
+    def nearest(names: set[str]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
+    def child(tag: str, hints: int, marked: bool = False) -> int:
+        parent = stack[-1][1]
+        nodes.append(Node(tag, parent, nodes[parent].depth + 1, hints, marked))
+        nodes[parent].children.append(len(nodes) - 1)
+        nodes[parent].items.append(len(nodes) - 1)
+        return len(nodes) - 1
 
     def add(text: str) -> None:
         if text and not text.isspace():
@@ -95,54 +142,52 @@ def parse(page: str) -> list[Node]:
         elif text:
             nodes[stack[-1][1]].items.append(" ")
 
-    for m in iter(lambda: TOKEN.search(page, at), None):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    while m := TOKEN.search(page, seek):
+        comment, slash, name = m.groups()
+        name = name.lower() if name else ""
+        end = ends.of(m.end()) if name else -1
+        if comment:
+            end = page.find("-->", m.end()) + 2
+            end = end if end > 1 else len(page)
+        elif end < 0 and (slash or not name) and m.end() <= last:  # a declaration, or an end tag that quotes don't let end
+            end, name = page.index(">", m.end()), ""
+        if end < 0:
+            seek = m.start() + 1
+            continue
+        if at < m.start():
+            add(page[at : m.start()])
+        attributes = page[m.end() : end]
+        at = seek = end + 1
         if not name:
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+        if slash:
+            if opened.get(name):
+                close(opened[name][-1])
             continue
-        if name in CLOSES_P or name in ENDS:
-            targets, stops = ENDS.get(name, ({"p"}, set()))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in targets:
-                    close(k)
-                    break
-                if stack[k][0] in stops or (targets == {"p"} and stack[k][0] in BLOCK):
-                    break
+        if name in ENDS:
+            targets, stops = ENDS[name]
+            if (place := nearest(targets)) > nearest(stops):
+                close(place)
+        elif name in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
         if name in ("html", "body"):
             continue
         if name == "br":
             nodes[stack[-1][1]].items.append(" ")
         if name in RAW or name == "svg":
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at, last + 1)
+            at = seek = found.end() if found else len(page)
             continue
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
             if name == "hr":
                 nodes[stack[-1][1]].items.append("\x00")
             continue
         if name in BLOCK or name in UNSEEN:
-            parent = stack[-1][1]
-            nodes.append(Node(name, parent, nodes[parent].depth + 1, _hints(m[3]), "data-keep" in m[3]))
-            nodes[parent].children.append(len(nodes) - 1)
-            nodes[parent].items.append(len(nodes) - 1)
-            stack.append((name, len(nodes) - 1))
+            put(name, child(name, _hints(attributes), "data-keep" in attributes) if attributes else child(name, 0))
         else:
-            hints = _hints(m[3]) if name != "a" else 0
-            if hints and hints != 1 << 7:  # an inline element that says what it is counts as a block for the trees, not for the text
-                parent = stack[-1][1]
-                nodes.append(Node("span", parent, nodes[parent].depth + 1, hints))
-                nodes[parent].children.append(len(nodes) - 1)
-                nodes[parent].items.append(len(nodes) - 1)
-                stack.append((name, len(nodes) - 1))
-            else:
-                stack.append((name, stack[-1][1]))
+            hints = _hints(attributes) if name != "a" else 0
+            # An inline element that says what it is counts as a block for the trees, not for the text.
+            put(name, child("span", hints) if hints and hints != 1 << 7 else stack[-1][1])
             links += name == "a"
     add(page[at:])
     for node in reversed(nodes):
@@ -155,26 +200,24 @@ def parse(page: str) -> list[Node]:
 
 def describe(nodes: list[Node]) -> np.ndarray:
     """Features of each node: tag, hints of its own, above and beneath, depth, subtree densities, sibling statistics."""
-    total = max(1, nodes[0].text)
-    rows, above, before = [], [0] * len(nodes), 0
-    beneath = [n.hints for n in nodes]
+    above, beneath = [0] * len(nodes), [n.hints for n in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         beneath[nodes[i].parent] |= beneath[i]
-    for i, n in enumerate(nodes):
-        up = nodes[n.parent] if i else n
-        above[i] = (above[n.parent] | up.hints | (1 << 8 + TAG_OF[up.tag] if up.tag in TAG_OF else 0)) if i else 0
-        siblings = max(1, len(up.children))
-        mean = (up.text - up.own) / siblings
-        inside = above[i]
-        rows.append([
-            TAG_OF.get(n.tag, -1), TAG_OF.get(up.tag, -1), min(n.depth, 30), n.text, n.own, n.link / max(1, n.text), n.text / n.size, n.size,
-            n.text / total, before / total, siblings, mean, n.text / max(1.0, up.text), len(n.children),
-            *[n.hints >> k & 1 for k in range(8)], *[inside >> k & 1 for k in range(8)], *[beneath[i] >> k & 1 for k in range(8)],
-            inside >> 8 + TAG_OF["article"] & 1, inside >> 8 + TAG_OF["main"] & 1,
-            any(inside >> 8 + TAG_OF[t] & 1 for t in ("nav", "header", "footer", "aside", "form")),
-        ])
-        before += n.own
-    return np.array(rows, np.float32)
+    for i, n in enumerate(nodes[1:], 1):
+        up = nodes[n.parent]
+        above[i] = above[n.parent] | up.hints | (1 << 8 + TAG_OF[up.tag] if up.tag in TAG_OF else 0)
+    column = lambda of: np.fromiter(of, np.int64, len(nodes))
+    own, text, link, size, parent, depth = (column(map(attrgetter(name), nodes)) for name in ("own", "text", "link", "size", "parent", "depth"))
+    tag, children = column(TAG_OF.get(n.tag, -1) for n in nodes), column(len(n.children) for n in nodes)
+    up = np.maximum(parent, 0)
+    siblings = np.maximum(1, children[up])
+    bits = lambda of: [np.array(of, np.int64) >> k & 1 for k in range(8)]
+    inside = lambda *tags: np.array(above, np.int64) & sum(1 << 8 + TAG_OF[t] for t in tags) > 0
+    return np.stack([
+        tag, tag[up], np.minimum(depth, 30), text, own, link / np.maximum(1, text), text / size, size,
+        text / max(1, nodes[0].text), (np.cumsum(own) - own) / max(1, nodes[0].text), siblings, (text - own)[up] / siblings, text / np.maximum(1, text[up]), children,
+        *bits([n.hints for n in nodes]), *bits(above), *bits(beneath), inside("article"), inside("main"), inside("nav", "header", "footer", "aside", "form"),
+    ], axis=1).astype(np.float32)
 
 
 @dataclass
@@ -204,29 +247,26 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: f
     base = float(np.log(y.mean() / (1 - y.mean())))
     margin, inner = np.full(len(x), base), 2**depth - 1
     model = Trees(depth, base, np.zeros((trees, inner), int), np.full((trees, inner), np.inf, np.float32), np.zeros((trees, inner + 1)))
+    wide, many = bins + 1, x.shape[1]
+    places = binned + np.arange(many) * wide
+    last = np.array([len(e) for e in edges])[:, None] <= np.arange(wide)  # no cut behind the last edge
     for t in range(trees):
         p = 1 / (1 + np.exp(-margin))
         g, h, at = y - p, p * (1 - p) + 1e-6, np.zeros(len(x), int)
-        for node in range(inner):
-            mine = at == node
-            best = (1e-6, None)
-            if mine.sum() >= 20:
-                gm, hm = g[mine], h[mine]
-                for j, e in enumerate(edges):
-                    if not len(e):
-                        continue
-                    gs = np.cumsum(np.bincount(binned[mine, j], gm, len(e) + 1))
-                    hs = np.cumsum(np.bincount(binned[mine, j], hm, len(e) + 1))
-                    gain = gs[:-1] ** 2 / (hs[:-1] + 1) + (gs[-1] - gs[:-1]) ** 2 / (hs[-1] - hs[:-1] + 1) - gs[-1] ** 2 / (hs[-1] + 1)
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (gain[k], (j, k))
-            if best[1]:
-                j, k = best[1]
-                model.features[t, node], model.cuts[t, node] = j, edges[j][k]
-                at[mine] = 2 * node + 1 + (binned[mine, j] > k)
-            else:
-                at[mine] = 2 * node + 1
+        for level in range(depth):
+            first, nodes = 2**level - 1, 2**level
+            where = ((at - first)[:, None] * (many * wide) + places).ravel()
+            total = lambda of: np.bincount(where, np.repeat(of, many), nodes * many * wide).reshape(nodes, many, wide).cumsum(axis=2)  # noqa: B023, E731
+            gs, hs = total(g), total(h)
+            gain = gs**2 / (hs + 1) + (gs[..., -1:] - gs) ** 2 / (hs[..., -1:] - hs + 1) - gs[..., -1:] ** 2 / (hs[..., -1:] + 1)
+            gain[:, last] = -1
+            best = gain.reshape(nodes, -1).argmax(axis=1)
+            held = np.bincount(at - first, minlength=nodes)
+            for k in range(nodes):
+                j, cut = divmod(int(best[k]), wide)
+                if held[k] >= 20 and gain[k, j, cut] > 1e-6:
+                    model.features[t, first + k], model.cuts[t, first + k] = j, edges[j][cut]
+            at = 2 * at + 1 + (x[np.arange(len(x)), model.features[t, at]] > model.cuts[t, at])
         leaf = at - inner
         sums = np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + 1)
         model.leaves[t] = rate * sums
@@ -274,26 +314,33 @@ def render(nodes: list[Node], keeps: list[bool]) -> str:
 
 
 def _words(rng: random.Random, low: int, high: int) -> str:
-    return " ".join("".join(rng.choice("aeiounrstlmdkp") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(low, high)))
+    return " ".join("".join(rng.choices("aeiounrstlmdkp", k=rng.randint(2, 9))) for _ in range(rng.randint(low, high)))
 
 
 def training_page(rng: random.Random) -> str:
-    """A page whose article elements carry data-keep; everything else is boilerplate."""
+    """A page whose article elements carry data-keep; everything else is boilerplate.
+
+    A third of the pages say what their parts are only by words that no list holds, or not at all, so that place, depth, siblings and densities must tell.
+    """
     w = lambda a, b: _words(rng, a, b)
     maybe = lambda p, s: s if rng.random() < p else ""
     links = lambda n: "".join(f"<li><a href=x>{w(1, 3)}</a></li>" for _ in range(n))
-    name = lambda kind: rng.choice(HINTS[kind].split())
+    mute = rng.random() < 0.33
+    name = lambda kind: w(1, 1) if mute else rng.choice(HINTS[kind].split())
 
     def box(kind: str, inner: str, tags: str) -> str:
         tag, how = rng.choice(tags.split()), rng.random()
         attr = f' class="{name(kind)}"' if how < 0.5 else f' id="{name(kind)}-{rng.choice("abc")}"' if how < 0.8 else ""
-        if tag in ("div", "section", "p") and not attr:
+        if mute:
+            tag = rng.choice(("div", "div", "section", tag))
+        elif tag in ("div", "section", "p") and not attr:
             attr = f" class={name(kind)}"
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     nav = box("menu", f"<ul>{links(rng.randint(2, 9))}</ul>", "nav div nav")
     head = box("frame", f"<a href=/>{w(1, 3)}</a>{maybe(0.5, '<p>' + w(2, 8) + '</p>')}{maybe(0.4, nav)}", "header div header")
-    foot = box("frame", f"&copy; {w(2, 14)}{maybe(0.4, '<ul>' + links(4) + '</ul>')}", "footer div footer")
+    mark = rng.choice(("&copy; ", "Copyright ", "&copy; 2", "(c) ", ""))
+    foot = box("frame", f"{maybe(0.3, '<p>')}{mark}{rng.randint(1990, 2030)} {w(2, 14)}{maybe(0.4, '<ul>' + links(4) + '</ul>')}", "footer div footer")
     note = box("notice", f"{maybe(0.5, '<p>')}{w(5, 30)} <button>{w(1, 2)}</button>", "div section div")
     advert = lambda: box("advert", maybe(0.5, "<p>") + w(2, 25), "div aside div")
     side = box("side", "".join(f"<h3>{w(1, 4)}</h3><ul>{links(rng.randint(2, 6))}</ul>{maybe(0.4, '<p>' + w(5, 30) + '</p>')}" for _ in range(rng.randint(1, 3))), "aside div aside")
@@ -321,7 +368,7 @@ def training_page(rng: random.Random) -> str:
 
     parts = [f"<h1 data-keep>{w(2, 12)}</h1>"] * (rng.random() < 0.85) + [paragraph() for _ in range(rng.randint(1, 25))]
     for extra in (advert, lambda: form, lambda: box("side", f"<ul>{links(3)}</ul>", "div aside"), lambda: box("notice", w(3, 20), "div p")):
-        if rng.random() < 0.2:
+        if not mute and rng.random() < 0.2:
             parts.insert(rng.randint(1, len(parts)), extra())
     body = "".join(parts)
     kind = rng.random()
@@ -338,7 +385,7 @@ def training_page(rng: random.Random) -> str:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 500, seed: int = 11) -> Trees:
+def model(pages: int = 700, seed: int = 11) -> Trees:
     """Trees fitted to `pages` drawn pages: a bound on the labelled rows, the same for every corpus."""
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
@@ -356,6 +403,16 @@ def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
     return [render(nodes, decode(nodes, margins[end - len(nodes) : end])) for nodes, end in zip(parsed, ends, strict=True)]
 
 
+def _slices(pages: list[str | None]) -> Iterator[tuple[int, int]]:
+    start, held = 0, 0
+    for k, page in enumerate(pages):
+        if k - start == AT_A_TIME or k > start and held + len(page or "") > CHARS_AT_A_TIME:
+            yield start, k
+            start, held = k, 0
+        held += len(page or "")
+    yield start, len(pages)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
@@ -366,9 +423,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for start in range(0, batch.num_rows, AT_A_TIME):
-                texts += main_texts(batch.column(2).slice(start, AT_A_TIME).to_pylist(), trees)
+            pages = batch.column(2).to_pylist()
+            texts = [text for start, end in _slices(pages) for text in main_texts(pages[start:end], trees)]
             arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
