@@ -3,11 +3,9 @@ with the drift of a scan; tables are returned whole, so that a writer can swap t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import reading
-
 
 def with_forced(drift: DataFrame, forced: DataFrame) -> DataFrame:
     """drift in which unchanged files of the paths in forced (rel_path) are `forced`; other kinds ignore the wish."""
@@ -67,16 +65,6 @@ def conversion_status(outcome: Column, errors: Column, chars: Column, pages: Col
 
 def page_map(items: DataFrame) -> DataFrame:
     """items (rel_path, seq, offset, page) to the marks (rel_path, offset, page) where the page changes in the order of items."""
-    spots = F.array_sort(F.collect_list(F.struct("seq", "offset", "page")))
-    turned = F.filter("spots", lambda s, k: (k == 0) | (s["page"] != F.get("spots", k - 1)["page"]))
-    rows = items.where(F.col("offset") >= 0).groupBy("rel_path").agg(spots.alias("spots"))
-    return rows.select("rel_path", F.explode(turned).alias("m")).select("rel_path", "m.offset", "m.page")
-
-
-def chunks(files: DataFrame, most: int) -> DataFrame:
-    """Chunks of queryable files: chunk_id (hash and number), file_hash, rel_path, chunk_index, char_start, char_end, heading_path, text. A
-    file is cut at its headings, then to `most` code points; a chunk's heading path is that at its end's first place."""
-    parts = reading.split_sections(files, most).join(files.select("rel_path", "file_hash", "markdown"), "rel_path")
-    at = F.instr("markdown", F.col("text")) - 1
-    rows = parts.select("rel_path", "file_hash", F.col("section").alias("chunk_index"), at.alias("char_start"), F.when(at >= 0, at + F.char_length("text")).otherwise(-1).alias("char_end"), "text")
-    return rows.withColumn("chunk_id", F.concat("file_hash", F.lit(":"), F.col("chunk_index").cast("string")))
+    before = F.lag("page").over(Window.partitionBy("rel_path").orderBy("seq"))
+    found = items.where(F.col("offset") >= 0).withColumn("before", before)
+    return found.where(~F.col("page").eqNullSafe(F.col("before"))).select("rel_path", "offset", "page")

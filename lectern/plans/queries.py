@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, asking, catalogue, drift, ledger, reading
+from lectern.operators import answers, asking, catalogue, drift, ledger, provenance, reading
 from lectern.sources import corpus
 
 #: Words of the fixed question that the lexical judge looks for.
@@ -232,10 +232,44 @@ def _turned(s: SparkSession, d: str) -> DataFrame:
     return catalogue.page_map(items).select("rel_path", "offset", "page")
 
 
+def _repeated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations whose even turns' sections come again at the end, word for word, as files; and their items, a page a section, some of which are listed
+    once more, out of order, or aren't in the file."""
+    again = F.explode(F.when(F.col("turn") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    parts = turns(s, d).select("conv_id", "turn", "role", "text", again)
+    part = F.concat(F.lit("## "), "role", F.lit("\n"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit("### Turn\n"), "text")).otherwise(F.col("text")), F.lit("\n"))
+    path = F.format_string("repeated/%d.md", "conv_id").alias("rel_path")
+    files_ = parts.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("again", "turn", part.alias("part"))))["part"], "").alias("body"))
+    status = F.element_at(F.array(*map(F.lit, ("ok", "partial_parse", "parse_failed"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    markdown = F.concat(F.lit("# Repeated "), F.col("conv_id").cast("string"), F.lit("\n"), "body")
+    files_ = files_.select("conv_id", path, status.alias("parse_status"), markdown.alias("markdown")).withColumn("file_hash", F.sha2("markdown", 256))
+    seq = F.col("again") * 1000 + F.col("turn")
+    said = F.when(F.col("turn") % 5 == 4, F.lit("not in the file")).otherwise(F.concat(F.lit("  "), "text"))
+    items = parts.select(path, seq.alias("seq"), said.alias("text"), (F.floor(F.col("turn") / 2) % 3).alias("page"))
+    late = parts.where("turn % 4 = 1").select(path, (seq + 3).alias("seq"), F.col("text"), F.lit(9).alias("page"))
+    return files_, items.unionByName(late.withColumn("seq", F.col("seq") + 2000))
+
+
+def _anchored(s: SparkSession, d: str) -> DataFrame:
+    rows, items = _repeated(s, d)
+    return provenance.anchored_marks(items, rows).select("rel_path", F.col("offset").cast("long").alias("offset"), F.col("page").cast("long").alias("page"))
+
+
 def _chunked(s: SparkSession, d: str) -> DataFrame:
-    rows = catalogue.chunks(corpus.from_conversations(turns(s, d)), 400)
+    rows, items = _repeated(s, d)
+    chunks = provenance.token_chunks(provenance.with_marks(rows, provenance.anchored_marks(items, rows)), 60)
     long = lambda c: F.col(c).cast("long").alias(c)
-    return rows.select("chunk_id", "rel_path", long("char_start"), long("char_end"), F.md5("text").alias("digest"))
+    return chunks.select("chunk_id", "rel_path", F.array_join("heading_path", " / ").alias("heading_path"), long("page"), long("char_start"), long("char_end"), F.md5("text").alias("digest"))
+
+
+def _rechunked(s: SparkSession, d: str) -> DataFrame:
+    """Chunks stored by an earlier run with other limits, of which those of every second file are made anew."""
+    rows, _ = _repeated(s, d)
+    rows = rows.withColumn("page_marks", F.array().cast("array<struct<offset:int,page:int>>"))
+    done = rows.where("conv_id % 2 = 0")
+    return provenance.replaced(provenance.token_chunks(rows, 200), provenance.token_chunks(done, 60), done).groupBy("rel_path").agg(
+        F.count(F.lit(1)).alias("chunks"), F.max(F.char_length("text")).cast("long").alias("longest")
+    )
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
@@ -381,7 +415,9 @@ QUERIES = {
     "evaluations_latest": _latest,
     "conversion_status": _outcomes,
     "page_changes": _turned,
+    "page_map_anchored": _anchored,
     "token_chunks": _chunked,
+    "chunks_replaced": _rechunked,
     "section_plan": lambda s, d: reading.plan_sections(files(s, d), 3100).select("rel_path", F.col("section").cast("long").alias("section"), F.md5("text").alias("digest")),
     "verdicts_with_findings": _verdicts,
     "quote_snap": _snapped,
@@ -489,6 +525,59 @@ _CARDS = f"""{_FILES}, ones AS (SELECT file_hash, min(rel_path) AS rel_path, any
         || 'answers: -' || chr(10) || 'absences: -' || chr(10) || 'entities: -' || chr(10) AS card FROM carded)"""
 
 
+_REPEATED = """parts AS (
+    SELECT conv_id, turn, again, text, '## ' || role || chr(10) || CASE WHEN turn % 3 = 1 THEN '### Turn' || chr(10) ELSE '' END || text || chr(10) AS part
+    FROM (SELECT *, unnest(CASE WHEN turn % 2 = 0 THEN [0, 1] ELSE [0] END) AS again FROM conversations)
+), repeated AS (
+    SELECT conv_id, 'repeated/' || conv_id || '.md' AS rel_path, ['ok', 'partial_parse', 'parse_failed'][conv_id % 3 + 1] AS parse_status,
+           '# Repeated ' || conv_id || chr(10) || string_agg(part, '' ORDER BY again, turn) AS markdown FROM parts GROUP BY conv_id
+)"""
+# Items sought one after the other, as a walk.
+_MARKS = """items AS (
+    SELECT conv_id, again * 1000 + turn AS seq, CASE WHEN turn % 5 = 4 THEN 'not in the file' ELSE text END AS text, turn // 2 % 3 AS page FROM parts
+    UNION ALL SELECT conv_id, again * 1000 + turn + 2003, text, 9 FROM parts WHERE turn % 4 = 1
+), listed AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS n, substr(trim(text, ' ' || chr(9) || chr(10)), 1, 40) AS anchor, page FROM items WHERE trim(text) <> ''
+), walk AS (
+    SELECT conv_id, 0::BIGINT AS n, 0::BIGINT AS cursor, -1::BIGINT AS spot, NULL::BIGINT AS page FROM repeated
+    UNION ALL
+    SELECT conv_id, n, CASE WHEN spot < 0 THEN cursor ELSE spot + length(anchor) END, spot, page FROM (
+        SELECT w.conv_id, l.n, w.cursor, l.anchor, l.page, CASE WHEN strpos(substr(r.markdown, w.cursor + 1), l.anchor) > 0
+            THEN w.cursor + strpos(substr(r.markdown, w.cursor + 1), l.anchor) - 1 ELSE strpos(r.markdown, l.anchor) - 1 END AS spot
+        FROM walk w JOIN listed l ON l.conv_id = w.conv_id AND l.n = w.n + 1 JOIN repeated r ON r.conv_id = w.conv_id)
+), marked AS (
+    SELECT 'repeated/' || conv_id || '.md' AS rel_path, spot, page FROM walk WHERE spot >= 0 QUALIFY page IS DISTINCT FROM lag(page) OVER (PARTITION BY conv_id ORDER BY n)
+)"""
+
+
+def _chunks_sql(name: str, tokens: int) -> str:
+    """name_chunks (conv_id, rel_path, file_hash, heading_path, start, text) of repeated: lines packed by walking each section."""
+    most = 4 * tokens + 3
+    return rf"""{name}_raw AS (
+        SELECT conv_id, rel_path, sha256(markdown) AS file_hash, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS k,
+               len(string_split(markdown, chr(10))) AS many FROM repeated WHERE parse_status IN ('ok', 'partial_parse')
+    ), {name}_ended AS (SELECT * REPLACE (line || CASE WHEN k < many THEN chr(10) ELSE '' END AS line) FROM {name}_raw
+    ), {name}_lines AS (
+        SELECT *, sum(length(line)) OVER w - length(line) AS start, count(*) FILTER (regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \t]')) OVER w AS section,
+            last_value(CASE WHEN line LIKE '# %' THEN line END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN line LIKE '## %' THEN line END IGNORE NULLS) OVER w AS h2,
+            max(CASE WHEN line LIKE '## %' THEN k END) OVER w AS k2, max(CASE WHEN line LIKE '### %' THEN k END) OVER w AS k3
+        FROM {name}_ended WHERE line <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    ), {name}_units AS (
+        SELECT conv_id, rel_path, file_hash, section, (start + j * {most})::BIGINT AS start, substr(line, j * {most} + 1, {most}) AS text,
+            trim(h1[3:], ' ' || chr(10)) || coalesce(' / ' || trim(h2[4:], ' ' || chr(10)), '') || CASE WHEN k3 > k2 THEN ' / Turn' ELSE '' END AS heading_path,
+            row_number() OVER (PARTITION BY conv_id, section ORDER BY k, j) AS n
+        FROM (SELECT *, unnest(range((length(line) + {most - 1}) // {most})) AS j FROM {name}_lines)
+    ), {name}_walk AS (
+        SELECT conv_id, section, n, length(text) AS used, 0::BIGINT AS batch FROM {name}_units WHERE n = 1
+        UNION ALL
+        SELECT u.conv_id, u.section, u.n, CASE WHEN w.used + length(u.text) > {most} THEN length(u.text) ELSE w.used + length(u.text) END, w.batch + (w.used + length(u.text) > {most})::BIGINT
+        FROM {name}_walk w JOIN {name}_units u ON u.conv_id = w.conv_id AND u.section = w.section AND u.n = w.n + 1
+    ), {name}_chunks AS (
+        SELECT conv_id, any_value(rel_path) AS rel_path, any_value(file_hash) AS file_hash, any_value(heading_path) AS heading_path, min(start) AS start, string_agg(text, '' ORDER BY n) AS text
+        FROM {name}_units JOIN {name}_walk USING (conv_id, section, n) GROUP BY conv_id, section, batch HAVING regexp_matches(string_agg(text, ''), '\S')
+    )"""
+
+
 _TOLD = f"{_found(3)}, told AS (SELECT rel_path, claim, quote, row_number() OVER (PARTITION BY rel_path ORDER BY seq) AS n FROM (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, lower(quote) ORDER BY seq) = 1))"
 
 
@@ -641,10 +730,14 @@ ORACLE_SQL = {
                 WHEN 2 THEN array_to_string(errors[1:5], '; ') END AS parse_error FROM f""",
     "page_changes": """SELECT conv_id AS rel_path, turn * 10 AS "offset", turn // 2 % 3 AS page FROM conversations
         QUALIFY page IS DISTINCT FROM lag(page) OVER (PARTITION BY conv_id ORDER BY turn)""",
-    "token_chunks": f"""WITH {_CONV}, {_CUTS}, parts AS (SELECT rel_path, row_number() OVER (PARTITION BY rel_path ORDER BY place, j) - 1 AS k, substr(text, j * 400 + 1, 400) AS t
-            FROM (SELECT rel_path, place, text, unnest(range(greatest(1, (length(text) + 399) // 400))) AS j FROM l6))
-        SELECT sha256(markdown) || ':' || k AS chunk_id, rel_path, strpos(markdown, t) - 1 AS char_start, strpos(markdown, t) - 1 + length(t) AS char_end, md5(t) AS digest
-        FROM parts JOIN convs USING (rel_path)""",
+    "page_map_anchored": f"WITH RECURSIVE {_REPEATED}, {_MARKS} SELECT rel_path, spot AS offset, page FROM marked",
+    "token_chunks": f"""WITH RECURSIVE {_REPEATED}, {_MARKS}, {_chunks_sql('fit', 60)}
+        SELECT file_hash || ':' || (row_number() OVER (PARTITION BY rel_path ORDER BY start) - 1) AS chunk_id, rel_path, heading_path,
+            (SELECT arg_max(page, (spot, page)) FROM marked m WHERE m.rel_path = c.rel_path AND m.spot <= c.start) AS page, start AS char_start, start + length(text) AS char_end, md5(text) AS digest
+        FROM fit_chunks c""",
+    "chunks_replaced": f"""WITH RECURSIVE {_REPEATED}, {_chunks_sql('fit', 60)}, {_chunks_sql('old', 200)}
+        SELECT rel_path, count(*) AS chunks, max(length(text)) AS longest FROM (
+            SELECT rel_path, text FROM fit_chunks WHERE conv_id % 2 = 0 UNION ALL SELECT rel_path, text FROM old_chunks WHERE conv_id % 2 <> 0) GROUP BY 1""",
     "section_plan": f"""WITH {_FILES} SELECT rel_path, part AS section, md5(substr(markdown, part * 3000 + 1, 3000)) AS digest
         FROM (SELECT rel_path, markdown, unnest(range(greatest(1, (length(markdown) + 2999) // 3000))) AS part FROM files)""",
     "verdicts_with_findings": f"""WITH {_FILES}, parts AS (
