@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 # Characters folded together, characters left out, ellipses, the least length of a fragment among several, the
 # least length of a trimmed quote, and the most words trimmed from an end.
@@ -124,3 +124,9 @@ def spans_of(texts: pd.Series, quotes: pd.Series) -> pd.Series:
         folded = fold(text or "")
         out.append([[{"start": a, "end": b} for a, b in spans(*folded, q or "")] for q in asked])
     return pd.Series(out)
+
+
+@F.pandas_udf(StringType())
+def folded(texts: pd.Series) -> pd.Series:
+    """Texts in plain characters, as fold() gives them."""
+    return texts.map(lambda t: None if t is None else fold(t)[0])

@@ -39,8 +39,18 @@ def status(drift: DataFrame, files: DataFrame) -> DataFrame:
     """What a look at the index shows: rel_path, kind, detail: drift that a run would act on, duplicates with their owners, flagged files."""
     changes = drift.where(~F.col("drift").isin("unchanged", "duplicate")).select("rel_path", F.col("drift").alias("kind"), F.coalesce("old_path", F.lit("")).alias("detail"))
     copies = drift.where("drift = 'duplicate'").select("rel_path", F.lit("duplicate").alias("kind"), F.col("old_path").alias("detail"))
-    flagged = files.where("parse_status != 'ok'").select("rel_path", F.lit("flagged").alias("kind"), F.col("parse_status").alias("detail"))
-    return changes.union(copies).union(flagged)
+    marked = flagged(files).select("rel_path", F.lit("flagged").alias("kind"), F.col("parse_status").alias("detail"))
+    return changes.union(copies).union(marked)
+
+
+def queryable(files: DataFrame) -> DataFrame:
+    """The files that can be asked: parsed in whole or in part."""
+    return files.where(F.col("parse_status").isin("ok", "partial_parse"))
+
+
+def flagged(files: DataFrame) -> DataFrame:
+    """The files that a user should look at: all but those parsed in whole, so those parsed in part too."""
+    return files.where("parse_status != 'ok'")
 
 
 def latest(stored: DataFrame, new: DataFrame, key: list[str], by: list[str]) -> DataFrame:

@@ -32,9 +32,8 @@ def classify(scan: DataFrame, known: DataFrame) -> DataFrame:
 
 def final_files(scan: DataFrame) -> DataFrame:
     """The catalogue after an index run: one path for each hash on disk, so no order of moves and edits can lose one."""
-    rest = [c for c in scan.columns if c != "file_hash"]
-    first = scan.groupBy("file_hash").agg(F.min_by(F.struct(*rest), F.split("rel_path", "/")).alias("f"))
-    return first.select("file_hash", "f.*").select(scan.columns)
+    first = scan.groupBy("file_hash").agg(F.min(F.struct(F.split("rel_path", "/").alias("parts"), "rel_path"))["rel_path"].alias("rel_path"))  # no text is gathered
+    return scan.join(first, ["file_hash", "rel_path"], "left_semi").select(scan.columns)
 
 
 def parse_status(chars: F.Column, pages: F.Column) -> F.Column:

@@ -44,6 +44,26 @@ def costs(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     return tokens.join(prices, "task", "left").select("task", F.round(cost, 4).alias("cost"))
 
 
+def call_costs(calls: DataFrame, tasks: DataFrame, listed: DataFrame) -> DataFrame:
+    """calls (task, served, tokens_in, tokens_out; other columns stay) with cost, unrounded: by the task's own prices if it has one and its primary model, with
+    or without its provider before a slash, served the call; else by the served model's listed prices; 0 for a model that isn't listed.
+
+    tasks (task, primary, in_rate, out_rate) and listed (model, in_rate, out_rate) hold a row each for a task and a model; prices are a million tokens'.
+    """
+    own = tasks.select("task", "primary", F.col("in_rate").alias("own_in"), F.col("out_rate").alias("own_out"))
+    table = listed.select(F.col("model").alias("served"), F.col("in_rate").alias("listed_in"), F.col("out_rate").alias("listed_out"))
+    both = calls.join(own, "task", "left").join(table, "served", "left")
+    is_primary = F.coalesce(F.col("served").isin(F.col("primary"), F.regexp_replace("primary", r"^[^/]*/", "")), F.lit(False))
+    mine, other = F.when(is_primary, F.col("own_in")), F.when(is_primary, F.col("own_out"))
+    cost = (F.col("tokens_in") * rate(mine, other, F.col("listed_in")) + F.col("tokens_out") * rate(other, mine, F.col("listed_out"))) / 1_000_000
+    return both.select(*calls.columns, cost.alias("cost"))
+
+
+def newest_first(evaluations: DataFrame, of: list[str], by: list[str]) -> DataFrame:
+    """evaluations with place: 1 for the newest of those of the same file (the columns `of`), by the columns `by`, which tell them apart."""
+    return evaluations.withColumn("place", F.row_number().over(Window.partitionBy(*of).orderBy(*[F.desc(c) for c in by])))
+
+
 def score_routing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """pairs (pair) with recall, precision, and counts of missing, stray, forbidden, from marks (pair, file, expected, forbidden, candidate), a
     row for each file that is any of these; files stay rows, so no pair's files are gathered."""

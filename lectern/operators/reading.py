@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.grounding import spans_of
+from lectern.functions.grounding import folded, spans_of
+from lectern.operators.ordering import running
 
 RELEVANCE = {"recall": 1, "balanced": 2, "strict": 3}
 
@@ -152,23 +153,18 @@ def ground_exact(quotes: DataFrame, files: DataFrame, block: int = 200) -> DataF
 
 
 def hits(findings: DataFrame) -> DataFrame:
-    """Findings without repeats: the first of each file and quote, or claim if the quote is empty."""
-    key = F.when(F.trim("quote") != "", F.lower("quote")).otherwise(F.concat(F.lit("claim:"), F.lower("claim")))
+    """Findings without repeats: the first of each file and quote, or claim if the quote is empty. Quotes are the same if they are when folded, as in
+    grounding: whatever their case, accents, typography, white space and broken words."""
+    key = F.when(F.trim("quote") != "", folded("quote")).otherwise(F.concat(F.lit("claim:"), F.lower("claim")))
     w = Window.partitionBy("rel_path", key).orderBy("seq")
     return findings.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def number_evidence(found: DataFrame, buckets: int = 256) -> DataFrame:
-    """hits with number: 1, 2, ... by (rel_path, seq). Files are bucketed between the paths of the least hashes, at most buckets - 1 of them, and
-    counts of the buckets give each its offset, so no task numbers all rows, and a bucket is the same however often it is computed."""
+def number_evidence(found: DataFrame, ranges: int | None = None) -> DataFrame:
+    """hits with number: 1, 2, ... by (rel_path, seq), without a task that numbers all rows: only the files' counts are dealt to ranges of paths, and
+    running() grows with their number."""
     counted = found.groupBy("rel_path").agg(F.count(F.lit(1)).alias("k"))
-    least = counted.select(F.xxhash64("rel_path").alias("h"), "rel_path").orderBy("h", "rel_path").limit(buckets - 1).collect()
-    bounds = F.array(*map(F.lit, sorted(r["rel_path"] for r in least))).cast("array<string>")
-    ranked = counted.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("rel_path"))))
-    ranked = ranked.withColumn("inside", F.sum("k").over(Window.partitionBy("part").orderBy("rel_path").rowsBetween(Window.unboundedPreceding, -1)))
-    sums = ranked.groupBy("part").agg(F.sum("k").alias("k"))
-    offsets = sums.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    starts = ranked.join(F.broadcast(offsets), "part").select("rel_path", (F.col("offset") + F.coalesce("inside", F.lit(0))).alias("start"))
+    starts = running(counted, ["rel_path"], {"start": "k"}, ranges).select("rel_path", "start")
     own = F.row_number().over(Window.partitionBy("rel_path").orderBy("seq"))
     return found.withColumn("own", own).join(starts, "rel_path").withColumn("number", F.col("start") + F.col("own")).drop("own", "start")
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, asking, catalogue, drift, ledger, provenance, reading
+from lectern.operators import answers, asking, catalogue, drift, ledger, ordering, provenance, reading
 from lectern.sources import corpus
 
 #: Words of the fixed question that the lexical judge looks for.
 TOPIC = ["that", "this", "with", "from", "tion", "ment"]
 DEFINED = ["elle", "rewh", "nder"]
 #: More words of a question, for the lexical router.
-WANTED = ["also", "andi", "anen", "alle", "aber", "auch", "ando", "ante", "all", "amen", "arer"]
+WANTED = "anea anan anat aned anble aner anen anha anin anes aian aich aieau aiai anhe ananble attion aiaux anly aning".split()
 
 
 def _table(name: str):
@@ -134,12 +134,9 @@ def _cards(s: SparkSession, d: str) -> DataFrame:
 
 
 def _route_shards(s: SparkSession, d: str) -> DataFrame:
-    """Shards of cards, packed in groups of about 10,000 cards by their hashes, so that no task packs all."""
-    cards = _cards(s, d)
-    groups = max(1, -(-cards.count() // 10_000))
-    group = F.pmod(F.conv(F.substring("file_hash", 1, 8), 16, 10).cast("long"), F.lit(groups))
-    units = cards.select(group.alias("group"), "rel_path", T.tokens(F.col("card")).alias("tokens"))
-    return reading.batches(units, "group", ["rel_path"], 600, 13).select("group", "rel_path", "batch")
+    """Shards of the cards of the whole catalogue, in its order."""
+    units = _cards(s, d).select("rel_path", T.tokens(F.col("card")).alias("tokens"))
+    return ordering.greedy_runs(units, ["rel_path"], 600, 13).select("rel_path", F.col("run").alias("shard"))
 
 
 def _reduce_batches(s: SparkSession, d: str) -> DataFrame:
@@ -207,6 +204,20 @@ def _cards_left(s: SparkSession, d: str) -> DataFrame:
     return catalogue.dependents(known.select("file_hash", F.lit("card").alias("card")), known, catalogue.apply_drift(known, scan, change), change)
 
 
+def _forced(s: SparkSession, d: str) -> DataFrame:
+    """The drift of a run that is told to index every seventh file anew."""
+    return catalogue.with_forced(_drift(s, d), files(s, d).where("doc_id % 7 = 0"))
+
+
+def _served(s: SparkSession, d: str) -> DataFrame:
+    """Events as calls: tasks with prices of their own or without, served by their primary models or others, which are listed or not."""
+    model = F.element_at(F.array(*map(F.lit, ("small", "host/large", "large", "unknown"))), (F.col("event_id") % 4 + 1).cast("int"))
+    calls = events(s, d).select("event_id", F.col("event_type").alias("task"), model.alias("served"), (F.col("event_id") % 5000).alias("tokens_in"), (F.col("event_id") % 77).alias("tokens_out"))
+    tasks = s.createDataFrame([("click", "host/large", 2.0, None), ("view", "small", None, None), ("purchase", "large", None, 0.5)], "task string, primary string, in_rate double, out_rate double")
+    listed = s.createDataFrame([("small", 0.25, 1.0), ("large", 3.0, 15.0), ("host/large", 4.0, 16.0)], "model string, in_rate double, out_rate double")
+    return ledger.call_costs(calls, tasks, listed).select("event_id", "task", "served", F.round(F.col("cost") * 1_000_000, 3).alias("microcost"))
+
+
 def _status(s: SparkSession, d: str) -> DataFrame:
     return catalogue.status(_index(s, d)[2], _statuses(s, d))
 
@@ -279,9 +290,9 @@ def _verdicts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _snapped(s: SparkSession, d: str) -> DataFrame:
-    """Each turn quoted in capitals after a word that isn't there, broken by a hyphen at a line's end: found again, with its heading and page."""
-    t = turns(s, d).where(F.col("text").rlike("^[A-Za-z]{4}"))
-    quote = F.concat(F.lit("Zzq "), F.upper(F.substring("text", 1, 2)), F.lit("-\n"), F.upper(F.expr("substring(text, 3)")))
+    """Each turn quoted in capitals after a word that isn't there, its words broken by hyphens at lines' ends: found again, with its heading and page."""
+    t = turns(s, d)
+    quote = F.concat(F.lit("Zzq "), F.upper(F.regexp_replace("text", r"(\p{L}{2})(\p{L}{2})", "$1-\n$2")))
     asked = t.select(F.concat(F.lit("conversations/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("rel_path"), F.col("turn").alias("seq"), quote.alias("quote"))
     f = corpus.from_conversations(turns(s, d))
     rows = reading.snap(reading.ground(asked, f), f)
@@ -366,8 +377,8 @@ QUERIES = {
     "drift_report_counts": lambda s, d: _drift(s, d).groupBy("drift").agg(F.count(F.lit(1)).alias("files")),
     "final_state_after_index": lambda s, d: drift.final_files(files(s, d)).select("file_hash", "rel_path"),
     "parse_status": _statuses,
-    "queryable_files": lambda s, d: _statuses(s, d).where(F.col("parse_status").isin("ok", "partial_parse")).select("rel_path"),
-    "flagged_files": lambda s, d: _statuses(s, d).where("parse_status != 'ok'").select("rel_path", "parse_status"),
+    "queryable_files": lambda s, d: catalogue.queryable(_outcomes(s, d)).select("conv_id", "parse_status"),
+    "flagged_files": lambda s, d: catalogue.flagged(_outcomes(s, d)).select("conv_id", "parse_status", "parse_error"),
     "html_to_markdown": lambda s, d: corpus.from_pages(pages(s, d)).select("rel_path", "markdown"),
     "conversation_markdown": lambda s, d: corpus.from_conversations(turns(s, d)).select("rel_path", "file_hash", "markdown"),
     "page_marks": lambda s, d: corpus.from_conversations(turns(s, d)).select("rel_path", F.explode("page_marks").alias("m")).select("rel_path", F.col("m.offset").cast("long").alias("offset"), F.col("m.page").cast("long").alias("page")),
@@ -395,7 +406,7 @@ QUERIES = {
     "cost_estimate_pass1": lambda s, d: ledger.estimate_pass1(reading.without_cards(files(s, d), _with_card(s, d)).select(T.tokens(F.col("markdown")).alias("tokens")), _with_card(s, d)),
     "usage_by_task": lambda s, d: ledger.usage_by_task(events(s, d).select(F.col("event_type").alias("task"), F.col("event_id").alias("tokens_in"), (F.col("event_id") % 100).alias("tokens_out"))),
     "prune_runs": lambda s, d: ledger.newest_runs(_evaluations(s, d)).select("run_id", "event_id"),
-    "verdict_history": lambda s, d: _evaluations(s, d).where("task = 'click'").select("run_id", "event_id", "evaluated_at"),
+    "verdict_history": lambda s, d: ledger.newest_first(_evaluations(s, d), ["task", "run_id"], ["evaluated_at", "event_id"]).select("task", "run_id", "event_id", "evaluated_at", F.col("place").cast("long").alias("place")),
     "score_routing": lambda s, d: _scores(s, d).select("pair", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"), "missing", "stray", "forbidden"),
     "score_mean": lambda s, d: _scores(s, d).agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision")),
     "section_split": lambda s, d: reading.split_sections(corpus.from_conversations(turns(s, d)), 400).select("rel_path", F.col("section").cast("long").alias("section"), F.md5("text").alias("digest")),
@@ -410,6 +421,8 @@ QUERIES = {
     "json_salvage": _replies,
     "vector_topk": lambda s, d: ledger.nearest(embeddings(s, d), embeddings(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10),
     "index_apply": _applied,
+    "index_forced": _forced,
+    "call_costs": _served,
     "index_cascade": lambda s, d: _cards_left(s, d).select("file_hash"),
     "index_status": _status,
     "evaluations_latest": _latest,
@@ -429,6 +442,7 @@ QUERIES = {
     "fallback_digest": lambda s, d: answers.fallback_digest(_told(s, d)).select("answer_id", "text", "uncited"),
     "ask_route": _asked_rows("route"),
     "ask_sweep": _asked_rows("sweep"),
+    "ask_auto": _asked_rows("auto"),
     "ask_report": lambda s, d: asking.report(_asked("sweep")(s, d)),
     "ask_estimate": _estimated,
     "evaluation_arms": _arms,
@@ -460,7 +474,9 @@ def _found(least: int, topic: list[str] = TOPIC) -> str:
     ), findings AS (SELECT rel_path, file_hash, seq, quote, array_to_string(shared, ' ') AS claim, len(shared) AS overlap FROM found WHERE len(shared) >= {least})"""
 
 
-_HITS = "hits AS (SELECT rel_path, seq, quote FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, lower(quote) ORDER BY seq) = 1)"
+# A quote in plain characters, as far as the test texts need it.
+_FOLD = "trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(quote)), '-[ \\t\\r\\n]+([a-z])', '\\1', 'g'), '[*_`]', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+_HITS = f"hits AS (SELECT rel_path, seq, quote FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, {_FOLD} ORDER BY seq) = 1)"
 _DRIFT = f"""{_FILES}, known AS (
     SELECT CASE WHEN doc_id % 10 = 1 THEN 'old/' || rel_path ELSE rel_path END AS rel_path,
            CASE WHEN doc_id % 10 = 2 THEN sha256(markdown || '!') ELSE file_hash END AS file_hash FROM files WHERE doc_id % 10 <> 3
@@ -525,6 +541,10 @@ _CARDS = f"""{_FILES}, ones AS (SELECT file_hash, min(rel_path) AS rel_path, any
         || 'answers: -' || chr(10) || 'absences: -' || chr(10) || 'entities: -' || chr(10) AS card FROM carded)"""
 
 
+_OUTCOMES = """WITH f AS (SELECT conv_id, list('page ' || turn ORDER BY turn) AS errors, sum(length(text)) AS chars FROM conversations GROUP BY 1)
+        SELECT conv_id, CASE conv_id % 3 WHEN 1 THEN 'partial_parse' WHEN 2 THEN 'parse_failed' ELSE CASE WHEN chars < 200 THEN 'zero_text' ELSE 'ok' END END AS parse_status,
+            CASE conv_id % 3 WHEN 1 THEN array_to_string(errors[1:10], '; ') || CASE WHEN len(errors) > 10 THEN ' (+' || (len(errors) - 10) || ' more)' ELSE '' END
+                WHEN 2 THEN array_to_string(errors[1:5], '; ') END AS parse_error FROM f"""
 _REPEATED = """parts AS (
     SELECT conv_id, turn, again, text, '## ' || role || chr(10) || CASE WHEN turn % 3 = 1 THEN '### Turn' || chr(10) ELSE '' END || text || chr(10) AS part
     FROM (SELECT *, unnest(CASE WHEN turn % 2 = 0 THEN [0, 1] ELSE [0] END) AS again FROM conversations)
@@ -578,7 +598,7 @@ def _chunks_sql(name: str, tokens: int) -> str:
     )"""
 
 
-_TOLD = f"{_found(3)}, told AS (SELECT rel_path, claim, quote, row_number() OVER (PARTITION BY rel_path ORDER BY seq) AS n FROM (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, lower(quote) ORDER BY seq) = 1))"
+_TOLD = f"{_found(3)}, told AS (SELECT rel_path, claim, quote, row_number() OVER (PARTITION BY rel_path ORDER BY seq) AS n FROM (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, {_FOLD} ORDER BY seq) = 1))"
 
 
 def _packed(units: str, key: str, order: str, budget: int, most: int) -> str:
@@ -630,8 +650,8 @@ ORACLE_SQL = {
     "drift_report_counts": f"WITH {_DRIFT} SELECT drift, count(*) AS files FROM drifts GROUP BY 1",
     "final_state_after_index": f"WITH {_FILES} SELECT file_hash, min(rel_path) AS rel_path FROM files GROUP BY 1",
     "parse_status": f"WITH {_STATUS} SELECT * FROM statuses",
-    "queryable_files": f"WITH {_STATUS} SELECT rel_path FROM statuses WHERE parse_status = 'ok'",
-    "flagged_files": f"WITH {_STATUS} SELECT rel_path, parse_status FROM statuses WHERE parse_status <> 'ok'",
+    "queryable_files": f"SELECT conv_id, parse_status FROM ({_OUTCOMES}) WHERE parse_status IN ('ok', 'partial_parse')",
+    "flagged_files": f"SELECT conv_id, parse_status, parse_error FROM ({_OUTCOMES}) WHERE parse_status <> 'ok'",
     "html_to_markdown": f"SELECT 'pages/' || page_id || '.html' AS rel_path, {_MARKDOWN} AS markdown FROM pages",
     "conversation_markdown": f"WITH {_CONV} SELECT rel_path, sha256(markdown) AS file_hash, markdown FROM convs",
     "page_marks": f"WITH {_CONV} SELECT rel_path, spot::BIGINT AS offset, page FROM marks",
@@ -682,7 +702,7 @@ ORACLE_SQL = {
         (SELECT greatest(ceil(count(*) * 1024 / 30768), ceil(count(*) / 13)) FROM cards)::BIGINT AS shards FROM pending""",
     "usage_by_task": "SELECT event_type AS task, count(*) AS calls, sum(event_id)::BIGINT AS tokens_in, sum(event_id % 100)::BIGINT AS tokens_out FROM events GROUP BY 1",
     "prune_runs": f"WITH {_EVALS} SELECT run_id, event_id FROM evals WHERE run_id IN (SELECT run_id FROM evals GROUP BY 1 ORDER BY max(evaluated_at) DESC, run_id DESC LIMIT 20)",
-    "verdict_history": f"WITH {_EVALS} SELECT run_id, event_id, evaluated_at FROM evals WHERE task = 'click'",
+    "verdict_history": f"WITH {_EVALS} SELECT *, row_number() OVER (PARTITION BY task, run_id ORDER BY evaluated_at DESC, event_id DESC) AS place FROM evals",
     "score_routing": f"WITH {_PAIRS} SELECT pair, round(recall, 9) AS recall, round(precision, 9) AS precision, missing, stray, forbidden FROM scores",
     "score_mean": f"WITH {_PAIRS} SELECT round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision FROM scores",
     "section_split": f"""WITH {_CONV}, {_CUTS} SELECT rel_path, row_number() OVER (PARTITION BY rel_path ORDER BY place, j) - 1 AS section, md5(substr(text, j * 400 + 1, 400)) AS digest
@@ -695,9 +715,8 @@ ORACLE_SQL = {
         ), kept AS (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY spot) AS n FROM firsts)
         SELECT f.rel_path, coalesce(string_agg(item, ' ' ORDER BY n), '') AS terms FROM files f LEFT JOIN kept k ON k.rel_path = f.rel_path AND n <= 50 GROUP BY 1""",
     "card_render": f"WITH {_CARDS} SELECT rel_path, card FROM cards",
-    "route_shards": "WITH RECURSIVE " + _packed(
-        f"""{_CARDS}, units AS (SELECT ('0x' || file_hash[1:8])::BIGINT % (SELECT greatest(1, (count(*) + 9999) // 10000) FROM cards) AS "group", rel_path, greatest(1, length(card) // 4) AS tokens FROM cards)""",
-        '"group"', "rel_path", 600, 13),
+    "route_shards": "WITH RECURSIVE " + _packed(f"""{_CARDS}, units AS (SELECT 0 AS everything, rel_path, greatest(1, length(card) // 4) AS tokens FROM cards)""", "everything", "rel_path", 600, 13)
+        .removesuffix("SELECT everything, rel_path, batch FROM walk") + "SELECT rel_path, batch AS shard FROM walk",
     "reduce_batches": "WITH RECURSIVE " + _packed(f"{_found(2)}, {_HITS}, units AS (SELECT rel_path, seq, greatest(1, length(quote) // 4) AS tokens FROM hits)", "rel_path", "seq", 60, -1),
     "quote_ground_full": f"WITH {_found(3)} SELECT rel_path, seq, true AS verified, md5(lower(trim(quote, chr(32) || chr(9) || chr(10) || chr(13)))) AS digest FROM findings",
     "cite_resolve": """WITH said AS (
@@ -718,16 +737,17 @@ ORACLE_SQL = {
             FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
     "index_apply": f"WITH {_INDEX} SELECT file_hash, rel_path, size_bytes FROM after",
+    "index_forced": f"WITH {_DRIFT} SELECT d.* REPLACE (CASE WHEN drift = 'unchanged' AND f.doc_id % 7 = 0 THEN 'forced' ELSE drift END AS drift) FROM drifts d LEFT JOIN files f USING (rel_path)",
+    "call_costs": """WITH calls AS (SELECT event_id, event_type AS task, ['small', 'host/large', 'large', 'unknown'][event_id % 4 + 1] AS served, event_id % 5000 AS i, event_id % 77 AS o FROM events)
+        SELECT event_id, task, served, round((CASE WHEN task = 'click' AND served IN ('large', 'host/large') THEN 2.0 * i WHEN task = 'purchase' AND served = 'large' THEN 0.5 * o
+            WHEN served = 'small' THEN 0.25 * i + o WHEN served = 'large' THEN 3.0 * i + 15.0 * o WHEN served = 'host/large' THEN 4.0 * i + 16.0 * o ELSE 0 END)::DOUBLE, 3) AS microcost FROM calls""",
     "index_cascade": f"WITH {_INDEX} SELECT file_hash FROM after WHERE kept",
     "index_status": f"""WITH {_INDEX}, {_STATUS} SELECT rel_path, drift AS kind, coalesce(old_path, '') AS detail FROM drifts WHERE drift <> 'unchanged'
         UNION ALL SELECT rel_path, 'flagged', parse_status FROM statuses WHERE parse_status <> 'ok'""",
     "evaluations_latest": """SELECT user_id, event_type, ts, event_id, value FROM (
             SELECT user_id, event_type, ts, event_id, value, 0 AS n FROM events UNION ALL SELECT user_id, event_type, ts, event_id, -1.0, 1 FROM events WHERE event_type = 'click')
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, n DESC) = 1""",
-    "conversion_status": """WITH f AS (SELECT conv_id, list('page ' || turn ORDER BY turn) AS errors, sum(length(text)) AS chars FROM conversations GROUP BY 1)
-        SELECT conv_id, CASE conv_id % 3 WHEN 1 THEN 'partial_parse' WHEN 2 THEN 'parse_failed' ELSE CASE WHEN chars < 200 THEN 'zero_text' ELSE 'ok' END END AS parse_status,
-            CASE conv_id % 3 WHEN 1 THEN array_to_string(errors[1:10], '; ') || CASE WHEN len(errors) > 10 THEN ' (+' || (len(errors) - 10) || ' more)' ELSE '' END
-                WHEN 2 THEN array_to_string(errors[1:5], '; ') END AS parse_error FROM f""",
+    "conversion_status": _OUTCOMES,
     "page_changes": """SELECT conv_id AS rel_path, turn * 10 AS "offset", turn // 2 % 3 AS page FROM conversations
         QUALIFY page IS DISTINCT FROM lag(page) OVER (PARTITION BY conv_id ORDER BY turn)""",
     "page_map_anchored": f"WITH RECURSIVE {_REPEATED}, {_MARKS} SELECT rel_path, spot AS offset, page FROM marked",
@@ -745,7 +765,7 @@ ORACLE_SQL = {
             FROM (SELECT rel_path, markdown, unnest(range(greatest(1, (length(markdown) + 1999) // 2000))) AS part FROM files))
         SELECT rel_path, bool_or(shared >= 3) AS relevant, coalesce(string_agg('section ' || part, '; ' ORDER BY part) FILTER (shared >= 3), '') AS quotes,
             coalesce(string_agg('overlap=' || shared, '; ' ORDER BY part) FILTER (shared >= 3), '') AS claims FROM parts GROUP BY 1""",
-    "hits_grouped": f"""WITH {_found(2)}, firsts AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, lower(quote) ORDER BY seq) = 1
+    "hits_grouped": f"""WITH {_found(2)}, firsts AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, {_FOLD} ORDER BY seq) = 1
         ), g AS (SELECT rel_path, claim AS heading, min(seq) AS f, count(*) AS hits, count(*) FILTER (overlap > 2) AS verified, count(*) FILTER (overlap <= 2) AS unverified FROM firsts GROUP BY 1, 2)
         SELECT rel_path, heading, row_number() OVER (PARTITION BY rel_path ORDER BY f) - 1 AS place, hits, verified, unverified FROM g""",
     "route_lexical": f"""WITH {_FILES}, cards AS (
@@ -760,11 +780,12 @@ ORACLE_SQL = {
         || string_agg('- ' || claim || ' [' || rel_path || ']', chr(10) ORDER BY n) AS text, 0::BIGINT AS uncited FROM told GROUP BY 1""",
     "quote_snap": rf"""WITH {_CONV}, asked AS (
             SELECT c.conv_id, c.turn, rel_path, c.role, c.text, length(trim(regexp_replace(c.text, '\s+', ' ', 'g'))) >= 40 AS verified
-            FROM conversations c JOIN convs USING (conv_id) WHERE regexp_matches(c.text, '^[A-Za-z]{{4}}'))
+            FROM conversations c JOIN convs USING (conv_id))
         SELECT rel_path, turn AS seq, verified, CASE WHEN verified THEN 'Conversation ' || conv_id || ' / ' || role || ' ' || turn END AS heading_path,
             CASE WHEN verified THEN turn + 1 END AS page, CASE WHEN verified THEN md5(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) END AS digest FROM asked""",
     "ask_route": "WITH " + _asked_sql("met >= 2", "'overlap=' || met") + " SELECT * FROM asked",
     "ask_sweep": f"WITH {_SWEPT} SELECT * FROM asked",
+    "ask_auto": "WITH " + _asked_sql("met >= 2 OR (SELECT count(*) FROM ones) <= 150", "CASE WHEN (SELECT count(*) FROM ones) <= 150 THEN 'sweep' ELSE 'overlap=' || met END") + " SELECT * FROM asked",
     "ask_report": f"""WITH {_SWEPT} SELECT count(*) AS candidates, count(*) FILTER (cached) AS cached, count(*) FILTER (relevant) AS relevant, sum(findings)::BIGINT AS findings,
         count(*) FILTER (relevant AND findings = 0) AS silent FROM asked""",
     "ask_estimate": f"""WITH {_ONES}, sized AS (SELECT *, greatest(1, length(markdown) // 4) AS n FROM carded), sums AS (
