@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, asking, catalogue, drift, ledger, ordering, provenance, reading
+from lectern.operators import answers, asking, catalogue, drift, ledger, ordering, provenance, reading, writing
 from lectern.sources import corpus
 
 #: Words of the fixed question that the lexical judge looks for.
@@ -321,6 +321,68 @@ def _told(s: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("rel_path").alias("answer_id"), number.alias("number"), "rel_path", "claim", "quote", F.concat(F.lit("["), "rel_path", F.lit("]")).alias("cite"))
 
 
+def _answer_evidence(s: SparkSession, d: str) -> DataFrame:
+    """The findings of each file as the evidence of an answer about it."""
+    found = reading.hits(reading.extract(files(s, d), TOPIC, "balanced"))
+    number = F.row_number().over(Window.partitionBy("rel_path").orderBy("seq"))
+    none = F.lit(None)
+    return found.select(
+        F.col("rel_path").alias("answer_id"), number.alias("number"), "rel_path", none.cast("string").alias("heading"), none.cast("int").alias("page"), "claim", "quote",
+        F.concat(F.lit("["), "rel_path", F.lit("]")).alias("cite"),
+    )
+
+
+def _careless(blocks: DataFrame, repair: bool) -> DataFrame:
+    """A writer that forgets the marks of every third number of findings at first, and says nothing about every seventh."""
+    n = F.size(writing.marks(F.col("block")))
+    told = writing.lexical_writer(blocks.withColumn("n", n), repair).join(blocks.select("answer_id", n.alias("n")), "answer_id")
+    bare = F.lit("This sentence makes a claim without a mark.")
+    return told.select("answer_id", F.when(F.col("n") % 7 == 0, "").when((F.col("n") % 3 == 0) & F.lit(not repair), bare).otherwise(F.col("text")).alias("text"))
+
+
+def _reduced(s: SparkSession, d: str) -> DataFrame:
+    rows = writing.reduce_evidence(_answer_evidence(s, d), 150, writing.lexical_condenser)
+    return rows.select("answer_id", (F.col("rounds") > 0).alias("reduced"), F.size(writing.marks(F.col("block"))).cast("long").alias("marks"))
+
+
+def _told_answers(s: SparkSession, d: str) -> DataFrame:
+    questions = files(s, d).select(F.col("rel_path").alias("answer_id"), F.lit("what?").alias("question"))
+    return writing.write_answers(questions, _answer_evidence(s, d), _careless, writing.lexical_condenser, 150)
+
+
+def _scored_answers(s: SparkSession, d: str) -> DataFrame:
+    told = _told_answers(s, d)
+    must = told.select("answer_id", F.array(F.lit("docs/"), F.lit("speaks to")).alias("must_cite"))
+    return writing.score_answers(told, must).withColumn("validity", F.round("validity", 9))
+
+
+def _raw_replies(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Replies with a finding for each sentence that by the id are whole, cut off late, empty, prose, without a field, too sure, cut off early, or fenced;
+    and what a second request gave for every third id."""
+    found = F.transform(T.sentences(F.col("markdown")), lambda q: F.struct(F.lit("c").alias("claim"), q.alias("quote")))
+    reply = lambda *fields: F.to_json(F.struct("file_hash", *fields, F.lit("r").alias("reasoning"), found.alias("findings")))
+    sure = lambda c: F.lit(c).alias("confidence")
+    yes, kind = F.lit(True).alias("relevant"), F.col("doc_id") % 8
+    whole = reply(yes, sure(0.5))
+    raw = (
+        F.when(kind == 1, F.substring(whole, F.lit(1), F.char_length(whole) - 4)).when(kind == 2, "").when(kind == 3, "I think so.").when(kind == 4, reply(sure(0.5)))
+        .when(kind == 5, reply(yes, sure(1.5))).when(kind == 6, F.substring(whole, 1, 20)).when(kind == 7, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    )
+    f = files(s, d)
+    first = f.select("rel_path", raw.alias("raw"), F.when(kind.isin(1, 6), "length").otherwise("stop").alias("finish_reason"))
+    return first, f.where("doc_id % 3 = 0").select("rel_path", whole.alias("raw"), F.lit("stop").alias("finish_reason"))
+
+
+def _checked(s: SparkSession, d: str) -> DataFrame:
+    rows = answers.checked_replies(_raw_replies(s, d)[0])
+    return rows.select("rel_path", "status", "reason", F.when(F.col("reply").isNotNull(), F.size("reply.findings")).cast("long").alias("findings"))
+
+
+def _mended(s: SparkSession, d: str) -> DataFrame:
+    rows = answers.repaired_replies(*_raw_replies(s, d), "rel_path")
+    return rows.select("rel_path", "status", F.col("attempts").cast("long").alias("attempts"), F.when(F.col("reply").isNotNull(), F.size("reply.findings")).cast("long").alias("findings"))
+
+
 ASKED = TOPIC + WANTED
 
 
@@ -440,6 +502,11 @@ QUERIES = {
     "evidence_block": lambda s, d: answers.evidence_block(_told(s, d)).select("answer_id", F.md5("block").alias("digest")),
     "claims_digest": lambda s, d: answers.claims_digest(_told(s, d)),
     "fallback_digest": lambda s, d: answers.fallback_digest(_told(s, d)).select("answer_id", "text", "uncited"),
+    "evidence_reduced": _reduced,
+    "answers_written": lambda s, d: _told_answers(s, d).select("answer_id", "text", "sources", "resolved", "uncited", F.col("passes").cast("long").alias("passes")),
+    "answers_scored": _scored_answers,
+    "replies_checked": _checked,
+    "replies_repaired": _mended,
     "ask_route": _asked_rows("route"),
     "ask_sweep": _asked_rows("sweep"),
     "ask_auto": _asked_rows("auto"),
@@ -601,6 +668,23 @@ def _chunks_sql(name: str, tokens: int) -> str:
 _TOLD = f"{_found(3)}, told AS (SELECT rel_path, claim, quote, row_number() OVER (PARTITION BY rel_path ORDER BY seq) AS n FROM (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, {_FOLD} ORDER BY seq) = 1))"
 
 
+_ABOUT = f"{_found(2)}, about AS (SELECT rel_path, claim, quote, row_number() OVER (PARTITION BY rel_path ORDER BY seq) AS n FROM (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY rel_path, {_FOLD} ORDER BY seq) = 1))"
+_ANSWERS = f"""{_ABOUT}, told AS (
+    SELECT f.rel_path, count(n) AS k, string_agg('One finding speaks to this [' || f.rel_path || '].', ' ') AS said, string_agg('- ' || claim || ' [' || f.rel_path || ']', chr(10) ORDER BY n) AS listed
+    FROM files f LEFT JOIN about a ON a.rel_path = f.rel_path GROUP BY 1
+), answers AS (
+    SELECT rel_path AS answer_id, CASE WHEN k = 0 THEN '{writing.NOTHING}' WHEN k % 7 = 0 THEN 'No usable answer was written; these are the findings and their sources:' || chr(10) || chr(10) || listed ELSE said END AS text,
+        CASE WHEN k = 0 THEN 'Sources: none' ELSE 'Sources:' || chr(10) || '  ' || rel_path || ' — (whole file)' END AS sources, k AS resolved, 0::BIGINT AS uncited,
+        CASE WHEN k % 7 = 0 THEN 0 WHEN k % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS passes FROM told)"""
+_CHECKED = f"""{_FILES}, cut AS (
+    SELECT doc_id, rel_path, len(list_filter(string_split(regexp_replace(markdown, '([.!?])[ \\t\\r\\n\\f]+', concat('\\1', chr(1)), 'g'), chr(1)), lambda s: s <> '')) AS n FROM files
+), checked AS (
+    SELECT *, CASE doc_id % 8 WHEN 1 THEN CASE WHEN n = 0 THEN 'truncated' ELSE 'salvaged' END WHEN 2 THEN 'empty' WHEN 3 THEN 'not json' WHEN 4 THEN 'missing field'
+            WHEN 5 THEN 'out of range' WHEN 6 THEN 'truncated' ELSE 'ok' END AS status,
+        CASE doc_id % 8 WHEN 4 THEN 'relevant' WHEN 5 THEN 'confidence 1.5' ELSE '' END AS reason,
+        CASE WHEN doc_id % 8 IN (0, 7) THEN n WHEN doc_id % 8 = 1 AND n > 0 THEN n - 1 END AS findings FROM cut)"""
+
+
 def _packed(units: str, key: str, order: str, budget: int, most: int) -> str:
     """units (key, order, tokens) packed greedily, by walking each group."""
     return f"""{units}, ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM units
@@ -783,6 +867,13 @@ ORACLE_SQL = {
             FROM conversations c JOIN convs USING (conv_id))
         SELECT rel_path, turn AS seq, verified, CASE WHEN verified THEN 'Conversation ' || conv_id || ' / ' || role || ' ' || turn END AS heading_path,
             CASE WHEN verified THEN turn + 1 END AS page, CASE WHEN verified THEN md5(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) END AS digest FROM asked""",
+    "evidence_reduced": f"""WITH {_ABOUT} SELECT rel_path AS answer_id, length(string_agg('[' || n || ']' || chr(10) || '    claim: ' || claim || chr(10) || '    quote: ' || quote, chr(10))) // 4 > 150 AS reduced,
+        count(*) AS marks FROM about GROUP BY 1""",
+    "answers_written": f"WITH {_ANSWERS} SELECT answer_id, text, sources, resolved, uncited, passes FROM answers",
+    "answers_scored": f"WITH {_ANSWERS} SELECT answer_id, 1.0::DOUBLE AS validity, contains(text || chr(10) || sources, 'docs/') AND contains(text || chr(10) || sources, 'speaks to') AS must_cite_ok FROM answers",
+    "replies_checked": f"WITH {_CHECKED} SELECT rel_path, status, reason, findings FROM checked",
+    "replies_repaired": f"""WITH {_CHECKED} SELECT rel_path, CASE WHEN again THEN 'ok' ELSE status END AS status, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS attempts, CASE WHEN again THEN n ELSE findings END AS findings
+        FROM (SELECT *, findings IS NULL AND status <> 'empty' AND doc_id % 3 = 0 AS again FROM checked)""",
     "ask_route": "WITH " + _asked_sql("met >= 2", "'overlap=' || met") + " SELECT * FROM asked",
     "ask_sweep": f"WITH {_SWEPT} SELECT * FROM asked",
     "ask_auto": "WITH " + _asked_sql("met >= 2 OR (SELECT count(*) FROM ones) <= 150", "CASE WHEN (SELECT count(*) FROM ones) <= 150 THEN 'sweep' ELSE 'overlap=' || met END") + " SELECT * FROM asked",
