@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.grounding import folded, spans_of
 from lectern.operators.ordering import running
+from lectern.sources.shared import written
 
 RELEVANCE = {"recall": 1, "balanced": 2, "strict": 3}
 
@@ -128,28 +129,79 @@ def plan_sections(files: DataFrame, window: int = 32768, max_tokens: int = 1024,
     return split_sections(files, 3 * max(window - overhead - max_tokens, 1000))
 
 
+#: What stands between words, in lower case.
+BETWEEN = r"[^\p{L}\p{N}]+"
+
+
+def _run_keys(words: str) -> Column:
+    """Hashes of an array's runs of three words."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda k: F.xxhash64(F.get(words, k), F.get(words, k + 1), F.get(words, k + 2)))
+    return F.when(F.size(words) >= 3, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def _word_keys(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def ground_exact(quotes: DataFrame, files: DataFrame, block: int = 200) -> DataFrame:
     """Where quotes (item_id, quote) stand word for word, ignoring case: item_id, rel_path, offset (code points of the first place).
 
-    A quote of five words or more holds its second to fourth as whole words wherever it stands. Hashes of such runs of three lead from
-    the files' words to the quotes by a join, and only these pairs are looked at. Shorter quotes, a stated query set, are tried on
-    all files in blocks of about `block`, a row each. Empty quotes stand at the start of every file.
+    1. The words inside a quote, all but what touches its ends, stand in a text as they are. Its keys are the hashes of its runs of three such words, or of
+       the words, if it has fewer. One pass over the texts keeps the postings of those keys that some quote has.
+    2. Postings are counted, and a quote meets the files of its rarest key alone; a quote with a key that no file has is nowhere.
+    3. Only these pairs of file and quote are compared.
+    A quote of one or two pieces of words is first led to the words of the corpus that end, begin or go on with it, by its longer piece, in blocks of about
+    `block` such quotes, a row each; these words are its keys, any of which will do. Quotes without words are tried on all files, in such
+    blocks; empty ones stand at the start of every file. Null quotes stand nowhere. Passes and blocks for kinds of quotes that aren't there are left out.
     """
-    said = lambda c: F.regexp_extract_all(c, F.lit(r"([\\p{L}\\p{N}]+)"), F.lit(1))
     low = files.select("rel_path", F.lower("markdown").alias("low"))
-    asked = quotes.select("item_id", F.lower("quote").alias("q")).where("q is not null").withColumn("w", said(F.col("q")))
-    run = lambda w, k: F.xxhash64(F.get(w, k), F.get(w, k + 1), F.get(w, k + 2))
-    keyed = asked.where(F.size("w") >= 5).select("item_id", "q", run(F.col("w"), F.lit(1)).alias("run"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda k: run(F.col("w"), k)))
-    words = low.select("rel_path", said(F.col("low")).alias("w")).where(F.size("w") >= 3).select("rel_path", F.explode(runs).alias("run"))
-    met = words.join(keyed, "run").select("rel_path", "item_id", "q").distinct()
-    found = low.join(met, "rel_path").select("item_id", "rel_path", (F.instr(F.col("low"), F.col("q")) - 1).alias("offset")).where("offset >= 0")
-
-    short = asked.where(F.size("w") < 5)
-    blocks = max(1, -(-short.count() // block))
-    packed = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "q")).alias("qs")).drop("block")
-    tried = low.crossJoin(packed).select("rel_path", F.explode(F.transform("qs", lambda q: F.struct(q["item_id"].alias("item_id"), (F.instr(F.col("low"), q["q"]) - 1).alias("offset")))).alias("f"))
-    return found.unionByName(tried.select("f.item_id", "rel_path", "f.offset").where("offset >= 0"))
+    said = low.select("rel_path", F.split("low", BETWEEN, -1).alias("w"))
+    asked = quotes.select("item_id", F.lower("quote").alias("q")).where("q is not null").withColumn("w", F.split("q", BETWEEN, -1))
+    asked = written(asked.select("item_id", "q", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))).alias("inner"), "w"), "quotes")
+    kinds = {r["kind"]: r["n"] for r in asked.groupBy(_quote_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def postings(wanted: DataFrame, *keys: Column) -> DataFrame:
+        each = said.select("rel_path", F.explode(F.array_distinct(F.concat(*keys))).alias("key"))
+        return written(each.join(wanted.select("key").distinct(), "key"), "postings")
+
+    pairs = [asked.select("item_id", F.lit("").alias("rel_path")).limit(0)]
+    if kinds.get("run") or kinds.get("word"):
+        own = asked.where(_quote_kind().isin("run", "word"))
+        own = own.select("item_id", "q", F.explode(F.when(_quote_kind() == "run", _run_keys("inner")).otherwise(_word_keys("inner"))).alias("key"))
+        own = written(own, "quote-keys")
+        found = postings(own, *[_run_keys("w")] * ("run" in kinds), *[_word_keys("w")] * ("word" in kinds))
+        counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        rarest = own.join(counts, "key", "left").groupBy("item_id", "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r")).where("r.n > 0")
+        pairs.append(rarest.select("item_id", F.col("r.key").alias("key")).join(found, "key").select("item_id", "rel_path"))
+    if kinds.get("piece"):
+        first, last = F.get("w", 0), F.get("w", F.size("w") - 1)
+        ends = F.size("w") > 1
+        piece = F.when(~ends, first).when(F.char_length(first) >= F.char_length(last), first).otherwise(last)
+        how = F.when(~ends, "in").when(F.char_length(first) >= F.char_length(last), "end").otherwise("start")
+        few = asked.where(_quote_kind() == "piece").select("item_id", piece.alias("p"), how.alias("how"))
+        packed = few.groupBy(F.pmod(F.xxhash64("item_id", "p"), F.lit(-(-kinds["piece"] // block))).alias("block")).agg(F.collect_list(F.struct("item_id", "p", "how")).alias("qs")).drop("block")
+        words = said.select(F.explode(F.array_distinct("w")).alias("word")).distinct()
+        fits = lambda q: F.when(q["how"] == "in", F.contains("word", q["p"])).when(q["how"] == "end", F.endswith("word", q["p"])).otherwise(F.startswith("word", q["p"]))
+        led = words.crossJoin(packed).select("word", F.explode(F.transform(F.filter("qs", fits), lambda q: q["item_id"])).alias("item_id"))
+        led = written(led.select("item_id", F.xxhash64("word").alias("key")).distinct(), "led-words")
+        pairs.append(led.join(postings(led, _word_keys("w")), "key").select("item_id", "rel_path"))
+    met = pairs[0]
+    for more in pairs[1:]:
+        met = met.unionByName(more)
+    met = written(met.distinct(), "met")
+    at = lambda q: F.instr(F.col("low"), q) - 1
+    found = low.join(met, "rel_path").join(asked.select("item_id", "q"), "item_id").select("item_id", "rel_path", at(F.col("q")).alias("offset"))
+    if kinds.get("none"):
+        bare = asked.where(_quote_kind() == "none")
+        packed = bare.groupBy(F.pmod(F.xxhash64("item_id", "q"), F.lit(-(-kinds["none"] // block))).alias("block")).agg(F.collect_list(F.struct("item_id", "q")).alias("qs")).drop("block")
+        tried = low.crossJoin(packed).select("rel_path", F.explode(F.transform("qs", lambda q: F.struct(q["item_id"].alias("item_id"), at(q["q"]).alias("offset")))).alias("f"))
+        found = found.unionByName(tried.select("f.item_id", "rel_path", "f.offset"))
+    return found.where("offset >= 0").distinct()
+
+
+def _quote_kind() -> Column:
+    """Whether a quote has three words inside, one or two, pieces of words at its ends only, or none."""
+    return F.when(F.size("inner") >= 3, "run").when(F.size("inner") > 0, "word").when(F.exists("w", lambda w: w != ""), "piece").otherwise("none")
 
 
 def hits(findings: DataFrame) -> DataFrame:
