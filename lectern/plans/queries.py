@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, asking, catalogue, drift, ledger, ordering, provenance, reading, writing
+from lectern.operators import answers, asking, catalogue, drift, ledger, ordering, provenance, reading, vectors, writing
 from lectern.sources import corpus
 
 #: Words of the fixed question that the lexical judge looks for.
@@ -383,6 +383,27 @@ def _mended(s: SparkSession, d: str) -> DataFrame:
     return rows.select("rel_path", "status", F.col("attempts").cast("long").alias("attempts"), F.when(F.col("reply").isNotNull(), F.size("reply.findings")).cast("long").alias("findings"))
 
 
+def _searched(s: SparkSession, d: str, exact: bool) -> DataFrame:
+    """Every hundredth vector against all, in an index of 16 lists, of which a query reads 14 first: the test vectors lie so evenly that fewer find less than nine tenths."""
+    every = embeddings(s, d)
+    centres = vectors.fit(every, 16)
+    queries = every.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vectors.search(vectors.index(every, centres), centres, queries, 10, 14, exact)
+
+
+def _recalled(s: SparkSession, d: str) -> DataFrame:
+    """Whether reading the first lists alone has found nine tenths of the nearest vectors, over all queries."""
+    first, truth = _searched(s, d, False), _searched(s, d, True)
+    met = truth.join(first.select("query_id", "vec_id", F.lit(1).alias("met")), ["query_id", "vec_id"], "left")
+    return met.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("hits"), (F.count("met") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+def _reranked(s: SparkSession, d: str) -> DataFrame:
+    """The five hits of each query that a reranker puts first which likes ids near the query's."""
+    hits = _searched(s, d, True)
+    return vectors.reranked(hits, lambda h: h.withColumn("rerank", 1 / (1 + F.abs(F.col("vec_id") - F.col("query_id")))), 5).select("query_id", "vec_id", "score", F.round("rerank", 9).alias("rerank"))
+
+
 ASKED = TOPIC + WANTED
 
 
@@ -482,6 +503,9 @@ QUERIES = {
     "score_citations": _citation_scores,
     "json_salvage": _replies,
     "vector_topk": lambda s, d: ledger.nearest(embeddings(s, d), embeddings(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10),
+    "vector_inverted_file": lambda s, d: _searched(s, d, True),
+    "vector_recall": _recalled,
+    "vector_reranked": _reranked,
     "index_apply": _applied,
     "index_forced": _forced,
     "call_costs": _served,
@@ -582,7 +606,7 @@ _INDEX = _DRIFT.replace("known AS (", "every AS (", 1).replace(
     SELECT k.file_hash, coalesce(m.rel_path, k.rel_path) AS rel_path, 0::BIGINT AS size_bytes, true AS kept FROM known k LEFT JOIN drifts m ON m.file_hash = k.file_hash AND m.drift = 'moved'
     WHERE k.file_hash NOT IN (SELECT file_hash FROM gone) AND k.file_hash NOT IN (SELECT file_hash FROM taken)
     UNION ALL SELECT *, false FROM taken)"""
-_MARKDOWN = r"regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<head>.*?</head>', '', 'g')"
+_MARKDOWN = r"regexp_replace(regexp_replace(coalesce(html, ''), '\s+', ' ', 'g'), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<head>.*?</head>', '', 'g')"
 for _level in range(1, 7):
     _MARKDOWN = rf"regexp_replace({_MARKDOWN}, '<h{_level}[^>]*>', concat(chr(10), '{'#' * _level} '), 'g')"
 _MARKDOWN = rf"regexp_replace({_MARKDOWN}, '<li[^>]*>', concat(chr(10), '- '), 'g')"
@@ -727,6 +751,11 @@ _SWEPT = _asked_sql("true", "'sweep'")
 
 _KEY = "sha256('what?' || chr(0) || chr(0) || 'balanced')"
 
+_TOPK = """SELECT query_id, vec_id, score FROM (
+            SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+            FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
+
 ORACLE_SQL = {
     "corpus_scan": f"WITH {_FILES} SELECT rel_path, file_hash, strlen(markdown) AS size_bytes, 'txt' AS format FROM files",
     "token_counts": f"WITH {_FILES} SELECT rel_path, greatest(1, length(markdown) // 4) AS tokens FROM files",
@@ -816,10 +845,11 @@ ORACLE_SQL = {
     "json_salvage": f"""WITH {_FILES}, cut AS (
             SELECT doc_id, rel_path, len(list_filter(string_split(regexp_replace(markdown, '([.!?])[ \\t\\r\\n\\f]+', concat('\\1', chr(1)), 'g'), chr(1)), lambda s: s <> '')) AS n FROM files)
         SELECT rel_path, greatest(0, n - doc_id % 2) AS findings FROM cut""",
-    "vector_topk": """SELECT query_id, vec_id, score FROM (
-            SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-            FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    "vector_topk": _TOPK,
+    "vector_inverted_file": _TOPK,
+    "vector_recall": f"SELECT count(DISTINCT query_id) AS queries, count(*) AS hits, true AS enough FROM ({_TOPK})",
+    "vector_reranked": f"""SELECT query_id, vec_id, score, round(1.0::DOUBLE / (1 + abs(vec_id - query_id)), 9) AS rerank FROM ({_TOPK})
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), score DESC, vec_id) <= 5""",
     "index_apply": f"WITH {_INDEX} SELECT file_hash, rel_path, size_bytes FROM after",
     "index_forced": f"WITH {_DRIFT} SELECT d.* REPLACE (CASE WHEN drift = 'unchanged' AND f.doc_id % 7 = 0 THEN 'forced' ELSE drift END AS drift) FROM drifts d LEFT JOIN files f USING (rel_path)",
     "call_costs": """WITH calls AS (SELECT event_id, event_type AS task, ['small', 'host/large', 'large', 'unknown'][event_id % 4 + 1] AS served, event_id % 5000 AS i, event_id % 77 AS o FROM events)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.markdown import markdown_of
+
 EXTENSIONS = ("pdf", "docx", "doc", "md", "markdown", "txt")
 INDEX_DIR = ".lectern"
 
@@ -21,22 +23,9 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return _rows(docs, F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")), "txt", F.col("text"), "doc_id")
 
 
-def html_to_markdown(html: F.Column) -> F.Column:
-    """Scripts, styles, heads and comments go; headings, items and paragraphs become lines; other tags go."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<head>.*?</head>", "")
-    for level in range(1, 7):
-        out = F.regexp_replace(out, rf"<h{level}[^>]*>", "\n" + "#" * level + " ")
-    out = F.regexp_replace(out, r"<li[^>]*>", "\n- ")
-    out = F.regexp_replace(out, r"</?(p|div|ul|ol|article|nav|footer|h[1-6]|br)[^>]*>", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, r"<[^>]*>", ""), r"[ \t]*\n[ \t\n]*", "\n")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(out, r"^\n+|\n+$", "")
-
-
 def from_pages(pages: DataFrame) -> DataFrame:
     path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
-    return _rows(pages, path, "html", html_to_markdown(F.col("html")), "page_id")
+    return _rows(pages, path, "html", markdown_of(F.col("html")), "page_id")
 
 
 def from_conversations(turns: DataFrame) -> DataFrame:
