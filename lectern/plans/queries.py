@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answers, asking, catalogue, drift, ledger, ordering, provenance, reading, vectors, writing
-from lectern.sources import corpus
+from lectern.operators import answers, asking, catalogue, drift, ledger, ordering, provenance, reading, store, vectors, writing
+from lectern.sources import corpus, shared
 
 #: Words of the fixed question that the lexical judge looks for.
 TOPIC = ["that", "this", "with", "from", "tion", "ment"]
@@ -199,6 +199,23 @@ def _applied(s: SparkSession, d: str) -> DataFrame:
     return catalogue.apply_drift(*_index(s, d))
 
 
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """The index on disk after two runs: over an earlier state of the documents, as _known() has it, and over the documents."""
+    f, m = files(s, d), F.col("doc_id") % 10
+    path = F.when(m == 1, F.concat(F.lit("old/"), "rel_path")).otherwise(F.col("rel_path"))
+    earlier = f.where(m != 3).select(path.alias("rel_path"), F.when(m == 2, F.concat("markdown", F.lit("!"))).otherwise(F.col("markdown")).alias("markdown"))
+    earlier = earlier.unionByName(f.where(m == 4).select(F.concat(F.lit("gone/"), "rel_path").alias("rel_path"), F.concat("markdown", F.lit("?")).alias("markdown")))
+    scanned = lambda df: df.select(
+        "rel_path", F.sha2("markdown", 256).alias("file_hash"), F.octet_length("markdown").cast("long").alias("size_bytes"), F.lit("txt").alias("format"), F.lit("ok").alias("parse_status"),
+        "markdown", F.array().cast("array<struct<offset:int,page:int>>").alias("page_marks"),
+    )
+    index = store.Store(s, shared.new_path(s, "index"), digits=1)
+    for k, rows in enumerate((earlier, f)):
+        store.run_index(index, scanned(rows), "documents", F.timestamp_seconds(F.lit(k)))
+    chunked = index.read("chunks").select("file_hash", F.lit(True).alias("chunked")).distinct()
+    return index.read("files").join(chunked, "file_hash", "left").select("file_hash", "rel_path", "size_bytes", F.coalesce("chunked", F.lit(False)).alias("chunked"))
+
+
 def _cards_left(s: SparkSession, d: str) -> DataFrame:
     known, scan, change = _index(s, d)
     return catalogue.dependents(known.select("file_hash", F.lit("card").alias("card")), known, catalogue.apply_drift(known, scan, change), change)
@@ -507,6 +524,7 @@ QUERIES = {
     "vector_recall": _recalled,
     "vector_reranked": _reranked,
     "index_apply": _applied,
+    "index_stored": _stored,
     "index_forced": _forced,
     "call_costs": _served,
     "index_cascade": lambda s, d: _cards_left(s, d).select("file_hash"),
@@ -851,6 +869,8 @@ ORACLE_SQL = {
     "vector_reranked": f"""SELECT query_id, vec_id, score, round(1.0::DOUBLE / (1 + abs(vec_id - query_id)), 9) AS rerank FROM ({_TOPK})
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), score DESC, vec_id) <= 5""",
     "index_apply": f"WITH {_INDEX} SELECT file_hash, rel_path, size_bytes FROM after",
+    "index_stored": f"""WITH {_INDEX} SELECT a.file_hash, a.rel_path, any_value(strlen(f.markdown)) AS size_bytes, any_value(regexp_matches(f.markdown, '\\S')) AS chunked
+        FROM after a JOIN files f ON f.file_hash = a.file_hash GROUP BY 1, 2""",
     "index_forced": f"WITH {_DRIFT} SELECT d.* REPLACE (CASE WHEN drift = 'unchanged' AND f.doc_id % 7 = 0 THEN 'forced' ELSE drift END AS drift) FROM drifts d LEFT JOIN files f USING (rel_path)",
     "call_costs": """WITH calls AS (SELECT event_id, event_type AS task, ['small', 'host/large', 'large', 'unknown'][event_id % 4 + 1] AS served, event_id % 5000 AS i, event_id % 77 AS o FROM events)
         SELECT event_id, task, served, round((CASE WHEN task = 'click' AND served IN ('large', 'host/large') THEN 2.0 * i WHEN task = 'purchase' AND served = 'large' THEN 0.5 * o
