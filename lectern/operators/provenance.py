@@ -107,8 +107,8 @@ def token_chunks(files: DataFrame, target_tokens: int = 512) -> DataFrame:
     cuts = F.transform(F.sequence(F.lit(0), F.ceil(size / most).cast("int") - 1), lambda j: F.struct(j.alias("j"), F.substring(F.col("line"), j * most + 1, F.lit(most)).alias("text")))
     parts = _lines(chosen).select("rel_path", "section", "heading_path", "k", "start", F.explode(cuts).alias("c"))
     parts = parts.select("rel_path", "section", "heading_path", "k", "c.j", (F.col("start") + F.col("c.j") * most).alias("start"), "c.text")
-    units = parts.select(F.struct("rel_path", "section").alias("home"), "k", "j", F.char_length("text").alias("tokens"))
-    packed = reading.batches(units, "home", ["k", "j"], most).select("home.rel_path", "home.section", "k", "j", "batch")
+    units = parts.select("rel_path", "section", "k", "j", F.char_length("text").alias("tokens"))
+    packed = reading.batches(units, ["rel_path", "section"], ["k", "j"], most).drop("tokens")
     whole = parts.join(packed, ["rel_path", "section", "k", "j"]).groupBy("rel_path", "section", "batch").agg(
         F.first("heading_path").alias("heading_path"), F.min("start").alias("char_start"), F.array_join(F.sort_array(F.collect_list(F.struct("start", "text")))["text"], "").alias("text"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -267,23 +269,29 @@ def render_card(file_hash: Column, rel_path: Column, doc_type: Column, terms: Co
     )
 
 
-def batches(units: DataFrame, group: str, order: list[str], budget: int, most: int | None = None) -> DataFrame:
-    """units with batch, numbered from 0 in each group: a new batch begins where the tokens would exceed budget, or units
-    exceed most; a unit over the budget is a batch of its own. A group, such as a file, is packed in one task from its
-    order and tokens alone, so groups should hold no more than some hundred thousand units."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, numbers, batch, used, held = rows.sort_values(order), [], 0, 0, 0
-        for tokens in rows["tokens"]:
-            if held and (used + tokens > budget or held == most):
-                batch, used, held = batch + 1, 0, 0
-            used, held = used + tokens, held + 1
-            numbers.append(batch)
-        return rows.assign(batch=numbers)
-
-    slim = units.select(group, *order, "tokens")
+def batches(units: DataFrame, group: str | list[str], order: list[str], budget: int, most: int | None = None) -> DataFrame:
+    """units with batch, numbered from 0 in each group (one column or several): a new batch begins where the tokens would exceed budget, or units
+    exceed most; a unit over the budget is a batch of its own. A group, such as a file, is walked in one task, from its
+    order and tokens alone; tasks walk many groups one after the other, and hold some thousand units at a time."""
+    keys = [group] if isinstance(group, str) else group
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, batch, used, held = None, 0, 0, 0
+        for rows in frames:
+            numbers = []
+            for *key, tokens in zip(*[rows[k] for k in keys], rows["tokens"], strict=True):
+                key = [None if pd.isna(k) else k for k in key]
+                if key != last:
+                    last, batch, used, held = key, 0, 0, 0
+                if held and (used + tokens > budget or held == most):
+                    batch, used, held = batch + 1, 0, 0
+                used, held = used + tokens, held + 1
+                numbers.append(batch)
+            yield rows.assign(batch=numbers)
+
+    slim = units.select(*keys, *order, "tokens").repartition(*keys).sortWithinPartitions(*keys, *order)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", batch long"
-    return slim.groupBy(group).applyInPandas(run, schema)
+    return slim.mapInPandas(run, schema)
 
 
 def ground(findings: DataFrame, files: DataFrame, at_a_time: int = 500) -> DataFrame:
