@@ -105,6 +105,18 @@ def choice(doc_id, shards):
     return min(range(shards), key=lambda k: (scores[k], k))
 
 
+@pytest.mark.parametrize("run", [1, 7, 65_536])
+def test_hot_ids_and_equal_rows_are_split_and_numbered_without_gaps(spark, run):
+    rows = [(None, f"text {k % 200}") for k in range(600)] + [(5, f"t{k}") for k in range(300)] + [(6, "same")] * 50
+    got = sharding.rendezvous_shards(table(spark, rows), run=run).collect()
+    assert len(got) == len(rows) and {r.shard for r in got if r.doc_id is None} == {choice(None, 16)}
+    for shard in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    equal = sorted(r.slot for r in got if r.doc_id == 6)
+    assert equal == list(range(equal[0], equal[0] + 50))
+
+
 def test_shards_match_brute_force(spark):
     rows = ODD + [(i, f"t{i}") for i in range(100, 900)]
     got = sharding.rendezvous_shards(table(spark, rows), cells=8).collect()
