@@ -37,8 +37,20 @@ def _record(kind: Column, record_id: Column, mime: str, block: Column, *headers:
     )
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 15_000) -> None:
-    """Writes gzipped archives of up to per_file records to path: three records for each row of pages.
+def size_classes(per_file: int, most_bytes: int) -> list[tuple[int, int]]:
+    """(bytes, records): pages of up to so many bytes go into archives of up to so many records, three a page. The payloads of an archive are at most about
+    most_bytes, or those of one page."""
+    out = []
+    while not out or out[-1][1] > 3:
+        records = max(3, per_file // 16 ** len(out) // 3 * 3)
+        out.append((3 * most_bytes // records, records))
+    return out
+
+
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 15_000, most_bytes: int = 1 << 30) -> None:
+    """Writes gzipped archives of up to per_file records to folders in path: three records for each row of pages. Pages of very many bytes
+    go into folders of their own, with fewer records an archive, so that its payloads stay below most_bytes: a task reads an archive at a time. A single page is
+    bounded by what a string of Spark can hold, 2 GB.
 
     Spark's text writer does it, with a record's closing line ends as the line separator, so archives are committed
     as whole files in any file system and a lost task leaves none. The page with the least id of equal payloads of
@@ -55,6 +67,15 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     firsts = keys.where(F.col("bytes") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     known = keys.join(firsts, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "rows", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
     known = written(known, "pages")
+    classes = size_classes(per_file, most_bytes)
+    of_size = F.coalesce(*[F.when(F.col("bytes") <= most, F.lit(k)) for k, (most, _) in enumerate(classes)], F.lit(len(classes) - 1))
+    present = sorted(r["k"] for r in keys.select(of_size.alias("k")).distinct().collect()) or [0]
+    for k in present:
+        some = rows.where(of_size == k) if len(present) > 1 else rows
+        _write(some, known, f"{path}/size={k}", date, classes[k][1])
+
+
+def _write(rows: DataFrame, known: DataFrame, path: str, date: str, per_file: int) -> None:
     of = lambda some: rows.join(some.hint("shuffle_hash"), rows["page_id"].eqNullSafe(some["p"]) & (rows["digest"] == some["d"]))
     repeated = of(known.where("rows > 1")).withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
     rows = of(known.where("rows = 1")).withColumn("copy", F.lit(1)).unionByName(repeated)

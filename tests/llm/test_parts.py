@@ -1,5 +1,6 @@
 """Packing, sharding, archives, page texts, languages and licences: round trips, brute force and odd inputs."""
 
+import gzip
 import html
 import itertools
 import math
@@ -105,6 +106,20 @@ def choice(doc_id, shards):
     return min(range(shards), key=lambda k: (scores[k], k))
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    assert warc.size_classes(15_000, 1 << 30) == [(214748, 15_000), (3441480, 936), (56512727, 57), (1 << 30, 3)]
+    sizes = [10, 400, 5000, 5001, 90_000, 1_000_000]
+    pages = spark.createDataFrame([(k, f"u{k}", str(k) * size) for k, size in enumerate(sizes)] + [(50 + k, "v", "x" * 10) for k in range(40)], "page_id long, url string, html string")
+    warc.write_archives(pages.repartition(1), str(tmp_path / "a"), per_file=48, most_bytes=80_000)
+    files = [(f.parent.name, gzip.decompress(f.read_bytes())) for f in (tmp_path / "a").glob("size=*/*.gz")]
+    assert {name for name, _ in files} == {"size=0", "size=1"}
+    for name, data in files:
+        pages_in = data.count(b"WARC-Type: metadata")
+        assert pages_in <= (16 if name == "size=0" else 1) and (len(data) < 80_000 + 3000 * pages_in or pages_in == 1)
+    got = {r.page_id: r.payload_bytes for r in warc.round_trip(pages).collect()}
+    assert got == {k: size for k, size in enumerate(sizes)} | {50 + k: 10 for k in range(40)}
+
+
 @pytest.mark.parametrize("run", [1, 7, 65_536])
 def test_hot_ids_and_equal_rows_are_split_and_numbered_without_gaps(spark, run):
     rows = [(None, f"text {k % 200}") for k in range(600)] + [(5, f"t{k}") for k in range(300)] + [(6, "same")] * 50
