@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import ledger, reading
+from lectern.sources.shared import written
 
 VERDICT = ["relevant", "confidence", "reasoning", "findings"]
 #: Sections (rel_path, section, text) to verdicts (rel_path, section, relevant, confidence, reasoning, findings array<struct<claim, quote>>).
@@ -47,7 +48,7 @@ def ask(
         cards = cards.unionByName(reading.lexical_cards(reading.without_cards(files, cards)).select(cards.columns))
     chosen = reading.candidates(files, cards, topic, mode, threshold)
     kept = stored.where((F.col("question_hash") == question_hash) & (F.col("model") == model) & F.lit(use_cache))
-    probed = chosen.join(kept.select("file_hash", *VERDICT, F.lit(True).alias("cached")), "file_hash", "left")
+    probed = written(chosen.join(kept.select("file_hash", *VERDICT, F.lit(True).alias("cached")), "file_hash", "left"), "probed")
     missing = probed.where("cached is null").select("rel_path", "file_hash", "reason")
     texts = files.join(missing.select("file_hash"), "file_hash", "left_semi")
     told = missing.join(reading.merge_verdicts(judge(reading.plan_sections(texts, window))), "rel_path", "left")
