@@ -1,42 +1,17 @@
-"""Tables written to the shared folder, which cut lineage and outlive executors."""
+"""Tables written to the shared folder, rows found again by number, and those that others want."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the filter of among() for each wanted value, and at most: 32 MB.
-FILTER_BITS, MOST_BITS = 16, 1 << 28
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh one if that is unset and Spark runs in one process.
+from lectern.sources.shared import new_path, shared_dir, written
 
-    On a cluster an unset folder is an error, as a machine's own disk isn't seen by the others.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+__all__ = ["ROW", "among", "new_path", "numbered", "shared_dir", "written"]
 
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lectern/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once: written as Parquet to the shared folder and read again. Works for no rows."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bits of the filter of among() for each wanted value, and at most: 32 MB.
+FILTER_BITS, MOST_BITS = 16, 1 << 28
 
 
 def among(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
