@@ -14,8 +14,8 @@ from lectern.llm.scratch import among, written
 from lectern.llm.shingles import with_shingles, words
 
 BANDS, ROWS = 25, 5
-#: Shingles that a task signs at a time; a longer document is signed by itself.
-AT_A_TIME = 400_000
+#: Shingles that a task signs, or makes a set of, at a time; a longer document is taken by itself.
+AT_A_TIME = 150_000
 #: Deviations of a signature's estimate by which a pair may fall short of the threshold and still be verified.
 DEVIATIONS = 3.6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -122,12 +122,14 @@ def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (key, shingles) to (key, units): the k-th copy of a shingle is a unit of its own, so bags become sets."""
     for batch in batches:
         values, offsets = _lists(batch.column(1))
-        docs = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        doc, shingle, count = counted(docs, values[offsets[0] : offsets[-1]])
-        copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        units = mix(np.repeat(shingle, count).view(np.uint64) + GOLDEN * copy.astype(np.uint64)).view(np.int64)
-        lists = _list_array(units, np.append(0, np.cumsum(np.bincount(doc, weights=count, minlength=batch.num_rows).astype(np.int64))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["key", "units"])
+        for start, end in _slices(offsets):
+            span = offsets[start : end + 1]
+            docs = np.repeat(np.arange(end - start), np.diff(span))
+            doc, shingle, count = counted(docs, values[span[0] : span[-1]])
+            copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            units = mix(np.repeat(shingle, count).view(np.uint64) + GOLDEN * copy.astype(np.uint64)).view(np.int64)
+            lists = _list_array(units, np.append(0, np.cumsum(np.bincount(doc, weights=count, minlength=end - start).astype(np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), lists], ["key", "units"])
 
 
 def components(edges: DataFrame) -> DataFrame:
