@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What stands before a licence's name, or an expression of several, in a source file.
+TAG = "SPDX-License-Identifier"
 # Sentences of well-known licences and notices, by identifier, as they stand between the ends of END. What varies (years, names) lies outside them.
 SENTENCES = {
     "mit-title": ["MIT License", "The MIT License", "The MIT License (MIT)"],
@@ -71,7 +73,7 @@ SENTENCES = {
     "cc0-title": ["CC0 1.0 Universal"],
     "unlicense-grant": ["This is free and unencumbered software released into the public domain"],
     "unlicense-use": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
-    "tag": ["SPDX-License-Identifier"],
+    "tag": [TAG],
 }
 
 # Names of licences in references, by licence.
@@ -148,25 +150,25 @@ RULES = [
     ("ISC", "text", ["isc-grant"]),
     ("0BSD", "text", ["0bsd-grant", "isc-warranty"]),
     ("MPL-2.0", "notice", ["mpl-ref"]),
-    ("MPL-2.0", "text", ["mpl-title"]),
-    ("EPL-1.0", "text", ["epl-1-title"]),
-    ("EPL-2.0", "text", ["epl-2-title"]),
+    ("MPL-2.0", "reference", ["mpl-title"]),
+    ("EPL-1.0", "reference", ["epl-1-title"]),
+    ("EPL-2.0", "reference", ["epl-2-title"]),
     ("EPL-1.0", "notice", ["epl-1-notice"]),
     ("EPL-2.0", "notice", ["epl-2-notice"]),
     ("Zlib", "text", ["zlib-warranty", "zlib-liable", "zlib-grant"]),
-    ("BSL-1.0", "text", ["bsl-title"]),
+    ("BSL-1.0", "reference", ["bsl-title"]),
     ("BSL-1.0", "notice", ["bsl-notice"]),
-    ("WTFPL", "text", ["wtfpl-title"]),
+    ("WTFPL", "reference", ["wtfpl-title"]),
     ("WTFPL", "text", ["wtfpl-terms"]),
-    ("PSF-2.0", "text", ["psf-title"]),
-    ("Artistic-2.0", "text", ["artistic-2-title"]),
-    ("OFL-1.1", "text", ["ofl-title"]),
-    ("MS-PL", "text", ["ms-pl-title"]),
-    ("CDDL-1.0", "text", ["cddl-title"]),
-    ("NCSA", "text", ["ncsa-title"]),
+    ("PSF-2.0", "reference", ["psf-title"]),
+    ("Artistic-2.0", "reference", ["artistic-2-title"]),
+    ("OFL-1.1", "reference", ["ofl-title"]),
+    ("MS-PL", "reference", ["ms-pl-title"]),
+    ("CDDL-1.0", "reference", ["cddl-title"]),
+    ("NCSA", "reference", ["ncsa-title"]),
     ("PostgreSQL", "text", ["postgresql-grant"]),
     ("CC0-1.0", "notice", ["cc0-waiver"]),
-    ("CC0-1.0", "text", ["cc0-title"]),
+    ("CC0-1.0", "reference", ["cc0-title"]),
     ("Unlicense", "text", ["unlicense-grant"]),
     ("Unlicense", "text", ["unlicense-grant", "unlicense-use"]),
 ]
@@ -176,6 +178,9 @@ RULES += [(licence, kind, ids) for licence in NAMES for kind, ids in (("referenc
 #: Sentences end at punctuation before white space and at blank lines; in the second reading at every line end too.
 END = r"[.!?:;]+[ \t\r\n]+|\n[ \t\r]*\n"
 LINE_END = r"[.!?:;]+[ \t\r\n]+|[\r\n]+"
+#: What follows a tag in its line, and what stands between the licences of an expression; the exception after WITH is no licence.
+TAGGED = r"SPDX-License-Identifier:([^\r\n]*)"
+BETWEEN = r"[()]|[ \t]+(?:OR|AND|or|and)[ \t]+|[ \t]+(?:WITH|with)[ \t]+[^ \t()]+"
 
 
 def normal(sentence: str) -> str:
@@ -199,7 +204,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per document with a licence: doc_id, licenses (sorted, joined by `, `), evidence (`licence kind`, likewise), sentences.
 
     Texts are cut into sentences twice, with line ends as white space and as ends, so wrapped and one-line
-    notices are both read. Sentences lose case and punctuation and are looked up among the known ones, a
+    notices are both read, and a third time the names in tags: `A OR B`, `A AND (B OR C)` and `A WITH exception` are tags of each
+    licence in them. Sentences lose case and punctuation and are looked up among the known ones, a
     fixed table that is broadcast. A document's identifiers in order of place are matched with the rules: a rule
     fits where its identifiers follow one another with no other known sentence between. A rule whose
     identifiers are a run of a longer one that fits is left out. sentences counts the known sentences found, in the reading with more.
@@ -214,7 +220,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # An outer explode: for others Catalyst adds a filter that would cut each text twice.
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("h", F.md5("text"))
     read = lambda reading, end: F.transform(F.split("text", end), lambda s, i: F.struct(F.lit(reading).alias("reading"), i.alias("place"), s.alias("s")))
-    parts = rows.select("doc_id", "h", F.explode_outer(F.concat(read(0, END), read(1, LINE_END))).alias("p"))
+    tagged = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(TAGGED), F.lit(1)), lambda t: F.flatten(F.transform(F.split(t, BETWEEN), lambda n: F.array(F.lit(TAG), n)))))
+    expressions = F.transform(tagged, lambda s, i: F.struct(F.lit(2).alias("reading"), i.alias("place"), s.alias("s")))
+    parts = rows.select("doc_id", "h", F.explode_outer(F.concat(read(0, END), read(1, LINE_END), expressions)).alias("p"))
     parts = parts.select("doc_id", "h", "p.reading", "p.place", _normal(F.col("p.s")).alias("sentence"))
     found = parts.join(known, "sentence").select("doc_id", "h", "reading", "place", "name")
     runs = found.groupBy("doc_id", "h", "reading").agg(F.sort_array(F.collect_set(F.struct("place", "name"))).alias("names"))
@@ -238,6 +246,8 @@ def oracle_sql() -> str:
         cut AS (
             SELECT doc_id, md5(text) AS h, 0 AS reading, string_split_regex(text, '{END}') AS parts FROM documents
             UNION ALL SELECT doc_id, md5(text), 1, string_split_regex(text, '{LINE_END}') FROM documents
+            UNION ALL SELECT doc_id, md5(text), 2, flatten(list_transform(flatten(list_transform(regexp_extract_all(text, '{TAGGED}', 1), lambda t: string_split_regex(t, '{BETWEEN}'))),
+                lambda n: ['{TAG}', n])) FROM documents WHERE contains(text, '{TAG}:')
         ), parts AS (
             SELECT doc_id, h, reading, unnest(parts) AS s, generate_subscripts(parts, 1) AS place FROM cut
         ), found AS (

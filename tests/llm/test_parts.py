@@ -311,6 +311,18 @@ def test_licences_follow_their_rules(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_tags_of_several_licences_are_tags_of_each_and_titles_are_references(spark):
+    tag = "// SPDX-License-Identifier:"
+    rows = {
+        f"{tag} MIT OR Apache-2.0\nint x;": ("Apache-2.0, MIT", "Apache-2.0 tag, MIT tag"), f"/* {tag}  (MIT and (ISC OR Zlib)) */": ("ISC, MIT, Zlib", "ISC tag, MIT tag, Zlib tag"),
+        f"{tag} GPL-2.0-only WITH Classpath-exception-2.0": ("GPL-2.0", "GPL-2.0 tag"), f"{tag} MIT\nmore\n{tag} BSD-3-Clause AND nothing": ("BSD-3-Clause, MIT", "BSD-3-Clause tag, MIT tag"),
+        f"{tag} MIT": ("MIT", "MIT tag"), "The Artistic License 2.0": ("Artistic-2.0", "Artistic-2.0 reference"), "Eclipse Public License - v 2.0": ("EPL-2.0", "EPL-2.0 reference"),
+        f"{tag} ORANGE": None, "MIT OR Apache-2.0": None,
+    }
+    got = {r.doc_id: (r.licenses, r.evidence) for r in licenses.scan(table(spark, list(enumerate(rows)))).collect()}
+    assert got == {k: v for k, v in enumerate(rows.values()) if v}
+
+
 def test_licences_of_many_kinds(spark):
     texts = {
         "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
