@@ -36,3 +36,7 @@ def test_long_bad_markup_takes_seconds(piece):
     start = time.process_time()
     to_markdown(piece * 100_000)
     assert time.process_time() - start < 10
+
+
+def test_what_a_cut_has_left_of_a_reference_is_text():
+    assert to_markdown("<h1>a &amp</h1>b &copy; &nosuch; &#65; &#66 &copy") == "# a &amp\nb © &nosuch; A &#66 &copy"
