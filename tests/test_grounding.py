@@ -52,3 +52,22 @@ def test_findings_are_snapped(spark):
         ("a", 0): (True, at, "the naïve dog"), ("a", 1): (False, None, "nothing of this"), ("a", 2): (False, None, None),
         ("b", 0): (False, None, "x"), ("a", 3): (True, SOURCE.index("brown"), "brown­ fox re-\n mains … finally wakes up"),
     }
+
+
+@pytest.mark.parametrize(
+    ("quote", "found"),
+    [
+        ("*CALM* WHILE THE NAÏVE DOG", "*calm* while the naïve dog"), ("calm while", "calm* while"), ("AND SO ON... AND THE END.***", "and so on... and the end.***"),
+        ("so on", "so on"), ("zzq **Bold** words at the start of this run, to its end.***", "**Bold** words at the start of this run, to its end.***"),
+    ],
+)
+def test_a_span_takes_in_what_the_quote_has_at_its_ends(quote, found):
+    source = f"{SOURCE} **Bold** words at the start of this run, to its end.*** And so on... and the end.***"
+    assert [source[a:b].lower() for a, b in spans(*fold(source), quote, source)] == [found.lower()]
+
+
+@pytest.mark.parametrize(("text", "verified"), [("Chkeitsch einß, schiechbe der chstbege.", False), ("Chkeitsch einß, schiechbe der chstbegen.", True), ("Eins*** zwei, dreivier und fünfsechs sieb***", True)])
+def test_a_trimmed_run_is_measured_as_it_stands_in_its_file(spark, text, verified):
+    files = spark.createDataFrame([("a", f"# T\n{text}\n")], "rel_path string, markdown string")
+    rows = spark.createDataFrame([("a", 0, f"Zzq {text.upper()}")], "rel_path string, seq int, quote string")
+    assert [(r.verified, r.quote == text) for r in reading.ground(rows, files).collect()] == [(verified, verified)]
