@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.vectors import best_of_cells, has_unit, unit
+
 
 def usage_by_task(calls: DataFrame) -> DataFrame:
     """calls (task, tokens_in, tokens_out) summed by task."""
@@ -83,16 +85,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) ->
     """The k rows of vectors (vec_id, embedding) of the greatest cosine similarity to each of queries (query_id, query): query_id, vec_id, score;
     ties by vec_id.
 
-    A stated query set is tried on all rows, in blocks of about `block` queries, a row each; each task keeps k rows of a query
-    before the shuffle.
+    A stated query set is tried on all rows, in cells of rows and blocks of queries that meet as matrices. Vectors without a direction (null,
+    with null or infinite entries or NaN, or all zero), on either side, have scores that are null or NaN: they are tried in rows, in blocks of about `block` queries.
     """
+    rows, asked = unit(vectors).withColumn("list", F.lit(0)), unit(queries, "query_id", "query").withColumnRenamed("u", "q").withColumn("list", F.lit(0))
+    found = best_of_cells(rows, asked, {0: rows.count()}, k)
+    odd, other = vectors.where(~has_unit("embedding")), queries.where(~has_unit("query"))
+    for some, of in ((odd, queries), (vectors.where(has_unit("embedding")), other)):
+        if not some.isEmpty() and not of.isEmpty():
+            found = found.unionByName(_by_rows(some, of, block))
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).drop("n")
+
+
+def _by_rows(vectors: DataFrame, queries: DataFrame, block: int) -> DataFrame:
+    """query_id, vec_id, score of all pairs, in blocks of about `block` queries, a row each."""
     blocks = max(1, -(-queries.count() // block))
     doubles = lambda c: F.col(c).cast("array<double>")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     asked = queries.select("query_id", doubles("query").alias("q")).withColumn("norm", dot(F.col("q"), F.col("q")))
     asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "norm")).alias("asked")).drop("block")
     rows = vectors.select("vec_id", doubles("embedding").alias("e")).withColumn("own", dot(F.col("e"), F.col("e")))
-    scores = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(dot(F.col("e"), q["q"]) / F.sqrt(F.col("own") * q["norm"]), 6).alias("score")))
-    each = rows.crossJoin(asked).select("vec_id", F.explode(scores).alias("s")).select("s.query_id", "vec_id", "s.score")
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).drop("n")
+    scores = F.transform("asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(F.coalesce(F.try_divide(dot(F.col("e"), q["q"]), F.sqrt(F.col("own") * q["norm"])), F.when(F.col("own") * q["norm"] == 0, float("nan"))), 6).alias("score")))
+    return rows.crossJoin(asked).select("vec_id", F.explode(scores).alias("s")).select("s.query_id", "vec_id", "s.score")

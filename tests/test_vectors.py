@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import vectors
+from lectern.operators import ledger, vectors
 
 
 def table(spark, rows):
@@ -58,3 +58,33 @@ def test_a_reranker_decides_and_what_it_leaves_out_comes_last(spark):
     hits = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (1, 12, 0.7), (1, 13, 0.95)], "query_id long, vec_id long, score double")
     got = vectors.reranked(hits, lambda h: h.where("vec_id != 13").withColumn("rerank", F.when(F.col("vec_id") == 12, 5.0).otherwise(0.5)), 3).collect()
     assert sorted((-r.rerank, -r.score, r.vec_id) for r in got) == [(-1.0, -0.7, 12), (-0.5, -0.9, 10), (-0.5, -0.8, 11)]
+
+
+def test_hits_in_small_cells_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    monkeypatch.setattr(vectors, "CELL_QUERIES", 3)
+    monkeypatch.setattr(vectors, "AT_A_TIME", 2)
+    data = [*rows(200), *[(i + 1000, rows(1)[0][1]) for i in range(60)]]
+    asked = [(i, v) for i, v in data if i % 20 == 0]
+    queries = spark.createDataFrame(asked, "query_id long, query array<float>")
+    got = ledger.nearest(table(spark, data), queries, 9).collect()
+    truth = by_brute_force(data, asked, 9)
+    assert {(r.query_id, r.vec_id) for r in got} == {t[:2] for t in truth} and len(got) == len(truth)
+    assert {(r.query_id, r.vec_id): r.score for r in got} == pytest.approx({t[:2]: t[2] for t in truth}, abs=2e-6)
+
+
+def test_vectors_without_a_direction_have_no_number_as_in_sql(spark):
+    data = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [1.0, 1.0])]
+    queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, None)], "query_id long, query array<float>")
+    got = ledger.nearest(table(spark, data), queries, 4).orderBy("query_id", F.desc("score"), "vec_id").collect()
+    assert [(r.query_id, r.vec_id, repr(r.score)) for r in got] == [
+        (10, 2, "nan"), (10, 1, "1.0"), (10, 5, "0.707107"), (10, 3, "None"), *[(11, i, "None") for i in (1, 2, 3, 4)],
+    ]
+
+
+def test_pairs_are_not_shuffled(spark):
+    """What is shuffled are vectors: no step before the cells has a row for each pair."""
+    data = table(spark, rows(400))
+    asked = data.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    plan = ledger.nearest(data, asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
