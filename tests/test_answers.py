@@ -83,3 +83,15 @@ def test_evidence_and_digests(spark):
     assert answers.claims_digest(told).first().digest == "One holds [1] Two hold [2]"
     got = answers.fallback_digest(told, "Found:").first()
     assert got.text == "Found:\n\n- One holds [a.md]\n\n- Two hold [b.md]" and got.uncited == 0
+
+
+def test_cut_replies_are_closed_by_place(spark):
+    """Only places come from Python, unless findings stand otherwise than one comma apart; and a reply is read in one pass."""
+    head, one = '{"file_hash": "h", "relevant": true, "confidence": 0.5, "findings": [', '{"claim": "ß😀", "quote": "q"}'
+    raws = [head + one + ", " + one + ', {"cla', head + one + one + "{", head + "," + one + ",, ", head, "no json", None]
+    rows = spark.createDataFrame(list(enumerate(raws)), "n int, raw string")
+    got = {r.n: r for r in answers.with_whole_findings(rows, "raw", "closed").collect()}
+    assert [got[n].closed for n in range(6)] == [head + one + ", " + one + "]}", head + one + "," + one + "]}", head + one + "]}", head + "]}", None, None]
+    for told in (answers.parse_replies(rows), answers.checked_replies(rows.withColumn("finish_reason", F.lit("length")))):
+        assert told._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+        assert {r.n: len(r.reply.findings) if r.reply else None for r in told.collect()} == {0: 2, 1: 2, 2: 1, 3: 0, 4: None, 5: None}
