@@ -94,6 +94,7 @@ def write_answers(questions: DataFrame, evidence: DataFrame, write: Writer, cond
     (passes is 0 then); a question without evidence gets a sentence that says so, and no sources.
     """
     most = budget() if most is None else most
+    evidence = written(evidence, "evidence")  # read in each step below, and found once
     cites = evidence.select("answer_id", "number", "cite")
     blocks = written(questions.join(reduce_evidence(evidence, most, condense), "answer_id"), "blocks")
 
@@ -122,7 +123,7 @@ def write_answers(questions: DataFrame, evidence: DataFrame, write: Writer, cond
 def score_answers(told: DataFrame, must_cite: DataFrame) -> DataFrame:
     """answer_id, validity, must_cite_ok of write_answers()'s rows: the share of resolved citations among all, as the resolver counted them, or as shown if it
     counted none; and whether every string of must_cite (answer_id, must_cite array) is in the text or its sources."""
-    asked = told.join(must_cite, "answer_id", "left").withColumn("must_cite", F.coalesce("must_cite", F.array().cast("array<string>")))
+    asked = written(told.join(must_cite, "answer_id", "left").withColumn("must_cite", F.coalesce("must_cite", F.array().cast("array<string>"))), "asked")
     shown = answers.score_citations(asked)
     counted = F.col("resolved") + F.col("uncited")
     return asked.select("answer_id", "resolved", "uncited").join(shown, "answer_id").select(

@@ -130,3 +130,20 @@ def test_failed_replies_are_asked_for_once_more(spark):
     got = {r.id: (r.status, r.attempts, r.reply is not None) for r in answers.repaired_replies(first, again, "id").collect()}
     assert got["early"] == ("ok", 2, True) and got["prose"] == ("not json", 2, False) and got["sure"] == ("ok", 2, True)
     assert got["empty"] == ("empty", 1, False) and got["ok"] == ("ok", 1, True) and got["no hash"] == ("missing field", 1, False) and len(got) == len(REPLIES)
+
+
+def test_evidence_is_found_once(spark):
+    """Each step reads evidence as it was found the first time, however it is made."""
+    met = spark.sparkContext.accumulator(0)
+
+    def claim(n):
+        met.add(1)
+        return f"claim {n}"
+
+    rows = spark.range(1, 41).select(
+        F.lit("a").alias("answer_id"), F.col("id").cast("int").alias("number"), F.lit("f").alias("rel_path"), F.lit(None).cast("string").alias("heading"),
+        F.lit(None).cast("int").alias("page"), F.udf(claim, "string")("id").alias("claim"), F.lit("q").alias("quote"), F.lit("[f]").alias("cite"),
+    )
+    questions = spark.createDataFrame([("a", "what?")], "answer_id string, question string")
+    got = writing.write_answers(questions, rows, writing.lexical_writer, writing.lexical_condenser, 150).collect()
+    assert [(r.answer_id, r.resolved) for r in got] == [("a", 40)] and met.value == 40
