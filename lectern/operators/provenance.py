@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from lectern.functions import text as T
-from lectern.operators import reading
 
 #: Characters of an item that are sought in its file, and the statuses of files that may be chunked.
 ANCHOR = 40
 USABLE = ("ok", "partial_parse")
 #: A heading: up to three spaces, one to six marks, and white space.
 HEADING = r"^ {0,3}(#{1,6})[ \t]+(.*)$"
-LEVELS = range(1, 7)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -70,53 +70,49 @@ def gate(files: DataFrame) -> DataFrame:
     return files.where(F.col("parse_status").isin(*USABLE) & F.col("markdown").isNotNull())
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """rel_path, k, line, start, section, heading_path: the lines of files with their ends, where they start, the number of headings up to each, and
-    the headings that it stands under: of each level the last one behind all higher ones, its own included."""
-    cut = files.select("rel_path", F.posexplode(F.split("markdown", r"(?<=\n)")).alias("k", "line")).where("line != ''")
-    mark = F.regexp_replace("line", r"\r?\n$", "")
-    level = F.when(mark.rlike(HEADING), F.char_length(F.regexp_extract(mark, HEADING, 1)))
-    cut = cut.withColumns({"level": level, "title": F.trim(F.regexp_extract(mark, HEADING, 2))}).repartition("rel_path")
-    so_far = Window.partitionBy("rel_path").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = {f"h{n}": F.last(F.when(F.col("level") == n, F.struct("k", "title")), ignorenulls=True).over(so_far) for n in LEVELS}
-    rows = cut.select(
-        "rel_path", "k", "line", (F.sum(F.char_length("line")).over(so_far) - F.char_length("line")).alias("start"),
-        F.count("level").over(so_far).alias("section"), *[c.alias(name) for name, c in last.items()],
-    )
+def chunks_of(most: int) -> Callable[..., Column]:
+    """A function of a file's lines with their ends, and their levels (null for lines that aren't headings) and titles: its chunks of at most `most` characters."""
 
-    def shown(n: int) -> Column:
-        higher = [F.col(f"h{m}.k") for m in LEVELS if m < n]
-        behind = F.coalesce(F.greatest(*higher), F.lit(-1)) if len(higher) > 1 else F.coalesce(*higher, F.lit(-1))
-        return F.when(F.col(f"h{n}.k") > behind, F.col(f"h{n}.title"))
+    @F.pandas_udf("array<struct<start:bigint,heading_path:array<string>,text:string>>")
+    def cut(lines: pd.Series, levels: pd.Series, titles: pd.Series) -> pd.Series:
+        def walk(text: list[str], level: list[float], title: list[str]) -> list[dict]:
+            out, heads, at, held, room = [], [], 0, [], 0
+            for line, deep, name in zip(text, level, title, strict=True):
+                if not pd.isna(deep):
+                    heads, room = [*(h for h in heads if h[0] < deep), (deep, name)], 0
+                for k in range(0, len(line), most):
+                    part = line[k : k + most]
+                    if len(part) > room:
+                        held, room = [], most
+                        out.append({"start": at + k, "heading_path": [h[1] for h in heads], "text": held})
+                    held.append(part)
+                    room -= len(part)
+                at += len(line)
+            return [c | {"text": "".join(c["text"])} for c in out]
 
-    return rows.select("rel_path", "k", "line", "start", "section", F.array_compact(F.array(*[shown(n) for n in LEVELS])).alias("heading_path"))
+        return pd.Series([walk(*row) for row in zip(lines, levels, titles, strict=True)], dtype=object)
+
+    return cut
 
 
 def token_chunks(files: DataFrame, target_tokens: int = 512) -> DataFrame:
     """Chunks of files (rel_path, file_hash, parse_status, markdown, page_marks) for a vector index: chunk_id (hash:number), file_hash, rel_path, chunk_index,
-    heading_path (array), page (null without a mark before it), char_start, char_end, text.
+    heading_path (array: of each level the last heading behind all higher ones), page (null without a mark before it), char_start, char_end, text.
 
     A chunk never crosses a heading and holds at most target_tokens tokens (a fourth of its characters): lines that follow each other
     are merged until the next one would not fit, and a longer line is cut. Every chunk is the very text between its places, so equal
     sections have places of their own; chunks of white space alone are left out. Files that the gate holds back, and
-    empty ones, have no chunks. Texts are shuffled once, by file; lines are packed by their lengths alone.
+    empty ones, have no chunks. A file is cut where its row is, so nothing is shuffled.
     """
-    most = 4 * target_tokens + 3
-    chosen = gate(files)
-    size = F.char_length("line")
-    cuts = F.transform(F.sequence(F.lit(0), F.ceil(size / most).cast("int") - 1), lambda j: F.struct(j.alias("j"), F.substring(F.col("line"), j * most + 1, F.lit(most)).alias("text")))
-    parts = _lines(chosen).select("rel_path", "section", "heading_path", "k", "start", F.explode(cuts).alias("c"))
-    parts = parts.select("rel_path", "section", "heading_path", "k", "c.j", (F.col("start") + F.col("c.j") * most).alias("start"), "c.text")
-    units = parts.select("rel_path", "section", "k", "j", F.char_length("text").alias("tokens"))
-    packed = reading.batches(units, ["rel_path", "section"], ["k", "j"], most).drop("tokens")
-    whole = parts.join(packed, ["rel_path", "section", "k", "j"]).groupBy("rel_path", "section", "batch").agg(
-        F.first("heading_path").alias("heading_path"), F.min("start").alias("char_start"), F.array_join(F.sort_array(F.collect_list(F.struct("start", "text")))["text"], "").alias("text"),
-    )
-    number = F.row_number().over(Window.partitionBy("rel_path").orderBy("char_start")) - 1
-    whole = whole.where(F.col("text").rlike(r"\S")).withColumn("chunk_index", number).join(chosen.select("rel_path", "file_hash", "page_marks"), "rel_path")
+    mark = lambda line: F.regexp_replace(line, r"\r?\n$", "")
+    level = lambda line: F.when(mark(line).rlike(HEADING), F.char_length(F.regexp_extract(mark(line), HEADING, 1)))
+    title = lambda line: F.trim(F.regexp_extract(mark(line), HEADING, 2))
+    lines = gate(files).withColumn("lines", F.filter(F.split("markdown", r"(?<=\n)"), lambda line: line != ""))
+    cut = lines.withColumn("chunks", chunks_of(4 * target_tokens + 3)("lines", F.transform("lines", level), F.transform("lines", title)))
+    whole = cut.select("rel_path", "file_hash", "page_marks", F.posexplode(F.filter("chunks", lambda c: c["text"].rlike(r"\S"))).alias("chunk_index", "c"))
     return whole.select(
-        F.concat("file_hash", F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "file_hash", "rel_path", "chunk_index", "heading_path",
-        T.page_at(F.col("page_marks"), F.col("char_start")).alias("page"), "char_start", (F.col("char_start") + F.char_length("text")).alias("char_end"), "text",
+        F.concat("file_hash", F.lit(":"), F.col("chunk_index").cast("string")).alias("chunk_id"), "file_hash", "rel_path", "chunk_index", "c.heading_path",
+        T.page_at(F.col("page_marks"), F.col("c.start")).alias("page"), F.col("c.start").alias("char_start"), (F.col("c.start") + F.char_length("c.text")).alias("char_end"), "c.text",
     )
 
 

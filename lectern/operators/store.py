@@ -1,7 +1,7 @@
 """The index on disk: files and what hangs on them as Parquet folders by the first digits of their hashes, of which a run rewrites only those that change.
 
-Costs and runs are logs that only grow. A run reads what is stored, works out its tables, writes the changed folders to the shared folder, and then replaces
-them one table at a time; run again after a failure, it finds what is still different and goes on, as everything follows from the scan.
+Costs and runs are logs that only grow. A run reads what is stored, works out what is new in the shared folder, and then replaces the changed
+folders one table at a time; run again after a failure, it finds what is still different and goes on, as everything follows from the scan.
 """
 
 from __future__ import annotations
@@ -9,11 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import catalogue, drift, provenance
-from lectern.sources.shared import written
+from lectern.sources.shared import new_path, written
 
 FILES = "file_hash string, rel_path string, size_bytes long, format string, parse_status string"
 CHUNKS = "file_hash string, chunk_id string, chunk_index int, heading_path array<string>, page int, char_start long, char_end long, text string"
@@ -41,9 +41,12 @@ class Store:
         return F.substring("file_hash", 1, self.digits)
 
     def _read(self, name: str, schema: str) -> DataFrame:
+        return self._read_at(f"{self.root}/{name}", schema)
+
+    def _read_at(self, path: str, schema: str) -> DataFrame:
         try:
-            self.spark.catalog.refreshByPath(f"{self.root}/{name}")
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            self.spark.catalog.refreshByPath(path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -70,10 +73,48 @@ class Store:
             return
         news = rows.withColumn("bucket", self._bucket()).where(F.col("bucket").isin(changed))
         full = {r["bucket"] for r in news.select("bucket").distinct().collect()}
-        news.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
-        for bucket in changed:
-            if bucket not in full:
-                rows.limit(0).write.mode("overwrite").parquet(f"{self.root}/{name}/bucket={bucket}")
+        self._overwrite(name, news.repartition("bucket"), [b for b in changed if b not in full])
+
+    def among(self, rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows (with file_hash) whose keys, of which file_hash is one, are in wanted; a null is in none. They are dealt to tasks by a digit more of the hash than folders have, so that 16 tasks
+        at most write a folder. Rows and marks share this one shuffle, where a join would shuffle all texts again by its keys.
+        """
+        marks = wanted.select(*keys, F.lit(True).alias("_mark")).dropna(subset=keys)
+        both = rows.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+        dealt = both.withColumn("_part", F.substring("file_hash", 1, self.digits + 1)).repartition("_part")
+        found = dealt.withColumn("_found", F.bool_or("_mark").over(Window.partitionBy("_part", *keys)))
+        return found.where("_found AND NOT _mark").select(rows.columns)
+
+    def renew(self, name: str, stays: DataFrame, made: DataFrame | None = None) -> None:
+        """Takes from a table the rows of hashes that aren't in stays (file_hash), and adds those of made, which should be dealt as by among(); rewrites the folders that change.
+
+        Rows are compared by their hashes, without those of stays, which stay as they are. New rows are written to the shared folder first; old ones of changed folders go from there to their new
+        place, in one shuffle. Folders are replaced when all is written, so what is read is still there.
+        """
+        schema = f"{TABLES[name][0]}, bucket string"
+        stored = self._read(name, schema)
+        columns = [c for c in stored.columns if c != "bucket"]
+        if made is not None:
+            path = new_path(self.spark, f"made-{name}")
+            made.select(*[F.col(f.name).cast(f.dataType) for f in stored.schema if f.name != "bucket"], self._bucket().alias("bucket")).write.partitionBy("bucket").parquet(path)
+            made = self._read_at(path, schema)
+        else:
+            made = stored.limit(0)
+        hashed = lambda df: df.select("bucket", "file_hash", F.xxhash64(*columns).alias("h"))
+        old = hashed(stored).join(stays.select("file_hash", F.lit(0).alias("sign")), "file_hash", "left").withColumn("sign", F.coalesce("sign", F.lit(-1)))
+        signs = old.unionByName(hashed(made).withColumn("sign", F.lit(1))).groupBy("bucket", "h").agg(F.sum("sign").alias("n"), F.bool_or(F.col("sign") >= 0).alias("stays"))
+        folders = signs.groupBy("bucket").agg(F.bool_or(F.col("n") != 0).alias("changed"), F.bool_or("stays").alias("full")).where("changed").collect()
+        changed = self.written_buckets[name] = sorted(r["bucket"] for r in folders)
+        if not changed:
+            return
+        kept = self.among(stored.where(F.col("bucket").isin(changed)), stays, ["file_hash"])
+        self._overwrite(name, kept.unionByName(made.where(F.col("bucket").isin(changed))), [r["bucket"] for r in folders if not r["full"]])
+
+    def _overwrite(self, name: str, news: DataFrame, empty: list[str]) -> None:
+        """Replaces the folders that news (with bucket) has rows for, and those in empty by an empty file."""
+        news.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+        for bucket in empty:
+            news.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{self.root}/{name}/bucket={bucket}")
 
     def upsert(self, name: str, rows: DataFrame, by: list[str]) -> None:
         """Adds rows; of those with one key the last by the columns `by` stays, new ones before stored ones at ties."""
@@ -108,11 +149,11 @@ def run_index(store: Store, scan: DataFrame, corpus_root: str, at: Column, force
     change = drift.classify(scan, known)
     change = written(change if forced is None else catalogue.with_forced(change, forced), "drift")
     files = written(catalogue.apply_drift(known, scan.select(known.columns), change), "files")
-    anew = change.where(F.col("drift").isin("new", "modified", "forced")).select("rel_path")
-    made = provenance.token_chunks(scan.join(anew, "rel_path", "left_semi"), target_tokens)
+    anew = change.where(F.col("drift").isin("new", "modified", "forced")).select("file_hash", "rel_path")
+    stays = written(catalogue.dependents(known.select("file_hash"), known, files, change).distinct(), "stays")
+    chosen = store.among(scan, anew, ["file_hash", "rel_path"])
     for name in ("cards", "verdicts", "chunks"):
-        kept = catalogue.dependents(store.read(name), known, files, change)
-        store.replace(name, kept.unionByName(made.select(kept.columns)) if name == "chunks" else kept)
+        store.renew(name, stays, provenance.token_chunks(chosen, target_tokens) if name == "chunks" else None)
     store.replace("files", files)  # last, so that a run that ended before is done again
     store.log_meta(corpus_root, at)
     return change

@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from lectern.operators import provenance
 from lectern.operators import store as stores
 
 SCAN = "rel_path string, file_hash string, size_bytes long, format string, parse_status string, markdown string, page_marks array<struct<offset:int,page:int>>"
@@ -94,3 +95,15 @@ def test_another_schema_version_is_an_error(spark, tmp_path):
     spark.createDataFrame([(99, "/corpus", datetime(2024, 1, 1))], stores.META).write.parquet(f"{store.root}/meta")
     with pytest.raises(PySparkException, match="schema version 99"):
         store.meta().collect()
+
+
+def test_texts_are_shuffled_once_on_their_way_to_a_folder(spark, tmp_path):
+    store = stores.Store(spark, str(tmp_path / "index"), digits=1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    files = scan(spark, TEXTS)
+    chosen = store.among(files, files.select("file_hash", "rel_path").where("size_bytes > 26"), ["file_hash", "rel_path"])
+    assert plan(provenance.token_chunks(files)).count("Exchange") == 0
+    assert plan(provenance.token_chunks(chosen)).count("Exchange") == 1
+    assert sorted(r.rel_path for r in chosen.collect()) == sorted(p for p, t in TEXTS.items() if len(t) > 26)
+    nulls = files.withColumn("rel_path", F.lit(None).cast("string"))
+    assert store.among(nulls, nulls, ["file_hash", "rel_path"]).count() == 0 and store.among(files, files.limit(0), ["file_hash"]).count() == 0
