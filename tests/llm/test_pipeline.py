@@ -4,8 +4,10 @@ import re
 import zlib
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from oracle import SF_DIR, differences
+from pyspark.sql import functions as F
 from test_dedup import classes, contaminated_by_brute_force
 
 from lectern.llm import queries
@@ -58,3 +60,16 @@ def test_stages_decide_by_row(spark, tmp_path):
     whole = known[:1] + [(i, f"more words {i}") for i in range(30, 40)] + [(None, f"{k} clean text of its own number {k}") for k in ("one", "two", "three")] + [(9, "nine"), (9, "neuf")]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert after(stage, *whole) == sorted(whole, key=str)
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["bytes"])
+
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda df, path: df.mapInArrow(sizes, "bytes long").collect())
+    found = [r.bytes for r in dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")]
+    assert sum(found) >= 30_000_000 and max(found) < 2 * corpus_pipeline.BATCH_BYTES
+    assert spark.conf.get(corpus_pipeline.BATCH, None) is None
